@@ -183,7 +183,7 @@ def words(x: str, keep: str = "a-z0-9") -> str:
 
 def company(x: str) -> str:
     from hiresift.dims import LEGAL_FORMS
-    toks = f"list_filter(regexp_extract_all({fold(x)}, '[a-z0-9]+'), t -> t NOT IN {in_list(LEGAL_FORMS)})"
+    toks = f"list_filter(regexp_extract_all({fold(x)}, '[a-z0-9]+'), lambda t: t NOT IN {in_list(LEGAL_FORMS)})"
     sq = f"array_to_string({toks}, '')"
     return (f"CASE WHEN {sq} LIKE '%linkedin' AND length({sq}) >= 11 "
             f"THEN left({sq}, length({sq}) - 8) ELSE {sq} END")
@@ -225,15 +225,13 @@ def relevant(x: str) -> str:
 
 
 def tag_list(x: str) -> str:
-    return f"list_filter(list_transform(string_split(lower(coalesce({x}, '')), ','), t -> {strip('t')}), t -> t <> '')"
+    return f"list_filter(list_transform(string_split(lower(coalesce({x}, '')), ','), lambda t: {strip('t')}), lambda t: t <> '')"
 
 
 # Keys of the postings: c, t and l; k is null-safe only where both c and t are filled.
 KEYED = f"""keyed AS (SELECT *, {company('company')} AS c, {title('title')} AS t, {city('location')} AS l FROM jobs_fx)"""
 
-VOCAB = "vocab AS (SELECT * FROM " + values([
-    (s, i, f"(?:^|[^{W}+#]){rx_escape(s)}(?:$|[^{W}+#])", s in AMBIGUOUS) for i, s in enumerate(DEFAULT.skills)
-]) + " v(skill, ord, pat, amb))"
+VOCAB = "vocab AS (SELECT * FROM " + values([(s, i) for i, s in enumerate(DEFAULT.skills)]) + " v(skill, ord))"
 SYN = "syn AS (SELECT * FROM " + values(DEFAULT.synonyms.items()) + " s(alias, canonical))"
 GAZ = "gaz AS (SELECT * FROM " + values(gazetteer().items()) + " g(phrase, code))"
 COUNTRY = country_lookup()
@@ -254,14 +252,15 @@ CONTEXT = {
 
 def extraction(name: str, source: str, keys: str) -> str:
     """CTE (keys, skill, ord): vocabulary items in column x of a source, by one test per item."""
-    amb = " UNION ALL ".join(
-        f"SELECT {keys}, {quote(s)} AS skill, {DEFAULT.skills.index(s)} AS ord FROM {source} WHERE {CONTEXT[s]}"
-        for s in AMBIGUOUS
-    )
+    tests = [
+        f"CASE WHEN contains(low, {quote(s)}) THEN CASE WHEN "
+        f"regexp_matches(low, '(?:^|[^{W}+#]){rx_escape(s)}(?:$|[^{W}+#])') THEN {quote(s)} END END"
+        for s in DEFAULT.skills if s not in AMBIGUOUS
+    ] + [f"CASE WHEN {CONTEXT[s]} THEN {quote(s)} END" for s in AMBIGUOUS]
     return f"""{name} AS (
-  SELECT {keys}, skill, ord FROM (SELECT *, lower(x) AS low FROM {source}) s, vocab v
-  WHERE NOT v.amb AND contains(s.low, v.skill) AND regexp_matches(s.low, v.pat)
-  UNION ALL {amb})"""
+  SELECT {keys}, f.skill, v.ord FROM (
+    SELECT {keys}, unnest(list_filter([{", ".join(tests)}], lambda s: s IS NOT NULL)) AS skill
+    FROM (SELECT *, lower(x) AS low FROM {source})) f JOIN vocab v ON v.skill = f.skill)"""
 
 
 # Known skills of the postings in tag order: (id, skill, pos).

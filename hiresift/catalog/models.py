@@ -34,7 +34,7 @@ _STOP = "[" + ", ".join(map(quote, STOP_WORDS)) + "]"
 def tfidf(limit):
     return f"""words AS (
   SELECT id, list_filter(regexp_extract_all(lower(concat(coalesce(title, ''), ' ', coalesce(description, ''), ' ', coalesce(tags, ''))),
-    '[\\p{{L}}\\p{{N}}_]{{2,}}'), w -> NOT list_contains({_STOP}, w)) AS w FROM jobs_fx),
+    '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w)) AS w FROM jobs_fx),
 flat AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
 occ AS (
   SELECT id, word AS term FROM flat

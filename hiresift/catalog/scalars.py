@@ -289,9 +289,9 @@ _YEARS = ", ".join(
 )
 EXPERIENCE = f"""coalesce({_YEARS}, CASE WHEN contains({_LOW}, 'fresher') OR contains({_LOW}, 'fresh graduate')
   OR contains({_LOW}, 'intern') THEN 0 ELSE 1 END)"""
-EDU = "array_to_string(list_filter([" + ", ".join(map(quote, EDUCATION)) + f"], k -> contains({_LOW}, k)), ', ')"
-_LINES = f"list_transform(list_slice(string_split({strip('text')}, chr(10)), 1, 5), l -> {strip('l')})"
-NAME = f"""coalesce(list_filter({_LINES}, l -> length(l) > 2 AND length(l) < 50 AND NOT regexp_matches(l, '[\\p{{Nd}}²³¹]')
+EDU = "array_to_string(list_filter([" + ", ".join(map(quote, EDUCATION)) + f"], lambda k: contains({_LOW}, k)), ', ')"
+_LINES = f"list_transform(list_slice(string_split({strip('text')}, chr(10)), 1, 5), lambda l: {strip('l')})"
+NAME = f"""coalesce(list_filter({_LINES}, lambda l: length(l) > 2 AND length(l) < 50 AND NOT regexp_matches(l, '[\\p{{Nd}}²³¹]')
   AND NOT regexp_matches(lower(l), 'resume|cv|curriculum|email|phone'))[1], 'Unknown')"""
 EMAIL = f"""coalesce(nullif(regexp_extract(text, '{B}([A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}){E}', 1), ''), 'Not found')"""
 PHONE_SQL = f"coalesce(nullif(regexp_extract(text, '{PHONE}'), ''), 'Not found')"
@@ -354,7 +354,7 @@ _CLAIMS = [
     ("company claim", rf"{B}((?:your|the company''s)\s+(?:mission|culture|values)){E}"),
 ]
 _FLAGS = " || ".join(
-    f"list_transform(regexp_extract_all(text, '(?i){p}', 1), h -> concat({quote(label + ': ')}, '''', h, ''''))"
+    f"list_transform(regexp_extract_all(text, '(?i){p}', 1), lambda h: concat({quote(label + ': ')}, '''', h, ''''))"
     for label, p in _CLAIMS
 )
 

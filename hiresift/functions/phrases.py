@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hiresift.functions.text import let, str_map
+
 
 def _alternation(phrases: list[str]) -> str:
     """Alternatives grouped by first character, the longest of a group first."""
@@ -36,13 +38,14 @@ def find_phrases(text: Column, phrases: list[str], inner: str) -> Column:
     }
     if not prefixes:
         return F.array_distinct(found)
-    nested = F.create_map(*[
-        x for p, shorter in prefixes.items() for x in (F.lit(p), F.array(*map(F.lit, shorter)))
-    ])
-    implied = F.flatten(F.filter(
-        F.transform(found, lambda p: F.try_element_at(nested, p)), lambda a: a.isNotNull()
-    ))
-    return F.array_distinct(F.concat(found, implied))
+    # "a|b" text instead of an array keeps the literal map flat
+    nested = str_map({p: "|".join(shorter) for p, shorter in prefixes.items()})
+
+    def with_prefixes(hits: Column) -> Column:
+        implied = F.array_join(F.transform(hits, lambda p: F.try_element_at(nested, p)), "|")
+        return F.array_distinct(F.concat(hits, F.split(implied, r"\|")))
+
+    return F.filter(let(found, with_prefixes), lambda p: p != "")
 
 
 def inner_class(inner: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT, NICE_HEADER, NICE_INLINE, Dims
 from hiresift.functions.phrases import find_phrases
-from hiresift.functions.text import SPACE, WORD, squeeze, str_map
+from hiresift.functions.text import SPACE, WORD, let, squeeze, str_array, str_map
 
 # Letters beyond ASCII that a case-blind match takes for s, k and i.
 _CASE_TWINS = (("ſ", "s"), ("K", "k"), ("İ", "i"), ("ı", "i"))
@@ -17,10 +17,6 @@ _CASE_TWINS = (("ſ", "s"), ("K", "k"), ("İ", "i"), ("ı", "i"))
 _BREAK = "\n.\n"
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-
-
 def extract_skills(text: Column, dims: Dims = DEFAULT) -> Column:
     """Vocabulary items in the text, in vocabulary order; null text gives an empty array."""
     text = F.coalesce(text, F.lit(""))
@@ -32,7 +28,7 @@ def extract_skills(text: Column, dims: Dims = DEFAULT) -> Column:
     in_context = [F.when(hits_context(text, s, dims), F.lit(s)) for s in dims.skills if s in dims.ambiguous]
     if in_context:
         found = F.concat(found, F.array(*in_context))
-    return F.array_intersect(_strings(dims.skills), found)
+    return F.array_intersect(str_array(dims.skills), found)
 
 
 def extract_ambiguous(text: Column, dims: Dims = DEFAULT) -> Column:
@@ -48,7 +44,7 @@ def hits_context(text: Column, skill: str, dims: Dims = DEFAULT) -> Column:
 
 def normalize_skill(skill: Column, dims: Dims = DEFAULT) -> Column:
     name = squeeze(F.lower(skill))
-    return F.coalesce(F.try_element_at(str_map(dims.synonyms), name), name)
+    return let(name, lambda n: F.coalesce(F.try_element_at(str_map(dims.synonyms), n), n))
 
 
 def normalize_skills(skills: Column, dims: Dims = DEFAULT) -> Column:
@@ -64,7 +60,7 @@ def split_list(text: Column) -> Column:
 
 def known_skills(tags: Column, dims: Dims = DEFAULT) -> Column:
     """Normalised tags that are in the vocabulary."""
-    return F.array_intersect(normalize_skills(split_list(tags), dims), _strings(dims.skills))
+    return F.array_intersect(normalize_skills(split_list(tags), dims), str_array(dims.skills))
 
 
 def split_required_nice(description: Column, skills: Column, dims: Dims = DEFAULT) -> Column:
@@ -74,27 +70,33 @@ def split_required_nice(description: Column, skills: Column, dims: Dims = DEFAUL
     phrase or context pattern from reaching across.
     """
     text = F.coalesce(description, F.lit(""))
-    header = _marker(NICE_HEADER)
-    head = F.get(F.split(text, header, 2), F.lit(0))
-    tail = F.substring(text, F.length(head) + 1, F.length(text))
-    sentences = F.split(head, rf"(?<=[.!?;])[{SPACE}]+")
-    inline = _marker(NICE_INLINE)
-    needed = F.array_join(F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(inline))), _BREAK)
-    marked = F.filter(sentences, lambda s: F.regexp_like(s, F.lit(inline)))
-    extra = F.array_join(F.concat(marked, F.array(tail)), _BREAK)
-    seen_needed, seen_extra = extract_skills(needed, dims), extract_skills(extra, dims)
-    nice = F.array_except(F.array_intersect(skills, seen_extra), seen_needed)
-    required = F.array_except(skills, nice)
-    none = F.array().cast("array<string>")
-    all_nice = F.size(required) == 0
+    header, inline = _marker(NICE_HEADER), _marker(NICE_INLINE)
+    none = str_array([])
+    all_required = F.struct(skills.alias("required"), none.alias("nice"))
+
+    def pieces(head: Column) -> Column:
+        tail = F.substring(text, F.length(head) + 1, F.length(text))
+        return let(F.split(head, rf"(?<=[.!?;])[{SPACE}]+"), lambda sentences: F.struct(
+            F.array_join(F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(inline))), _BREAK).alias("needed"),
+            F.array_join(F.concat(
+                F.filter(sentences, lambda s: F.regexp_like(s, F.lit(inline))), F.array(tail)
+            ), _BREAK).alias("extra"),
+        ))
+
+    def split(part: Column) -> Column:
+        nice = F.array_except(
+            F.array_intersect(skills, extract_skills(part["extra"], dims)), extract_skills(part["needed"], dims)
+        )
+        return let(nice, lambda n: let(F.array_except(skills, n), lambda r: F.when(
+            F.size(r) == 0, all_required
+        ).otherwise(F.struct(r.alias("required"), n.alias("nice")))))
+
     # texts without any marker, the most frequent kind, skip both scans
-    has_marker = F.regexp_like(text, F.lit(f"{header}|{inline[6:]}"))
-    split = F.when(all_nice, F.struct(skills.alias("required"), none.alias("nice"))).otherwise(
-        F.struct(required.alias("required"), nice.alias("nice"))
-    )
+    has_marker = F.regexp_like(text, F.lit(_marker(f"{NICE_HEADER}|{NICE_INLINE}")))
+    head = F.get(F.split(text, header, 2), F.lit(0))
     return F.when(
-        has_marker & (F.size(skills) > 0), split
-    ).otherwise(F.struct(skills.alias("required"), none.alias("nice")))
+        has_marker & (F.size(skills) > 0), let(let(head, pieces), split)
+    ).otherwise(all_required)
 
 
 def _marker(pattern: str) -> str:
@@ -103,14 +105,16 @@ def _marker(pattern: str) -> str:
 
 def match_score(user: Column, required: Column) -> Column:
     """struct(pct, matched, missing) of two normalised arrays; rounding is half to even."""
-    matched = F.array_intersect(required, user)
-    n = F.size(required)
-    pct = F.when(n == 0, F.lit(0)).otherwise(match_percent(F.size(matched), n))
-    return F.struct(
-        pct.cast("int").alias("pct"),
-        matched.alias("matched"),
-        F.array_except(required, user).alias("missing"),
-    )
+    def score(matched: Column) -> Column:
+        n = F.size(required)
+        pct = F.when(n == 0, F.lit(0)).otherwise(match_percent(F.size(matched), F.nullif(n, F.lit(0))))
+        return F.struct(
+            pct.cast("int").alias("pct"),
+            matched.alias("matched"),
+            F.array_except(required, user).alias("missing"),
+        )
+
+    return let(F.array_intersect(required, user), score)
 
 
 def match_percent(n_matched: Column, n_required: Column) -> Column:

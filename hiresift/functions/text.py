@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -26,8 +28,23 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def str_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """Literal map; parsed in one piece, which is much faster than one literal at a time."""
+    return F.expr("map(" + ", ".join(_sql_text(x) for pair in values.items() for x in pair) + ")")
+
+
+def str_array(values: list[str]) -> Column:
+    items = ", ".join(map(_sql_text, values))
+    return F.expr(f"array({items})") if values else F.expr("cast(array() as array<string>)")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a value that an expression needs several times, so that it is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip_html(text: Column) -> Column:
@@ -51,7 +68,7 @@ def br_to_newline(text: Column) -> Column:
 
 def standardize_job_type(job_type: Column, mapping: dict[str, str] = JOB_TYPES) -> Column:
     key = strip(F.lower(job_type))
-    known = F.coalesce(F.try_element_at(str_map(mapping), key), key)
+    known = let(key, lambda k: F.coalesce(F.try_element_at(str_map(mapping), k), k))
     return F.when(F.coalesce(job_type, F.lit("")) == "", F.lit("unknown")).otherwise(known)
 
 
@@ -106,15 +123,14 @@ def _char_class(chars: list[str]) -> str:
 
 def _fold(text: Column, keep_letters: bool) -> Column:
     source, target, many = _folds(keep_letters)
-    table = str_map(many)
+    # the per-character path is for the few texts that hold a one-to-many character
     by_char = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(str_map(many), c), c)), ""
     )
-    # the per-character path is for the few texts that hold a one-to-many character
-    text = F.when(F.regexp_like(text, F.lit(_char_class(list(many)))), by_char).otherwise(text)
+    rare = F.regexp_like(text, F.lit(_char_class(list(many))))
+    table = F.translate(F.when(rare, by_char).otherwise(text), source, target)
     # pure ASCII, the usual case, needs no table at all
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, text).otherwise(F.translate(text, source, target))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(table)
 
 
 def ascii_fold(text: Column) -> Column:
@@ -173,10 +189,8 @@ def combined_text(title: Column, description: Column, tags: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    """Any word as a substring: one regex scan instead of one search per word."""
+    return F.regexp_like(text, F.lit("|".join(map(re.escape, words))))
 
 
 def is_relevant(title: Column, tags: Column, description: Column, dims: Dims = DEFAULT) -> Column:
@@ -187,7 +201,7 @@ def is_relevant(title: Column, tags: Column, description: Column, dims: Dims = D
 
 def is_tech_title(title: Column, dims: Dims = DEFAULT) -> Column:
     """Any title phrase as whole words; a null title is not tech."""
-    phrases = "|".join(sorted(dims.tech_titles, key=len, reverse=True))
+    phrases = "|".join(map(re.escape, sorted(dims.tech_titles, key=len, reverse=True)))
     pattern = f"(?<![{WORD}])(?:{phrases})(?![{WORD}])"
     return F.regexp_like(F.lower(F.coalesce(title, F.lit(""))), F.lit(pattern))
 
@@ -197,8 +211,9 @@ def assign_category(title: Column, dims: Dims = DEFAULT) -> Column:
     from hiresift.dims import OTHER_CATEGORY
 
     text = F.lower(F.coalesce(title, F.lit("")))
-    rules = [F.when(contains_any(text, words), F.lit(name)) for name, words in dims.categories.items()]
-    return F.coalesce(*rules, F.lit(OTHER_CATEGORY))
+    return let(text, lambda t: F.coalesce(*[
+        F.when(contains_any(t, words), F.lit(name)) for name, words in dims.categories.items()
+    ], F.lit(OTHER_CATEGORY)))
 
 
 # --- duplicate keys -----------------------------------------------------------------------------
@@ -231,6 +246,8 @@ def normalize_city(location: Column) -> Column:
 
 def dedup_key(company: Column, title: Column, location: Column) -> Column:
     """Same company, title and city mean the same job; null if company or title is empty."""
-    c, t = normalize_company(company), normalize_title(title)
-    key = F.struct(c.alias("company"), t.alias("title"), normalize_city(location).alias("city"))
-    return F.when((c != "") & (t != ""), key)
+    key = F.struct(
+        normalize_company(company).alias("company"), normalize_title(title).alias("title"),
+        normalize_city(location).alias("city"),
+    )
+    return let(key, lambda k: F.when((k["company"] != "") & (k["title"] != ""), k))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT, STOP_WORDS, Dims
 from hiresift.functions.skills import onehot_name
-from hiresift.functions.text import combined_text, long_words, parse_tags, words_and_hyphens
+from hiresift.functions.text import combined_text, long_words, parse_tags, str_array, words_and_hyphens
 
 
 def document_terms(docs: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def skill_onehot(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
 
 def skill_pairs(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """The long form of the one-hot columns: (id, skill)."""
-    vocabulary = F.array(*map(F.lit, dims.skills))
+    vocabulary = str_array(dims.skills)
     return jobs.select("id", F.explode(F.array_intersect(vocabulary, parse_tags(F.col("tags")))).alias("skill"))
 
 

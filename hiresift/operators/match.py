@@ -16,6 +16,7 @@ from hiresift.dims import DEFAULT, Dims
 from hiresift.functions.skills import (
     known_skills, match_percent, match_score, normalize_skills, split_list, split_required_nice,
 )
+from hiresift.functions.text import str_array
 from hiresift.session import cut
 
 # A ranking with this many non-zero scores leaves zero scores out.
@@ -59,7 +60,7 @@ def _set_name(skills: Column) -> Column:
 
 def profile_sets(profiles: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """profile_id, user (normalised list) and pset, the name of the known part of the list."""
-    vocabulary = F.array(*map(F.lit, dims.skills))
+    vocabulary = str_array(dims.skills)
     user = normalize_skills(split_list(F.col("skills")), dims)
     out = profiles.select("profile_id", user.alias("user"))
     return out.withColumn("pset", _set_name(F.array_intersect("user", vocabulary)))
