@@ -197,8 +197,8 @@ _QUERIES = {"USA": "us", "India": "in", "Germany": "de", "remote": None}
     + ("remote" if code is None else f"list_contains(string_split(codes, ','), '{code}') OR (remote AND codes = '')")
     for q, code in _QUERIES.items()) + ")") + """
 SELECT query, hits, CAST(row_number() OVER (PARTITION BY query ORDER BY n DESC, location) AS INTEGER) AS rn, location, n FROM (
-  SELECT query, coalesce(location, '') AS location, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY query) AS BIGINT) AS hits
-  FROM hits GROUP BY ALL) QUALIFY rn <= 8""")
+  SELECT *, CAST(sum(n) OVER (PARTITION BY query) AS BIGINT) AS hits FROM (
+    SELECT query, coalesce(location, '') AS location, count(*) AS n FROM hits GROUP BY 1, 2)) QUALIFY rn <= 8""")
 def location_coverage(spark, sf_dir):
     return stats.location_coverage(jobs_fx(spark, sf_dir), list(_QUERIES))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hiresift.dims import AMBIGUOUS, DEFAULT, OTHER_CATEGORY
 from hiresift.functions.places import country_lookup, gazetteer
+from hiresift.sources.tables import read_spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +92,7 @@ FROM {documents}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def jobs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ predicted AS (SELECT id, arg_min(label, {'k': -round(score, 9), 'n': label}) AS
 @query("nb_predict", ctes(JOBS, DOCS, TOKS, COUNTS, PREDICT) + "SELECT id, predicted FROM predicted")
 def nb_predict(spark, sf_dir):
     docs = labelled(spark, sf_dir)
-    return nb.predict(nb.train_counts(docs, F.col("text"), F.col("label")), docs, F.col("text"))
+    return nb.predict(nb.saved(nb.train_counts(docs, F.col("text"), F.col("label"))), docs, F.col("text"))
 
 
 @query("nb_update", ctes(JOBS, DOCS, TOKS) + "SELECT token, label, CAST(sum(n) AS BIGINT) AS n FROM toks GROUP BY token, label")
@@ -198,7 +198,7 @@ def prequential_curve(spark, sf_dir):
 
 
 RUN = """SELECT substr('run-0001-all', 1, 8) AS run_id, round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) AS accuracy,
-  CAST(count(*) AS DOUBLE) AS jobs, max(created_at) AS run_date FROM scored JOIN docs USING (id)"""
+  CAST(count(*) AS DOUBLE) AS jobs, (SELECT max(created_at) FROM docs) AS run_date FROM scored"""
 
 
 @query("run_history", ctes(JOBS, DOCS, TOKS, PREQUENTIAL) + RUN)
@@ -322,7 +322,7 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
   round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM classes_f1""")
 def class_report(spark, sf_dir):
     docs = labelled(spark, sf_dir)
-    predicted = nb.predict(nb.train_counts(docs, F.col("text"), F.col("label")), docs, F.col("text"))
+    predicted = nb.predict(nb.saved(nb.train_counts(docs, F.col("text"), F.col("label"))), docs, F.col("text"))
     report = evaluate.class_report(docs.select("id", "label").join(predicted, "id"))
     return _rounded(evaluate.with_averages(report), "precision", "recall", "f1")
 

@@ -97,11 +97,10 @@ def _folds(keep_letters: bool) -> tuple[str, str, dict[str, str]]:
     single, many = {}, {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+        mark = keep_letters and unicodedata.combining(char)
+        if not unicodedata.decomposition(char) and not mark:
             continue
         parts = unicodedata.normalize("NFKD", char)
-        if parts == char and not (keep_letters and unicodedata.combining(char)):
-            continue
         if keep_letters:
             out = "".join(c for c in parts if not unicodedata.combining(c))
         else:
@@ -117,20 +116,30 @@ def _folds(keep_letters: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(order), "".join(single[c] for c in order), many
 
 
-def _char_class(chars: list[str]) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"
+_MARK = "\uf8ff"
 
 
 def _fold(text: Column, keep_letters: bool) -> Column:
     source, target, many = _folds(keep_letters)
-    # the per-character path is for the few texts that hold a one-to-many character
-    by_char = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(str_map(many), c), c)), ""
+    rare = "".join(many)
+    # the map is given as one text, which Spark folds to a literal before the job starts
+    table = F.str_to_map(
+        F.lit("\x1e".join(f"{char}\x1f{out}" for char, out in many.items())), F.lit("\x1e"), F.lit("\x1f")
     )
-    rare = F.regexp_like(text, F.lit(_char_class(list(many))))
-    table = F.translate(F.when(rare, by_char).otherwise(text), source, target)
+
+    def expand(marked: Column) -> Column:
+        """Put the letters of each marked character in its place."""
+        return F.array_join(F.zip_with(
+            F.split(text, ""), F.split(marked, ""),
+            lambda c, m: F.when(m == _MARK, F.coalesce(F.try_element_at(table, c), c)).otherwise(c),
+        ), "")
+
+    # one-to-many characters become a mark at first; only texts with a mark go character by character
+    folded = let(F.translate(text, rare, _MARK * len(rare)), lambda m: F.translate(
+        F.when(F.contains(m, F.lit(_MARK)), expand(m)).otherwise(m), source, target
+    ))
     # pure ASCII, the usual case, needs no table at all
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(table)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
 
 
 def ascii_fold(text: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiresift.dims import DEFAULT
 from hiresift.functions.text import words_and_hyphens
 from hiresift.operators import nb
+from hiresift.session import cut
 
 SEEDS = (0, 1, 2, 3, 4)
 TEST_SHARE = 0.2
@@ -53,77 +53,45 @@ def evaluate(
 ) -> DataFrame:
     """input, seed, id, label, predicted, majority: predictions for the test rows of all splits.
 
-    Counts of a training part are those of all rows minus those of its test rows, so all splits
-    of an input come from one pass: per token, class and split one conditional sum.
+    Counts are additive, so the counts of a training part are those of all rows minus those of
+    its test rows: all splits of all inputs are trained in one pass over the texts.
     """
-    classes = DEFAULT.classes if classes is None else classes
-    k = range(len(classes))
     base = docs.select("id", label.alias("label"), F.array(*[
         F.struct(F.lit(name).alias("input"), words_and_hyphens(text).alias("words"))
         for name, text in inputs.items()
     ]).alias("texts"))
-    test = stratified_split(base.select("id", "label"), seeds)
-    held = test.groupBy("id").agg(F.collect_set("seed").alias("held"))
-    rows = base.join(held, "id", "left").select(
-        "id", "label", F.coalesce("held", F.array().cast("array<int>")).alias("held"),
-        F.explode("texts").alias("t"),
-    ).select("id", "label", "held", "t.input", "t.words")
-
-    def training(seed: int) -> Column:
-        return ~F.array_contains("held", seed)
-
-    toks = rows.select("input", "id", "label", "held", F.explode("words").alias("token"))
-    toks = toks.groupBy("input", "id", "label", "held", "token").agg(F.count("*").alias("n"))
-    # per token and split: counts by class
-    model = toks.groupBy("input", "token").agg(F.array(*[
-        F.array(*[
-            F.coalesce(F.sum(F.when(training(s) & (F.col("label") == c), F.col("n"))), F.lit(0))
-            for c in classes
-        ]) for s in seeds
-    ]).alias("by_seed"))
-    vocab = model.groupBy("input").agg(F.array(*[
-        F.count_if(F.aggregate(F.col("by_seed")[i], F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
-        for i in range(len(seeds))
-    ]).alias("vocab"))
-    sums = rows.groupBy("input").agg(
-        F.array(*[F.array(*[F.count_if(training(s) & (F.col("label") == c)) for c in classes]) for s in seeds]).alias("docs"),
-        F.array(*[
-            F.array(*[
-                F.coalesce(F.sum(F.when(training(s) & (F.col("label") == c), F.size("words"))), F.lit(0))
-                for c in classes
-            ]) for s in seeds
-        ]).alias("tokens"),
+    held = stratified_split(docs.select("id", label.alias("label")), seeds).groupBy("id").agg(
+        F.collect_set("seed").alias("held")
     )
-    # one row per input, a handful
-    state = F.broadcast(sums.join(vocab, "input", "left"))
-    order = F.array(*map(F.lit, seeds))
-    tests = rows.select("input", "id", "label", F.explode("held").alias("seed")).withColumn(
-        "at", F.array_position(order, F.col("seed")).cast("int") - 1
-    )
-    test_toks = toks.select("input", "id", "token", "n", F.explode("held").alias("seed")).withColumn(
-        "at", F.array_position(order, F.col("seed")).cast("int") - 1
-    )
-    joined = test_toks.join(model, ["input", "token"], "left").withColumn(
-        "counts", F.get("by_seed", F.col("at"))
-    )
-    logs = nb._log_counts(F.col("counts"), F.col("n"), classes)
-    per_doc = joined.groupBy("input", "id", "seed").agg(
-        F.sum("n").alias("length"), *[c.alias(f"s{i}") for i, c in enumerate(logs)]
-    )
-    scored = tests.join(per_doc, ["input", "id", "seed"], "left").join(state, "input")
-    docs_at = F.get("docs", F.col("at"))
-    predicted = nb.best_class(
-        [F.coalesce(f"s{i}", F.lit(0.0)) for i in k], F.coalesce("length", F.lit(0)), docs_at,
-        F.get("tokens", F.col("at")), F.coalesce(F.get("vocab", F.col("at")), F.lit(0)), classes,
-    )
-    ranked = F.array(*[F.struct((-docs_at[i]).alias("n"), F.lit(c).alias("c")) for i, c in enumerate(classes)])
-    majority = F.array_min(ranked)["c"]
-    return scored.select(
-        "input", "seed", "id", "label",
-        F.coalesce(predicted, majority).alias("predicted"), majority.alias("majority"),
+    none = F.array().cast("array<int>")
+    # cut here: the texts are tokenised once for totals, test parts and predictions
+    rows = cut(base.join(held, "id", "left").select(
+        "id", "label", F.coalesce("held", none).alias("held"), F.explode("texts").alias("t"),
+    ).select("id", "label", "held", "t.*"))
+    tests = rows.select("input", F.explode("held").alias("seed"), "id", "label", "words")
+
+    tokens = rows.select("input", "label", "held", F.explode("words").alias("token"))
+    model = nb.saved((
+        _training(tokens, ["input", "token", "label"], [F.lit(1).alias("n")], seeds),
+        _training(rows, ["input", "label"], [F.lit(1).alias("docs"), F.size("words").alias("tokens")], seeds),
+    ))
+    predicted = nb.predict_words(model, tests, ["input", "seed"], classes)
+    return tests.select("input", "seed", "id", "label").join(predicted, ["input", "seed", "id"]).select(
+        "input", "seed", "id", "label", F.coalesce("predicted", "majority").alias("predicted"), "majority"
     )
 
 
+def _training(rows: DataFrame, keys: list[str], measures: list[Column], seeds: tuple[int, ...]) -> DataFrame:
+    """Sums per key and split over its training rows: all rows, minus the held ones."""
+    rows = rows.select(*keys, "held", *measures)
+    names = [c for c in rows.columns if c not in (*keys, "held")]
+    # per (key, held splits) first: few distinct combinations remain of many rows
+    cells = rows.groupBy(*keys, "held").agg(*[F.sum(n).alias(n) for n in names])
+    kept = F.array_except(F.array(*map(F.lit, seeds)), F.col("held"))
+    out = cells.select(*keys, F.explode(kept).alias("seed"), *names)
+    return out.groupBy(*keys, "seed").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def class_report(scored: DataFrame, *by: str) -> DataFrame:
     """Per class precision, recall, F1 and support over true and predicted labels together."""
     confusion = scored.groupBy(*by, "label", "predicted").agg(F.count("*").alias("n"))

@@ -23,6 +23,8 @@ from hiresift.session import cut
 MIN_NONZERO = 5
 # Falling score steps; the last one takes every pair with a common skill.
 STEPS = (100, 50, 0)
+# So few pairs of distinct sets that the last step alone is cheapest.
+FEW_PAIRS = 5_000_000
 
 
 def job_skills(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
@@ -120,7 +122,7 @@ def _pairs(users: DataFrame, index: DataFrame, step: int, top: int) -> DataFrame
     )
 
 
-def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+def rank_sets(skills: DataFrame, sets: DataFrame, limit: int, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """pset, rank, id: the best ``limit`` postings of every distinct profile set.
 
     If at least MIN_NONZERO postings score above zero only those are listed, else zero scores
@@ -135,7 +137,8 @@ def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     required = cut(_required_sets(skills, keep))
     rarity = required.select(F.explode("req").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
     done, left = None, users
-    for step in STEPS:
+    steps = STEPS if users.count() * required.count() > few_pairs else STEPS[-1:]
+    for step in steps:
         found = _pairs(left, _index(required, step, rarity), step, keep).select(
             "pset", "pct", "m", F.explode("ids").alias("id")
         )
@@ -145,7 +148,7 @@ def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
         ranked = cut(ranked.withColumn("nonzero", per_set))
         if step != STEPS[-1]:
             full = ranked.where(F.col("nonzero") >= keep)
-            left = cut(left.join(full.select("pset").distinct(), "pset", "left_anti"))
+            left = left.join(full.select("pset"), "pset", "left_anti")
         else:
             full = ranked
         done = full if done is None else done.unionByName(full)

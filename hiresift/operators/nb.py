@@ -12,18 +12,14 @@ from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT
 from hiresift.functions.text import words_and_hyphens
+from hiresift.operators.features import bag_of_words
+from hiresift.session import cut
 
 ALPHA = 1.0
 # Scores are compared after rounding, so that the order of summation cannot decide a near tie.
 DIGITS = 9
 
 
-def _tokens(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """id, kept columns, token, n."""
-    toks = docs.select("id", *keep, F.explode(words_and_hyphens(text)).alias("token"))
-    return toks.groupBy("id", *keep, "token").agg(F.count("*").alias("n"))
-
-
 def train_counts(docs: DataFrame, text: Column, label: Column) -> tuple[DataFrame, DataFrame]:
     """Token counts (token, label, n) and label counts (label, docs, tokens)."""
     rows = docs.select(label.alias("label"), words_and_hyphens(text).alias("words"))
@@ -37,6 +33,11 @@ def train_counts(docs: DataFrame, text: Column, label: Column) -> tuple[DataFram
     return token_counts, label_counts
 
 
+def saved(model: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Store the counts and read them back, as predictions read a stored model."""
+    return cut(model[0]), cut(model[1])
+
+
 def add_counts(
     model: tuple[DataFrame, DataFrame], more: tuple[DataFrame, DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
@@ -84,31 +85,47 @@ def predict(
     model: tuple[DataFrame, DataFrame], docs: DataFrame, text: Column,
     classes: list[str] | None = None,
 ) -> DataFrame:
-    """id, predicted; without any training row everything is "unknown".
+    """id, predicted; without any training row everything is "unknown"."""
+    one = F.lit(0).alias("model")
+    token_counts, label_counts = (part.select("*", one) for part in model)
+    words = docs.select("id", one, words_and_hyphens(text).alias("words"))
+    out = predict_words((token_counts, label_counts), words, ["model"], classes)
+    return out.select("id", F.coalesce("predicted", F.lit("unknown")).alias("predicted"))
+
+
+def predict_words(
+    model: tuple[DataFrame, DataFrame], docs: DataFrame, by: list[str],
+    classes: list[str] | None = None,
+) -> DataFrame:
+    """id, ``by``, predicted, majority: several models at once, told apart by the ``by`` columns.
 
-    One join on the token and one grouping by document. The model side has one row per token;
-    a frequent token makes the document side skewed, which adaptive execution splits.
+    docs: id, by, words (array). One join on the token and one grouping by document. The model
+    side has one row per token; a frequent token makes the document side skewed, which adaptive
+    execution splits.
     """
     classes = DEFAULT.classes if classes is None else classes
+    k = range(len(classes))
     token_counts, label_counts = model
-    wide = token_counts.groupBy("token").agg(_by_class("n", classes).alias("counts"))
-    vocab = token_counts.agg(F.count_distinct("token")).scalar()
-    sums = label_counts.agg(F.struct(
+    wide = token_counts.groupBy(*by, "token").agg(_by_class("n", classes).alias("counts"))
+    vocab = wide.groupBy(*by).agg(F.count("*").alias("vocab"))
+    sums = label_counts.groupBy(*by).agg(
         _by_class("docs", classes).alias("docs"), _by_class("tokens", classes).alias("tokens")
-    )).scalar()
-    toks = _tokens(docs, text)
-    logs = _log_counts(F.col("counts"), F.col("n"), classes)
-    per_doc = toks.join(wide, "token", "left").groupBy("id").agg(
-        F.sum("n").alias("length"), *[c.alias(f"s{i}") for i, c in enumerate(logs)]
     )
+    # one row per model, so it is safe to broadcast
+    state = F.broadcast(sums.join(vocab, by, "left"))
+    toks = docs.select("id", *by, F.explode("words").alias("token")).groupBy("id", *by, "token").agg(
+        F.count("*").alias("n")
+    )
+    logs = [c.alias(f"s{i}") for i, c in enumerate(_log_counts(F.col("counts"), F.col("n"), classes))]
+    per_doc = toks.join(wide, [*by, "token"], "left").groupBy("id", *by).agg(F.sum("n").alias("length"), *logs)
     # texts without tokens are scored by class share alone
-    rows = docs.select("id").join(per_doc, "id", "left").withColumn("m", sums).withColumn("v", vocab)
-    zero = F.lit(0.0)
+    rows = docs.select("id", *by).join(per_doc, ["id", *by], "left").join(state, by, "left")
     label = best_class(
-        [F.coalesce(f"s{i}", zero) for i in range(len(classes))], F.coalesce("length", F.lit(0)),
-        F.col("m.docs"), F.col("m.tokens"), F.col("v"), classes,
+        [F.coalesce(f"s{i}", F.lit(0.0)) for i in k], F.coalesce("length", F.lit(0)),
+        F.col("docs"), F.col("tokens"), F.coalesce("vocab", F.lit(0)), classes,
     )
-    return rows.select("id", F.coalesce(label, F.lit("unknown")).alias("predicted"))
+    ranked = F.array(*[F.struct((-F.col("docs")[i]).alias("n"), F.lit(c).alias("c")) for i, c in enumerate(classes)])
+    return rows.select("id", *by, label.alias("predicted"), F.array_min(ranked)["c"].alias("majority"))
 
 
 def running(df: DataFrame, order: str, cols: list[str], bucket: int, before: bool) -> DataFrame:
@@ -145,7 +162,7 @@ def prequential(
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
     docs = docs.select("id", label.alias("label"), text.alias("text"))
-    toks = _tokens(docs, F.col("text"), "label").withColumn("b", F.floor(F.col("id") / bucket))
+    toks = bag_of_words(docs, F.col("text"), "label").withColumn("b", F.floor(F.col("id") / bucket))
 
     def split(value: str) -> list[Column]:
         return [F.when(F.col("label") == c, F.col(value)).otherwise(0) for c in classes]

@@ -48,6 +48,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is written to the shared folder and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    The table survives lost executors, and its size is known to the joins that follow.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
