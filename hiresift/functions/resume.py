@@ -9,7 +9,7 @@ from hiresift.dims import (
     CLAIMS, DEFAULT, EDUCATION, EMAIL, EXPERIENCE, NAME_STOP, PHONE, PLACEHOLDER, Dims,
 )
 from hiresift.functions.skills import extract_skills
-from hiresift.functions.text import SPACE, contains_any, strip
+from hiresift.functions.text import SPACE, contains_any, let, strip
 
 _DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 
@@ -94,8 +94,15 @@ def word_count(text: Column) -> Column:
 
 def keyword_context(text: Column, patterns: list[str], width: int = 40) -> Column:
     """Text around the first hit of the first pattern that hits, newlines as blanks; null if none."""
+    text = _text(text)
     windows = []
     for pattern in patterns:
-        around = f"(?mdU)([\\s\\S]{{0,{width}}}?(?:{pattern})[\\s\\S]{{0,{width}}})"
-        windows.append(F.nullif(F.regexp_extract(_text(text), around, 1), F.lit("")))
+        pattern = "(?mdU)" + pattern
+        hit = F.regexp_substr(text, F.lit(pattern))
+
+        def around(before: Column, hit: Column = hit) -> Column:
+            end = F.length(before) + F.length(hit) + 1
+            return F.concat(F.right(before, F.lit(width)), hit, F.substring(text, end, F.lit(width)))
+
+        windows.append(let(F.get(F.split(text, pattern, 2), F.lit(0)), around))
     return F.replace(F.coalesce(*windows), F.lit("\n"), F.lit(" "))

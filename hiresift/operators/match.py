@@ -22,7 +22,7 @@ from hiresift.session import cut
 # A ranking with this many non-zero scores leaves zero scores out.
 MIN_NONZERO = 5
 # Falling score steps; the last one takes every pair with a common skill.
-STEPS = (100, 50, 0)
+STEPS = (100, 75, 50, 25, 0)
 # So few pairs of distinct sets that the last step alone is cheapest.
 FEW_PAIRS = 5_000_000
 
@@ -195,7 +195,8 @@ def set_records(
     jobs: DataFrame, profiles: DataFrame, limit: int, dims: Dims = DEFAULT
 ) -> tuple[DataFrame, DataFrame]:
     """Match records per distinct profile set, and the profiles with their sets."""
-    skills = job_skills(jobs, dims)
+    # the skill table is read three times below and needs the whole texts only once
+    skills = cut(job_skills(jobs, dims))
     sets = profile_sets(profiles, dims)
     ranked = rank_sets(skills, sets, limit)
     listed = ranked.select("id").distinct()

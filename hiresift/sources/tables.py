@@ -41,6 +41,30 @@ def write_report(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read Parquet; a table of far fewer splits than cores is spread out by its first column.
+
+    Text work on one small file would otherwise run in one task. A large table has splits enough
+    and is left as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores + 1 else df.repartition(cores, df.columns[0])
+
+
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> DataFrame:
+    """Write Parquet and read it back; also the way to cut lineage with a table."""
+    writer = df.write.mode(mode)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> DataFrame:
+    """Write a report as JSON lines and read it back with its own schema."""
+    df.write.mode("overwrite").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """Read Parquet; a table of fewer files than cores is spread over the cores by its first column.
 
