@@ -86,10 +86,7 @@ def predict(
     classes: list[str] | None = None,
 ) -> DataFrame:
     """id, predicted; without any training row everything is "unknown"."""
-    one = F.lit(0).alias("model")
-    token_counts, label_counts = (part.select("*", one) for part in model)
-    words = docs.select("id", one, words_and_hyphens(text).alias("words"))
-    out = predict_words((token_counts, label_counts), words, ["model"], classes)
+    out = predict_words(model, docs.select("id", words_and_hyphens(text).alias("words")), [], classes)
     return out.select("id", F.coalesce("predicted", F.lit("unknown")).alias("predicted"))
 
 
@@ -99,7 +96,7 @@ def predict_words(
 ) -> DataFrame:
     """id, ``by``, predicted, majority: several models at once, told apart by the ``by`` columns.
 
-    docs: id, by, words (array). One join on the token and one grouping by document. The model
+    docs: id, by, words (array); no ``by`` column means one model. One join on the token and one grouping by document. The model
     side has one row per token; a frequent token makes the document side skewed, which adaptive
     execution splits.
     """
@@ -111,15 +108,19 @@ def predict_words(
     sums = label_counts.groupBy(*by).agg(
         _by_class("docs", classes).alias("docs"), _by_class("tokens", classes).alias("tokens")
     )
-    # one row per model, so it is safe to broadcast
-    state = F.broadcast(sums.join(vocab, by, "left"))
     toks = docs.select("id", *by, F.explode("words").alias("token")).groupBy("id", *by, "token").agg(
         F.count("*").alias("n")
     )
     logs = [c.alias(f"s{i}") for i, c in enumerate(_log_counts(F.col("counts"), F.col("n"), classes))]
     per_doc = toks.join(wide, [*by, "token"], "left").groupBy("id", *by).agg(F.sum("n").alias("length"), *logs)
     # texts without tokens are scored by class share alone
-    rows = docs.select("id", *by).join(per_doc, ["id", *by], "left").join(state, by, "left")
+    rows = docs.select("id", *by).join(per_doc, ["id", *by], "left")
+    if by:
+        # one row per model, so it is safe to broadcast
+        rows = rows.join(F.broadcast(sums.join(vocab, by, "left")), by, "left")
+    else:
+        rows = rows.withColumn("sums", sums.select(F.struct("docs", "tokens")).scalar())
+        rows = rows.select("*", "sums.*").withColumn("vocab", vocab.scalar())
     label = best_class(
         [F.coalesce(f"s{i}", F.lit(0.0)) for i in k], F.coalesce("length", F.lit(0)),
         F.col("docs"), F.col("tokens"), F.coalesce("vocab", F.lit(0)), classes,

@@ -65,17 +65,6 @@ def write_report(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet; a table of fewer files than cores is spread over the cores by its first column.
-
-    Text work on one small file would otherwise run in one task. A large table has more files
-    than cores and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, df.columns[0])
-
-
 def last_updated(jobs: DataFrame) -> DataFrame:
     """Day of the last load, or 'unknown'."""
     day = F.substring(F.max(F.col("created_at").cast("string")), 1, 10)
