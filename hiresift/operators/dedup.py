@@ -16,7 +16,12 @@ def with_key(jobs: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, order: str = "id") -> DataFrame:
-    """Arrival-order loop over two keys: a row goes if its job_id or its duplicate key was kept.
+    """Arrival-order loop over two keys: a row goes if its job_id or its duplicate key was kept."""
+    return rows.join(first_of_two_keys(with_key(rows), order), order, "left_semi")
+
+
+def first_of_two_keys(keyed: DataFrame, order: str) -> DataFrame:
+    """The order numbers that the loop keeps; needs order, job_id and dkey.
 
     A row that goes registers neither key, so one pass per key is not enough. Each round keeps
     the rows that come first under both of their keys and drops all that now collide with them;
@@ -27,7 +32,6 @@ def keep_first(rows: DataFrame, order: str = "id") -> DataFrame:
     remove the losers have one row per key on the right, where adaptive execution splits a hot
     key on the left.
     """
-    keyed = with_key(rows)
     # of equal (job_id, key) pairs only the earliest row can ever be kept
     open_rows = cut(
         keyed.groupBy("job_id", "dkey").agg(F.min(order).alias("seq"))
@@ -48,9 +52,7 @@ def keep_first(rows: DataFrame, order: str = "id") -> DataFrame:
         open_rows = cut(
             left.join(won.where(F.col("dkey").isNotNull()).select("dkey"), "dkey", "left_anti")
         )
-    if kept is None:
-        return rows
-    return rows.join(kept.select(F.col("seq").alias(order)), order, "left_semi")
+    return (open_rows if kept is None else kept).select(F.col("seq").alias(order))
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, order: str = "id") -> DataFrame:
@@ -58,8 +60,8 @@ def append_new(stored: DataFrame, incoming: DataFrame, order: str = "id") -> Dat
     known = with_key(stored.select("company", "title", "location")).select("dkey").where(F.col("dkey").isNotNull())
     fresh = with_key(incoming.join(stored.select("job_id"), "job_id", "left_anti"))
     # a null key never equals anything, so those rows pass the second anti join
-    fresh = fresh.join(known.distinct(), "dkey", "left_anti").drop("dkey")
-    return keep_first(fresh, order).select(*incoming.columns)
+    fresh = fresh.join(known.distinct(), "dkey", "left_anti")
+    return incoming.join(first_of_two_keys(fresh, order), order, "left_semi").select(*incoming.columns)
 
 
 def keep_best(jobs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hiresift.dims import DEFAULT, STOP_WORDS, Dims
 from hiresift.functions.skills import onehot_name
 from hiresift.functions.text import combined_text, long_words, parse_tags, str_array, words_and_hyphens
+from hiresift.session import cut
 
 
 def document_terms(docs: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
@@ -61,7 +62,8 @@ def _size(jobs: DataFrame) -> Column:
 
 def _top_terms(occurrences: DataFrame, max_features: int) -> DataFrame:
     total = occurrences.groupBy("term").agg(F.count("*").alias("total"))
-    return total.orderBy(F.desc("total"), "term").limit(max_features)
+    # fitted once and stored: the passes that follow read these few rows
+    return cut(total.orderBy(F.desc("total"), "term").limit(max_features))
 
 
 def _term_counts(occurrences: DataFrame, top: DataFrame) -> DataFrame:
