@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hiresift.functions.text import let, str_map
 
+_SEP = "\x1f"
+
 
 def _alternation(phrases: list[str]) -> str:
     """Alternatives grouped by first character, the longest of a group first."""
@@ -38,12 +40,12 @@ def find_phrases(text: Column, phrases: list[str], inner: str) -> Column:
     }
     if not prefixes:
         return F.array_distinct(found)
-    # "a|b" text instead of an array keeps the literal map flat
-    nested = str_map({p: "|".join(shorter) for p, shorter in prefixes.items()})
+    # one text per phrase instead of an array keeps the literal map flat
+    nested = str_map({p: _SEP.join(shorter) for p, shorter in prefixes.items()})
 
     def with_prefixes(hits: Column) -> Column:
-        implied = F.array_join(F.transform(hits, lambda p: F.try_element_at(nested, p)), "|")
-        return F.array_distinct(F.concat(hits, F.split(implied, r"\|")))
+        implied = F.array_join(F.transform(hits, lambda p: F.try_element_at(nested, p)), _SEP)
+        return F.array_distinct(F.concat(hits, F.split(implied, _SEP)))
 
     return F.filter(let(found, with_prefixes), lambda p: p != "")
 

@@ -77,11 +77,11 @@ def resume_record(text: Column, dims: Dims = DEFAULT) -> Column:
 
 def claim_flags(text: Column) -> Column:
     """One 'label: hit' entry per claim found, rules in order, hits in text order."""
-    parts = []
-    for label, pattern in CLAIMS.items():
+    def flags(label: str, pattern: str) -> Column:
         hits = F.regexp_extract_all(_text(text), F.lit("(?iuU)" + pattern), F.lit(0))
-        parts.append(F.transform(hits, lambda h, label=label: F.concat(F.lit(f"{label}: '"), h, F.lit("'"))))
-    return F.concat(*parts)
+        return F.transform(hits, lambda h: F.concat(F.lit(f"{label}: '"), h, F.lit("'")))
+
+    return F.concat(*[flags(label, pattern) for label, pattern in CLAIMS.items()])
 
 
 def placeholder_count(text: Column) -> Column:
@@ -95,14 +95,14 @@ def word_count(text: Column) -> Column:
 def keyword_context(text: Column, patterns: list[str], width: int = 40) -> Column:
     """Text around the first hit of the first pattern that hits, newlines as blanks; null if none."""
     text = _text(text)
-    windows = []
-    for pattern in patterns:
-        pattern = "(?mdU)" + pattern
-        hit = F.regexp_substr(text, F.lit(pattern))
 
-        def around(before: Column, hit: Column = hit) -> Column:
-            end = F.length(before) + F.length(hit) + 1
-            return F.concat(F.right(before, F.lit(width)), hit, F.substring(text, end, F.lit(width)))
+    def window(pattern: str) -> Column:
+        hit = F.regexp_substr(text, F.lit(pattern))
+        before = F.get(F.split(text, pattern, 2), F.lit(0))
+        return let(before, lambda b: F.concat(
+            F.right(b, F.lit(width)), hit,
+            F.substring(text, F.length(b) + F.length(hit) + 1, F.lit(width)),
+        ))
 
-        windows.append(let(F.get(F.split(text, pattern, 2), F.lit(0)), around))
+    windows = [window("(?mdU)" + pattern) for pattern in patterns]
     return F.replace(F.coalesce(*windows), F.lit("\n"), F.lit(" "))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.operators.stats import share
+from hiresift.session import cut
 from hiresift.sources.tables import drift_view
 
 SHARE_LIMIT = 0.1
@@ -18,10 +19,12 @@ def schema_changes(reference: DataFrame, current: DataFrame) -> tuple[list[str],
     return [c for c in cur if c not in ref], [c for c in ref if c not in cur]
 
 
-def share_changes(reference: DataFrame, current: DataFrame, col: str) -> DataFrame:
+def share_changes(
+    reference: DataFrame, current: DataFrame, col: str, rows: Column | None = None
+) -> DataFrame:
     """value, ref_share, cur_share, diff, drifted over the values of both sides."""
-    ref = share(reference, col).select("value", F.col("share").alias("ref_share"))
-    cur = share(current, col).select("value", F.col("share").alias("cur_share"))
+    ref = share(reference, col, rows=rows).select("value", F.col("share").alias("ref_share"))
+    cur = share(current, col, rows=rows).select("value", F.col("share").alias("cur_share"))
     both = ref.join(cur, "value", "full_outer").select(
         "value", F.coalesce("ref_share", F.lit(0.0)).alias("ref_share"),
         F.coalesce("cur_share", F.lit(0.0)).alias("cur_share"),
@@ -30,31 +33,34 @@ def share_changes(reference: DataFrame, current: DataFrame, col: str) -> DataFra
     return both.select("*", diff.alias("diff"), (diff > SHARE_LIMIT).alias("drifted"))
 
 
-def volume_change(reference: DataFrame, current: DataFrame) -> DataFrame:
+def volume_change(reference: DataFrame, current: DataFrame, rows: Column | None = None) -> DataFrame:
     """Counts of both sides, relative change, flag; an empty reference gives 0."""
-    cur = current.agg(F.count("*")).scalar()
-    counts = reference.agg(F.count("*").alias("reference_count")).withColumn("current_count", cur)
+    size = F.count("*") if rows is None else F.coalesce(F.sum(rows), F.lit(0))
+    cur = current.agg(size).scalar()
+    counts = reference.agg(size.alias("reference_count")).withColumn("current_count", cur)
     ref = F.col("reference_count")
     change = F.when(ref > 0, F.abs(F.col("current_count") - ref) / ref).otherwise(F.lit(0.0))
     return counts.select("*", change.alias("diff"), (change > VOLUME_LIMIT).alias("drifted"))
 
 
 def drift_report(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """One row with all flags; both sides are drift views."""
-    new, missing = schema_changes(reference, current)
-
-    def moved(col: str) -> Column:
-        any_drift = share_changes(reference, current, col).agg(F.max("drifted")).scalar()
-        return F.coalesce(any_drift, F.lit(False))
+    """One row with all flags; both sides are drift views.
 
+    Each side is scanned once, into row counts per combination of the compared columns; all
+    shares and totals come from those few rows.
+    """
+    new, missing = schema_changes(reference, current)
     shared = [c for c in ("job_type", "source") if c in reference.columns and c in current.columns]
-    flags = volume_change(reference, current).select(
+    ref, cur = (cut(side.groupBy(*shared).agg(F.count("*").alias("n"))) for side in (reference, current))
+    rows = F.col("n")
+
+    flags = volume_change(ref, cur, rows).select(
         "reference_count", "current_count", F.col("drifted").alias("volume_drift")
     )
-    for c in shared:
-        flags = flags.withColumn(f"_{c}", moved(c))
     distribution = F.lit(False)
     for c in shared:
+        moved = share_changes(ref, cur, c, rows).agg(F.max("drifted")).scalar()
+        flags = flags.withColumn(f"_{c}", F.coalesce(moved, F.lit(False)))
         distribution = distribution | F.col(f"_{c}")
     schema_drift = F.lit(bool(new or missing))
     return flags.select(

@@ -19,6 +19,8 @@ from hiresift.functions.skills import (
 from hiresift.functions.text import str_array
 from hiresift.session import cut
 
+# Between the skills of a set's name; never part of a skill.
+SEP = "\x1f"
 # A ranking with this many non-zero scores leaves zero scores out.
 MIN_NONZERO = 5
 # Falling score steps; the last one takes every pair with a common skill.
@@ -57,7 +59,7 @@ def nice_split_rate(jobs: DataFrame, skills: str = "python", dims: Dims = DEFAUL
 
 
 def _set_name(skills: Column) -> Column:
-    return F.array_join(F.array_sort(skills), "|")
+    return F.array_join(F.array_sort(skills), SEP)
 
 
 def profile_sets(profiles: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
@@ -75,7 +77,7 @@ def _required_sets(skills: DataFrame, keep: int) -> DataFrame:
     postings share arrives as ``keep`` rows per task.
     """
     rows = skills.select("id", F.array_sort("required").alias("req")).withColumn(
-        "jset", F.array_join("req", "|")
+        "jset", F.array_join("req", SEP)
     )
     first = Window.partitionBy("jset").orderBy("id")
     rows = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= keep)
@@ -131,7 +133,7 @@ def rank_sets(skills: DataFrame, sets: DataFrame, limit: int, few_pairs: int = F
     keep = max(limit, MIN_NONZERO)
     users = cut(
         sets.select("pset").distinct().withColumn(
-            "known", F.filter(F.split("pset", r"\|"), lambda s: s != "")
+            "known", F.filter(F.split("pset", SEP), lambda s: s != "")
         )
     )
     required = cut(_required_sets(skills, keep))
@@ -202,7 +204,7 @@ def set_records(
     listed = ranked.select("id").distinct()
     info = jobs.select("id", "title", "company", "location", "job_type", "tags", "apply_url")
     detail = skills.join(listed, "id", "left_semi").join(info, "id")
-    known = F.filter(F.split("pset", r"\|"), lambda s: s != "")
+    known = F.filter(F.split("pset", SEP), lambda s: s != "")
     records = ranked.join(detail, "id").withColumn("k", known)
     records = records.withColumn("score", match_score(F.col("k"), F.col("required"))).select(
         "pset", "rank", "id", "title", "company", "location", "job_type", "tags", "apply_url",

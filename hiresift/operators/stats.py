@@ -136,10 +136,11 @@ def low_cardinality_profile(df: DataFrame, max_distinct: int = 15) -> DataFrame:
     return counts.withColumn("d", F.count("*").over(few)).where(F.col("d") <= max_distinct).drop("d")
 
 
-def share(df: DataFrame, key: Column | str, name: str = "value") -> DataFrame:
-    """Count and share of each value of a column."""
+def share(df: DataFrame, key: Column | str, name: str = "value", rows: Column | None = None) -> DataFrame:
+    """Count and share of each value of a column; ``rows`` sums up rows counted before."""
     key = F.col(key) if isinstance(key, str) else key
-    counts = df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+    size = F.count("*") if rows is None else F.sum(rows)
+    counts = df.groupBy(key.alias(name)).agg(size.alias("n"))
     total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 

@@ -75,13 +75,13 @@ def test_ranking_equals_brute_force(spark, n_jobs, limit, few_pairs):
     jobs = [(i, rng.sample(SKILLS, rng.choice([1, 1, 2, 3, 5, 8]))) for i in range(n_jobs)]
     users = {f"{k}": sorted(rng.sample(SKILLS, k % 5)) for k in range(40)}
     skills = spark.createDataFrame([(i, r, []) for i, r in jobs], "id long, required array<string>, nice array<string>")
-    sets = spark.createDataFrame([(p, "|".join(u)) for p, u in users.items()], "profile_id string, pset string")
+    sets = spark.createDataFrame([(p, match.SEP.join(u)) for p, u in users.items()], "profile_id string, pset string")
     ranked = match.rank_sets(skills, sets, limit, few_pairs)
     got = defaultdict(list)
     for r in ranked.orderBy("pset", "rank").collect():
         got[r.pset].append(r.id)
     for user in users.values():
-        assert got["|".join(user)] == plain_ranking(jobs, set(user), limit), user
+        assert got[match.SEP.join(user)] == plain_ranking(jobs, set(user), limit), user
 
 
 class PlainNB:
