@@ -13,8 +13,6 @@ from hiresift.session import work_path
 from hiresift.sources import feeds, tables
 
 PAGE = 50
-POSTING_COLS = ("job_id, title, company, description, location, job_type, salary_min, salary_max, "
-                "tags, source, apply_url, date_posted")
 
 
 def _pages(jobs, item, wrap):
