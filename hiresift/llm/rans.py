@@ -181,7 +181,7 @@ def _read(batches):
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2,
-                 segment: int = 1 << 22, block: int = 1 << 17, lanes: int = 512) -> str:
+                 segment: int = 1 << 22, block: int = 1 << 18, lanes: int = 1024) -> str:
     """Write the token files of all documents (null text: empty) and return their folder.
 
     Texts are range-partitioned and sorted by doc_id (null first), then by a hash of the text, so equal

@@ -2,7 +2,9 @@
 
 The tokenizer splits a text into pre-tokens and encodes each on its own. Texts of plain Latin
 characters are split here by the same rule and each distinct pre-token is encoded once by the
-library; a text with any other character goes to the library whole. Ids are the same either way.
+library; a text with any other character goes to the library in large parts. Ids are the same either way.
+A lone space between two other characters always begins a pre-token: texts may be cut there, and what stands
+between two such spaces is one pre-token if it is all letters.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ PRE_TOKEN = re.compile(
     rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 CACHE_WORDS = 400_000
 PIECE_CHARS = 1_000_000
-# A lone space between two other characters always begins a pre-token, so a text may be cut before it.
+# Where spaces stand otherwise than alone between two other characters.
+OTHER_SPACE = ("  ", " \n", "\n ", "\t", "\r")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -42,6 +45,12 @@ def _cuts(text: str):
     yield text[start:] if start else text
 
 
+def _is_plain(text: str) -> bool:
+    if text.isascii() and text.replace("\n", " ").isprintable():
+        return True
+    return UNUSUAL.search(text) is None
+
+
 class Encoder:
     """encode(texts) -> (all ids, number of ids of each text)."""
 
@@ -105,11 +114,20 @@ class Encoder:
             ends.clear()
 
         for row, text in enumerate(texts):
-            plain = UNUSUAL.search(text) is None
+            plain = _is_plain(text)
+            lone = plain and not any(x in text for x in OTHER_SPACE) and text[:1] != " " != text[-1:]
             for piece in _cuts(text):
-                if piece:
+                if lone:
+                    first, *parts = piece.split(" ")
+                    words.extend(PRE_TOKEN.findall(first))
+                    for part in parts:
+                        if part.isalpha():
+                            words.append(" " + part)
+                        else:
+                            words.extend(PRE_TOKEN.findall(" " + part))
+                elif piece:
                     words.extend(PRE_TOKEN.findall(piece) if plain else [piece])
-                    ends.append((row, len(words)))
+                ends.append((row, len(words)))
                 if len(words) > 400_000:
                     flush()
         flush()
