@@ -123,8 +123,8 @@ def source_counts(spark, sf_dir):
     return stats.value_counts(jobs_fx(spark, sf_dir), "source")
 
 
-TOP_SKILL = f"""first_tags AS (SELECT tags FROM jobs_fx WHERE tags IS NOT NULL ORDER BY id LIMIT 100),
-top_skill AS (SELECT coalesce((SELECT skill FROM (SELECT unnest({tag_list('tags')}) AS skill FROM first_tags)
+TOP_SKILL = f"""all_tags AS (SELECT tags FROM jobs_fx WHERE tags IS NOT NULL),
+top_skill AS (SELECT coalesce((SELECT skill FROM (SELECT unnest({tag_list('tags')}) AS skill FROM all_tags)
   GROUP BY skill ORDER BY count(*) DESC, skill LIMIT 1), 'python') AS top_skill)"""
 
 

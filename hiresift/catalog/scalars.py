@@ -268,8 +268,8 @@ def assign_category(spark, sf_dir):
 
 
 @query("model_text", ctes(JOBS) + """
-SELECT id, concat(title, ' ', coalesce(tags, ''), ' ', substr(description, 1, 200)) AS current_text,
-  concat(coalesce(tags, ''), ' ', substr(description, 1, 1000)) AS no_title_text,
+SELECT id, concat(title, ' ', coalesce(tags, ''), ' ', description) AS current_text,
+  concat(coalesce(tags, ''), ' ', description) AS no_title_text,
   concat(title, ' ', description, ' ', coalesce(tags, '')) AS combined FROM jobs_fx""")
 def model_text(spark, sf_dir):
     t, g, d = F.col("title"), F.col("tags"), F.col("description")

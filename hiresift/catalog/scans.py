@@ -207,8 +207,8 @@ def feature_table_roundtrip(spark, sf_dir):
 
 
 BOW = f"lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_-]*[\\p{{L}}\\p{{N}}_]'"
-MODEL_TEXT = "concat(coalesce(title, ''), ' ', coalesce(tags, ''), ' ', substr(coalesce(description, ''), 1, 200))"
-NO_TITLE = "concat(coalesce(tags, ''), ' ', substr(coalesce(description, ''), 1, 1000))"
+MODEL_TEXT = "concat(coalesce(title, ''), ' ', coalesce(tags, ''), ' ', coalesce(description, ''))"
+NO_TITLE = "concat(coalesce(tags, ''), ' ', coalesce(description, ''))"
 DOCS = f"docs AS (SELECT id, {category('title')} AS label, {MODEL_TEXT} AS x, created_at FROM jobs_fx)"
 TOKS = f"""toks AS (
   SELECT id, label, token, count(*) AS n FROM (

@@ -173,19 +173,19 @@ def long_words(text: Column) -> Column:
 
 
 def model_text(title: Column, tags: Column, description: Column) -> Column:
-    """Model input: title, tags and the first 200 characters of the description."""
+    """Model input: title, tags and the whole description."""
     empty = F.lit("")
     return F.concat_ws(
         " ", F.coalesce(title, empty), F.coalesce(tags, empty),
-        F.substring(F.coalesce(description, empty), 1, 200),
+        F.coalesce(description, empty),
     )
 
 
 def model_text_no_title(tags: Column, description: Column) -> Column:
-    """Model input with the title hidden: tags and the first 1000 characters."""
+    """Model input with the title hidden: tags and the whole description."""
     empty = F.lit("")
     return F.concat_ws(
-        " ", F.coalesce(tags, empty), F.substring(F.coalesce(description, empty), 1, 1000)
+        " ", F.coalesce(tags, empty), F.coalesce(description, empty)
     )
 
 

@@ -25,8 +25,6 @@ SEP = "\x1f"
 MIN_NONZERO = 5
 # Falling score steps; the last one takes every pair with a common skill.
 STEPS = (100, 75, 50, 25, 0)
-# So few pairs of distinct sets that the last step alone is cheapest.
-FEW_PAIRS = 5_000_000
 
 
 def job_skills(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
@@ -124,7 +122,7 @@ def _pairs(users: DataFrame, index: DataFrame, step: int, top: int) -> DataFrame
     )
 
 
-def rank_sets(skills: DataFrame, sets: DataFrame, limit: int, few_pairs: int = FEW_PAIRS) -> DataFrame:
+def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     """pset, rank, id: the best ``limit`` postings of every distinct profile set.
 
     If at least MIN_NONZERO postings score above zero only those are listed, else zero scores
@@ -139,8 +137,7 @@ def rank_sets(skills: DataFrame, sets: DataFrame, limit: int, few_pairs: int = F
     required = cut(_required_sets(skills, keep))
     rarity = required.select(F.explode("req").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
     done, left = None, users
-    steps = STEPS if users.count() * required.count() > few_pairs else STEPS[-1:]
-    for step in steps:
+    for step in STEPS:
         found = _pairs(left, _index(required, step, rarity), step, keep).select(
             "pset", "pct", "m", F.explode("ids").alias("id")
         )

@@ -41,21 +41,20 @@ def skill_counts(jobs: DataFrame) -> DataFrame:
     return tags.groupBy("skill").agg(F.count("*").alias("n"))
 
 
-def top_skill(jobs: DataFrame, rows: int = 100, default: str = "python") -> DataFrame:
-    """Most frequent tag of the first rows that have tags; ties go to the first name."""
-    first = jobs.where(F.col("tags").isNotNull()).orderBy("id").limit(rows)
+def top_skill(jobs: DataFrame, default: str = "python") -> DataFrame:
+    """Most frequent tag of all rows; ties go to the first name."""
     best = F.min_by("skill", F.struct(-F.col("n"), F.col("skill")))
-    return skill_counts(first).agg(F.coalesce(best, F.lit(default)).alias("top_skill"))
+    return skill_counts(jobs).agg(F.coalesce(best, F.lit(default)).alias("top_skill"))
 
 
-def sidebar_stats(jobs: DataFrame, rows: int = 100) -> DataFrame:
+def sidebar_stats(jobs: DataFrame) -> DataFrame:
     """Total, remote, top skill and day of the last load in one row."""
     day = F.substring(F.max(F.col("created_at").cast("string")), 1, 10)
     return jobs.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("job_type") == "remote").alias("remote"),
         F.coalesce(day, F.lit("unknown")).alias("last_updated"),
-    ).withColumn("top_skill", top_skill(jobs, rows).scalar())
+    ).withColumn("top_skill", top_skill(jobs).scalar())
 
 
 def skill_counts_old_new(jobs: DataFrame, limit: int = 10, dims: Dims = DEFAULT) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT, Dims
@@ -60,13 +62,37 @@ def train_and_log(
     return write_table(run, f"{runs_path}/run={run_id}")
 
 
+VERSIONS = "number long, name string, path string"
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(VERSIONS).json(f"{folder}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The latest complete version of a table of the batch build: "jobs", "clean" or "features"."""
+    named = _versions(spark, folder)
+    path = None if named is None else named.where(F.col("name") == name).agg(F.max_by("path", "number")).first()[0]
+    if path is None:
+        raise ValueError(f"no version of {name} in {folder}")
+    return spark.read.parquet(path)
+
+
 def batch_build(
     stored: DataFrame, incoming: DataFrame, folder: str, run_id: str, run_date: str, dims: Dims = DEFAULT
 ) -> DataFrame:
     """Ingest, clean, features, training, drift check: one row per step with its outcome.
 
-    A step that fails is reported and the next one goes on with the last good table.
+    A step that fails is reported with its message and the next one goes on with the last good table. Every
+    table is written as a new version, and no input is overwritten: ``stored`` may well be the version that
+    ``current(spark, folder, "jobs")`` names. A version is named only after it is complete.
     """
+    spark = stored.sparkSession
     state = {"jobs": stored}
     log: list[tuple[int, str, str, int]] = []
 
@@ -74,19 +100,27 @@ def batch_build(
         try:
             log.append((len(log), name, "done", run()))
         except Exception as error:  # each step stands alone, as in a scheduled job
-            log.append((len(log), name, f"failed: {type(error).__name__}", 0))
+            log.append((len(log), name, f"failed: {type(error).__name__}: {str(error).strip().splitlines()[0][:200]}", 0))
+
+    def keep(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{folder}/{name}/version={uuid.uuid4().hex}"
+        written = write_table(rows, path, mode="errorifexists")
+        named = _versions(spark, folder)
+        number = 0 if named is None else named.count()
+        spark.createDataFrame([(number, name, path)], VERSIONS).coalesce(1).write.mode("append").json(f"{folder}/versions")
+        return written
 
     def ingest() -> int:
         grown = stored.unionByName(append_new(stored, incoming))
-        state["jobs"] = write_table(grown, f"{folder}/jobs")
+        state["jobs"] = keep("jobs", grown)
         return state["jobs"].count()
 
     def clean() -> int:
-        state["jobs"] = write_table(preprocess_jobs(state["jobs"], dims), f"{folder}/clean")
+        state["jobs"] = keep("clean", preprocess_jobs(state["jobs"], dims))
         return state["jobs"].count()
 
     def build() -> int:
-        return write_table(feature_table(state["jobs"], dims=dims), f"{folder}/features").count()
+        return keep("features", feature_table(state["jobs"], dims=dims)).count()
 
     def train() -> int:
         return int(train_and_log(state["jobs"], f"{folder}/runs", run_id, run_date, dims).first().metrics["total_jobs_trained"])
@@ -95,7 +129,7 @@ def batch_build(
         report = retrain_if_drift(
             state["jobs"], f"{folder}/reference", f"{folder}/runs", f"{run_id}-drift", run_date, dims=dims
         )
-        return 0 if report is None else int(write_report(report, f"{folder}/drift").first().any_drift)
+        return 0 if report is None else int(write_report(report, f"{folder}/drift/run={run_id}").first().any_drift)
 
     for name, run in (("ingest", ingest), ("clean", clean), ("features", build), ("train", train), ("drift", drift)):
         step(name, run)

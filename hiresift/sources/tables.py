@@ -52,19 +52,6 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     return df if 2 * df.rdd.getNumPartitions() > cores + 1 else df.repartition(cores, df.columns[0])
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> DataFrame:
-    """Write Parquet and read it back; also the way to cut lineage with a table."""
-    writer = df.write.mode(mode)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def write_report(df: DataFrame, path: str) -> DataFrame:
-    """Write a report as JSON lines and read it back with its own schema."""
-    df.write.mode("overwrite").json(path)
-    return df.sparkSession.read.schema(df.schema).json(path)
-
-
 def last_updated(jobs: DataFrame) -> DataFrame:
     """Day of the last load, or 'unknown'."""
     day = F.substring(F.max(F.col("created_at").cast("string")), 1, 10)

@@ -1,7 +1,9 @@
 """Incremental ingest, model update and drift check over landed files.
 
 Every batch writes its own sub-folder, named by the batch number, in overwrite mode. A batch
-that is replayed after a failure therefore replaces its own output and adds nothing twice.
+that is replayed after a failure therefore replaces its own output and adds nothing twice. With a new
+checkpoint the numbers start again: ingest compares each batch with all other stored ones, so that nothing
+is added twice either; training and drift, which only store counts or rows, refuse it.
 """
 
 from __future__ import annotations
@@ -18,20 +20,33 @@ from hiresift.operators.drift import drift_report
 from hiresift.sources.tables import drift_view
 
 
-def _batches(spark: SparkSession, path: str, before: int) -> list[str]:
-    """Folders of all earlier batches that wrote anything."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _root(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _batches(spark: SparkSession, path: str, wanted: Callable[[int], bool] = lambda n: True) -> list[str]:
+    """Folders of the wanted batches that wrote anything."""
+    fs, root = _root(spark, path)
     if not fs.exists(root):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(root)]
     numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-    return [f"{path}/batch={n}" for n in numbers if n < before]
+    return [f"{path}/batch={n}" for n in numbers if wanted(n)]
+
 
+def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All stored batches; without any, an empty table of the given schema."""
+    paths = _batches(spark, path)
+    if not paths and schema:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*paths)
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(*_batches(spark, path, 1 << 62))
+
+def _same_checkpoint(spark: SparkSession, stored: str, checkpoint: str) -> None:
+    fs, folder = _root(spark, checkpoint)
+    if not fs.exists(folder) and _batches(spark, stored):
+        raise ValueError(f"{stored} holds batches of another checkpoint; a new one would count them again")
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -55,8 +70,8 @@ def stream_ingest(stream: DataFrame, table: str, checkpoint: str) -> None:
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = _batches(spark, table, number)
-        new = append_new(spark.read.parquet(*earlier), batch) if earlier else keep_first(batch)
+        others = _batches(spark, table, lambda n: n != number)
+        new = append_new(spark.read.parquet(*others), batch) if others else keep_first(batch)
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     _run(stream, checkpoint, work)
@@ -65,6 +80,8 @@ def stream_ingest(stream: DataFrame, table: str, checkpoint: str) -> None:
 def stream_train(stream: DataFrame, model: str, checkpoint: str, text: Column, label: Column) -> None:
     """Add the counts of each batch; the model is the sum over all batch folders."""
 
+    _same_checkpoint(stream.sparkSession, f"{model}/tokens", checkpoint)
+
     def work(batch: DataFrame, number: int) -> None:
         token_counts, label_counts = nb.train_counts(batch, text, label)
         token_counts.write.mode("overwrite").parquet(f"{model}/tokens/batch={number}")
@@ -75,8 +92,8 @@ def stream_train(stream: DataFrame, model: str, checkpoint: str, text: Column, l
 
 def read_model(spark: SparkSession, model: str) -> tuple[DataFrame, DataFrame]:
     """Sum of all batch counts."""
-    token_counts = read_batches(spark, f"{model}/tokens").groupBy("token", "label").agg(F.sum("n").alias("n"))
-    label_counts = read_batches(spark, f"{model}/labels").groupBy("label").agg(
+    token_counts = read_batches(spark, f"{model}/tokens", "token string, label string, n long").groupBy("token", "label").agg(F.sum("n").alias("n"))
+    label_counts = read_batches(spark, f"{model}/labels", "label string, docs long, tokens long").groupBy("label").agg(
         F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
     )
     return token_counts, label_counts
@@ -85,11 +102,13 @@ def read_model(spark: SparkSession, model: str) -> tuple[DataFrame, DataFrame]:
 def stream_drift(stream: DataFrame, table: str, reports: str, checkpoint: str) -> None:
     """Store each batch and compare all rows up to it with the first batch, the reference."""
 
+    _same_checkpoint(stream.sparkSession, table, checkpoint)
+
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         path = f"{table}/batch={number}"
         drift_view(batch).write.mode("overwrite").parquet(path)
-        earlier = _batches(spark, table, number)
+        earlier = _batches(spark, table, lambda n: n < number)
         if earlier:
             report = drift_report(spark.read.parquet(earlier[0]), spark.read.parquet(*earlier, path))
             report.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(
