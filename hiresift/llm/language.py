@@ -75,18 +75,25 @@ class Model:
         return names, value
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int, ridge: float, order: int) -> Model:
+def unit_rows(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of length 1 from packed rows."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, order: int) -> Model:
+    """bits: packed presence rows. They are unpacked ROWS at a time, which bounds the driver's memory."""
     names = sorted(set(labels))
     y = np.array([[float(a == n) for n in names] for a in labels])
-    x = x.astype(np.float32)
-    unit = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    z = unit[np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int)]
+    z = unit_rows(bits[np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int)])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (unit @ z.T).astype(np.float64) @ root
-    w = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(names, (z.T.astype(np.float64) @ (root @ w)).astype(np.float32), order)
+    kernel = np.concatenate([unit_rows(bits[i:i + ROWS]) @ z.T for i in range(0, len(bits), ROWS)])
+    phi = kernel.astype(np.float64) @ root
+    w = np.linalg.solve(phi.T @ phi + ridge * len(bits) * np.eye(phi.shape[1]), phi.T @ y)
+    return Model(names, z.T @ (root @ w).astype(np.float32), order)
 
 
 def _features(batches, order: int):
@@ -111,8 +118,8 @@ def train(labelled: DataFrame, sample_docs: int = 2000, max_labels: int = 200, l
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1)
-    return fit(x, [r["lang"] for r in rows], landmarks, ridge, order)
+    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in rows])
+    return fit(bits, [r["lang"] for r in rows], landmarks, ridge, order)
 
 
 def _predict(batches, model: Model | None):
