@@ -37,6 +37,17 @@ def test_long_texts_are_cut_safely(library, monkeypatch):
     assert flat.tolist() == library.encode(text).ids + library.encode("x " * 100).ids
 
 
+def test_a_small_cache_gives_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    monkeypatch.setattr(tokens, "FLUSH_PARTS", 10)
+    encoder = tokens.Encoder(tokens.default_path())
+    texts = [f"the word{i} and, again\n\nthe é{i % 7}|x\nend\n" + "a" * i for i in range(120)]
+    for text in texts + texts:
+        flat, counts = encoder.encode([text])
+        assert flat.tolist() == library.encode(text).ids and counts.tolist() == [len(flat)]
+    assert len(encoder.index) < 80
+
+
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_first_fit_decreasing_equals_a_plain_scan(sizes):
     bins = []
