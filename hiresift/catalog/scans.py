@@ -121,6 +121,26 @@ def union_feeds(spark, sf_dir):
     return feeds.union_feeds({f: _flat(f)(spark, sf_dir) for f in PAYLOADS})
 
 
+# One page in three is cut short, one is wrapped under another name, one arrives whole.
+_BROKEN = {0: "not json", 1: "no list"}
+
+
+@query("feed_rejects", " UNION ALL ".join(
+    f"""SELECT '{f}' AS feed, page, CASE page % 3 {" ".join(f"WHEN {k} THEN '{r}'" for k, r in _BROKEN.items())} END AS reason
+FROM (SELECT DISTINCT doc_id // {PAGE} AS page FROM documents) WHERE page % 3 < 2""" for f in PAYLOADS))
+def feed_rejects(spark, sf_dir):
+    out = None
+    for feed, payload in PAYLOADS.items():
+        pages = payload(jobs_fx(spark, sf_dir))
+        kind = F.pmod("page", F.lit(3))
+        damaged = F.when(kind == 0, F.expr("left(payload, length(payload) - 1)")).when(
+            kind == 1, F.concat(F.lit('{"page":'), "payload", F.lit("}"))).otherwise(F.col("payload"))
+        rejects = feeds.feed_rejects(pages.withColumn("payload", damaged), feed)
+        part = rejects.select(F.lit(feed).alias("feed"), "page", "reason")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("load_jobs_defaults", ctes(JOBS) + """
 SELECT job_id, coalesce(title, '') AS title, coalesce(company, '') AS company, coalesce(description, '') AS description,
   coalesce(location, '') AS location, coalesce(job_type, '') AS job_type, coalesce(salary_min, 0) AS salary_min,

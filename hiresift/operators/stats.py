@@ -117,12 +117,16 @@ def location_gaps(jobs: DataFrame, top: int = 25, dims: Dims = DEFAULT) -> DataF
 def low_cardinality_profile(df: DataFrame, max_distinct: int = 15) -> DataFrame:
     """Value counts of every string column with few distinct values.
 
-    A sketch in one pass rules out columns that are far above the limit; the others are counted
-    exactly, so that long texts are never shuffled.
+    A first pass counts the hash buckets that a column's values fall into. A column has at least as
+    many values as buckets, so one that fills more than ``max_distinct`` is surely out; the others are
+    counted exactly. Long texts are never shuffled.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    rough = df.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first()
-    narrow = [n for n in names if rough[n] <= 4 * max_distinct + 20]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long")
+    words = max_distinct // 16 + 1
+    least = df.agg(*[_filled_buckets(F.col(n), words).alias(str(i)) for i, n in enumerate(names)]).first()
+    narrow = [n for i, n in enumerate(names) if least[i] <= max_distinct]
     if not narrow:
         return df.sparkSession.createDataFrame([], "column string, value string, n long")
     cells = df.select(F.explode(F.array(*[
@@ -135,6 +139,14 @@ def low_cardinality_profile(df: DataFrame, max_distinct: int = 15) -> DataFrame:
     return counts.withColumn("d", F.count("*").over(few)).where(F.col("d") <= max_distinct).drop("d")
 
 
+def _filled_buckets(col: Column, words: int) -> Column:
+    """Number of hash buckets, 64 for each word of bits, that hold a value: never more than there are values."""
+    bucket = F.when(col.isNotNull(), F.pmod(F.xxhash64(col), F.lit(64 * words)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int"))
+    filled = [F.bit_count(F.bit_or(F.when(F.floor(bucket / 64) == w, bit))) for w in range(words)]
+    return sum((F.coalesce(n, F.lit(0)) for n in filled), F.lit(0))
+
+
 def share(df: DataFrame, key: Column | str, name: str = "value", rows: Column | None = None) -> DataFrame:
     """Count and share of each value of a column; ``rows`` sums up rows counted before."""
     key = F.col(key) if isinstance(key, str) else key

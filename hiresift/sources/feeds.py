@@ -106,9 +106,25 @@ def flatten_feed(payloads: DataFrame, feed: str, dims: Dims = DEFAULT) -> DataFr
     return FEEDS[feed][1](parse_payload(payloads, feed), dims)
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed files, one payload per line."""
-    return spark.read.text(path).withColumnRenamed("value", "payload")
+def feed_rejects(payloads: DataFrame, feed: str) -> DataFrame:
+    """Payloads that ``flatten_feed`` gets no page from, all columns kept, with the reason.
+
+    "not json": the text is null or broken; "no list": it is JSON but its list of postings is missing or of
+    another kind. An empty list is a page without postings, and no reject.
+    """
+    page = F.from_json("payload", FEEDS[feed][0])
+    if feed == "a":
+        # a lone object would pass as a list of one
+        listed = F.when(F.col("payload").rlike(r"^\s*\["), page)
+    else:
+        listed = page[FEEDS[feed][0].names[0]]
+    reason = F.when(F.get_json_object("payload", "$").isNull(), F.lit("not json")).otherwise(F.lit("no list"))
+    return payloads.where(listed.isNull()).withColumn("reason", reason)
+
+
+def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Landed files, one payload per line; with ``whole_files`` one per file, whose text may span lines."""
+    return spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "payload")
 
 
 def union_feeds(postings: dict[str, DataFrame]) -> DataFrame:

@@ -214,6 +214,10 @@ def test_low_cardinality(spark):
     df = spark.createDataFrame([(f"v{i % 3}", f"u{i}", None if i else "x") for i in range(200)], "few string, many string, rare string")
     got = {(r.column, r.value): r.n for r in stats.low_cardinality_profile(df).collect()}
     assert got == {("few", "v0"): 67, ("few", "v1"): 67, ("few", "v2"): 66, ("rare", "x"): 1}
+    # exactly at the border, whatever buckets the values fall into
+    edge = spark.createDataFrame([(f"a{i % 40}", f"b{i % 41}", None) for i in range(1640)], "inside string, outside string, none string")
+    got = {r.column for r in stats.low_cardinality_profile(edge, 40).collect()}
+    assert got == {"inside"}
 
 
 PAYLOADS = {
@@ -239,6 +243,20 @@ def test_feeds_from_files(spark, tmp_path, feed, expected):
     assert got == sorted(expected)
 
 
+@pytest.mark.parametrize("feed", list(PAYLOADS))
+def test_feed_rejects(spark, tmp_path, feed):
+    whole = json.dumps(PAYLOADS[feed])
+    pages = [(1, whole), (2, whole[:-1]), (3, '{"other": 1}'), (4, None), (5, ""), (6, "[]" if feed == "a" else '{"data": [], "results": []}')]
+    payloads = spark.createDataFrame(pages, "page int, payload string")
+    got = {r.page: r.reason for r in feeds.feed_rejects(payloads, feed).collect()}
+    assert got == {2: "not json", 3: "no list", 4: "not json", 5: "not json"}
+    (tmp_path / "page.json").write_text(json.dumps(PAYLOADS[feed], indent=2), encoding="utf-8")
+    landed = feeds.read_payloads(spark, str(tmp_path), whole_files=True)
+    assert feeds.feed_rejects(landed, feed).isEmpty() and not feeds.flatten_feed(landed, feed).isEmpty()
+    by_line = feeds.read_payloads(spark, str(tmp_path))
+    assert not feeds.feed_rejects(by_line, feed).isEmpty()
+
+
 def test_training_run_and_history(spark):
     jobs = jobs_frame(spark, [{"id": i, "title": "Data Scientist" if i % 2 else "Chef", "description": "alpha beta"} for i in range(10)])
     runs = work_path(spark, "runs")
