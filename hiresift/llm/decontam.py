@@ -5,15 +5,16 @@ words: step j writes the word it stands on, and a random bit that depends on j a
 it moves on. Windows at a small edit distance come out at a small Hamming distance, so hashing sampled
 positions of the embedded string finds them: a table samples few positions, and enough tables and
 independent walks make it likely that one agrees. Windows are sized by the item: an item of m words is filed
-under all its windows of w <= 2m/3 words (a power of two), and documents are read in windows of w words at every
-w/4th word, so an occurrence holds several windows of both kinds. What agrees is verified by the exact edit
+under all its windows of w <= 2m/3 words (a power of two, LARGEST at most), and documents are read in windows of w words
+at every w/4th word, so an occurrence holds several windows of both kinds. A window holds few edits however long the item
+is, and longer items have more windows. What agrees is verified by the exact edit
 distance of the whole item to the best place around the window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from hiresift.llm.common import bind, id_and_text, mix64, text_batches
 BLOCK_CHARS = 8_000_000
 WALKS = 2
 TABLES = 8
+LARGEST = 16
 _DROP = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
 
@@ -73,7 +75,7 @@ class Walk:
 
 
 def window_size(m: int) -> int:
-    return max(1, 1 << int(log2(max(1, 2 * m // 3))))
+    return min(LARGEST, 1 << int(log2(max(1, 2 * m // 3))))
 
 
 def stride(size: int) -> int:
@@ -219,14 +221,3 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, carr
     for block in _blocks(benchmark):
         rows = rows.mapInArrow(bind(_scan, index=Index(block, rate)), rows.schema)
     return rows.drop("text").withColumn("contaminated", F.size("items") > 0)
-
-
-def expected_recall(size: int, mismatch: float) -> float:
-    """Chance that some table agrees when the share `mismatch` of embedded positions differs."""
-    k = Walk(size, 0).k
-    return 1 - (1 - (1 - mismatch) ** k) ** (WALKS * TABLES)
-
-
-def tables_needed(k: int, mismatch: float, recall: float) -> int:
-    """Tables that reach the recall at this share of differing positions."""
-    return ceil(log2(1 - recall) / log2(1 - (1 - mismatch) ** k))

@@ -112,3 +112,19 @@ def test_contamination_of_odd_rows(spark, docs):
     assert [sorted(r["items"]) for r in rows if r.contaminated] == [[1, 2]] and len(rows) == 4
     assert not decontam.contamination(docs([(1, "alpha")]), bench.limit(0)).first().contaminated
     assert decontam.contamination(docs([]), bench).count() == 0
+
+
+@pytest.mark.parametrize("m", [24, 48, 96, 200, 400])
+def test_recall_at_the_full_edit_rate(m):
+    rng = random.Random(m)
+    word = lambda: b"v%d" % rng.randrange(3000)
+    items = [(i, [word() for _ in range(m)]) for i in range(100)]
+    texts = []
+    for _, words in items:
+        words = list(words)
+        for at in sorted(rng.sample(range(m), m // 5), reverse=True):
+            words[at:at + 1] = rng.choice([[], [b"x%d" % at], [words[at], b"x%d" % at]])
+        around = [word() for _ in range(rng.randint(0, 150))]
+        texts.append(b" ".join(around + words + around).decode())
+    found = decontam._found(decontam.Index(items, 0.2), texts)
+    assert sum(i in f for i, f in enumerate(found)) >= 98
