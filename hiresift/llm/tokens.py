@@ -4,7 +4,8 @@ The tokenizer splits a text into pre-tokens and encodes each on its own. A lone
 characters always begins a pre-token and a line break always ends one, so a text of plain Latin characters is
 split at spaces and line breaks, and each distinct part is encoded once by the library. A plain text whose spaces
 stand otherwise is split by the tokenizer's own rule; a text with any other character goes to the library in
-large parts. Ids are the same either way.
+large parts, and one that holds the string of an added token (such as an end mark) goes there whole. Ids are the same
+either way.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.spaced = [t for t in self.added if " " in t]  # these could arise where parts are joined
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
@@ -136,7 +138,10 @@ class Encoder:
 
     def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, each after a space, and their number: an id stands for a fixed number of bytes, which tells parts apart."""
-        flat = np.concatenate(self._ids([" " + " ".join(parts[i:i + 256]) for i in range(0, len(parts), 256)]))
+        texts = [" " + " ".join(parts[i:i + 256]) for i in range(0, len(parts), 256)]
+        if any(t in text for t in self.spaced for text in texts):
+            return self._single([" " + x for x in parts])
+        flat = np.concatenate(self._ids(texts))
         ends = np.cumsum(np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts)) + 1)
         reached = np.cumsum(self.bytes[flat])
         last = np.searchsorted(reached, ends)
@@ -173,6 +178,11 @@ class Encoder:
             ends.clear()
 
         for row, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                flush()
+                ids.extend(self._ids([text]))
+                counts[row] = len(ids[-1])
+                continue
             plain = _is_plain(text)
             lone = plain and not any(x in text for x in OTHER_SPACE) and text[:1] != " " != text[-1:]
             for piece in _cuts(text):

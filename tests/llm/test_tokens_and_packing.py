@@ -128,3 +128,17 @@ def test_files_round_trip(spark, docs, library):
         at += len(ids)
     empty = rans.write_tokens(docs([]), work_path(spark, "t"))
     assert rans.read_tokens(spark, empty).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=4))
+def test_ids_equal_an_untouched_library(texts):
+    flat, counts = tokens.encoder(tokens.default_path()).encode(texts)
+    want = [e.ids for e in Tokenizer.from_file(tokens.default_path()).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_added_tokens_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE_CHARS", 5)
+    flat, counts = tokens.Encoder(tokens.default_path()).encode(["x y", "a <|endoftext|> b", "a b"])
+    assert flat.tolist()[counts[0]:counts[0] + counts[1]] == [64, 220, 50256, 275] and counts[1] == 4
