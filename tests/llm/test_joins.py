@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hiresift.llm import decontam, jaccard
@@ -128,3 +130,22 @@ def test_recall_at_the_full_edit_rate(m):
         texts.append(b" ".join(around + words + around).decode())
     found = decontam._found(decontam.Index(items, 0.2), texts)
     assert sum(i in f for i, f in enumerate(found)) >= 98
+
+
+@pytest.mark.parametrize("rows", [7, 8, 9, 12])
+def test_a_group_over_the_bound_is_joined_wherever_batches_end(monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "GROUP", 6)
+    point = np.zeros(jaccard.GROUPS, np.uint8)
+    token, node = [1, 1] + [2] * rows + [3], [100, 101, *range(rows), 200]
+    # Points under the bound: only the hub joins them.
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array(token), pa.array(node), pa.array([50] * len(node)), pa.array([point.tobytes()] * len(node))],
+        ["token", "node", "n", "point"])
+    for a in range(len(node) + 1):
+        for b in range(a, len(node) + 1):
+            batches = [whole.slice(0, a), whole.slice(a, b - a), whole.slice(b)]
+            edges = [e for out in jaccard._forests(batches) for e in zip(*(c.to_pylist() for c in out.columns))]
+            linked = {0}
+            while more := {x for e in edges for x in e if linked & set(e)} - linked:
+                linked |= more
+            assert linked == set(range(rows)), (a, b)
