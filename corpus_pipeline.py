@@ -34,10 +34,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @shipped
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id. Rows without an id stay."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    """One row of each group of near duplicates: the one of smallest id, text hash and row hash.
+
+    A row without an id does not count as a copy of one with an id; of a group's rows without one, one stays as well.
+    Equal rows of all columns are one.
+    """
+    gone, equal = jaccard.repeats(docs)
+    keys = ["doc_id", *jaccard.KEYS]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(n) for n, k in zip(jaccard.KEYS, jaccard.row_keys(docs))])
+    gone, equal = (x.select(*[F.col(c).alias(f"_{c}") for c in keys]) for x in (gone, equal))
+    one = rows.join(equal, jaccard.same_row()).dropDuplicates(keys).select(*rows.columns)
+    return rows.join(gone, jaccard.same_row(), "left_anti").union(one).drop(*jaccard.KEYS)
 
 
 @shipped

@@ -48,3 +48,16 @@ def test_odd_documents(spark):
 def test_every_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert jaccard.WORDS == 5 and work_path
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(2)
+    base, other, third, own = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(60)) for k in "abcd")
+    rows = [(3, base, "x"), (3, base, "x"), (3, base, "x"), (8, base + " more", "x"), (None, other, "x"), (None, other, "x"),
+            (None, other + " more", "x"), (5, third, "x"), (6, third, "x"), (6, own, "x"), (7, third, "y"), (5, third, None),
+            (None, None, "x"), (None, None, "x"), (9, "", None), (9, "", None)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.duplicate_stage(spark, docs, SF_DIR).collect()]
+    assert sorted(x for x in kept if x[0] is not None and x[1]) == sorted([(3, base), (5, third), (6, own)])
+    assert sum(t is not None and t.startswith(other) for _, t in kept) == 1
+    assert kept.count((None, None)) == 2 and kept.count((9, "")) == 2 and len(kept) == 8
