@@ -149,3 +149,16 @@ def test_a_group_over_the_bound_is_joined_wherever_batches_end(monkeypatch, rows
             while more := {x for e in edges for x in e if linked & set(e)} - linked:
                 linked |= more
             assert linked == set(range(rows)), (a, b)
+
+
+def test_a_chunk_meets_the_probes_of_one_chunk_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(60)]
+    sets += [np.sort(np.append(s[:-2], rng.integers(0, 1 << 63, 2).astype(np.uint64))) for s in sets]
+    rows = [(7, 0, -1, i) for i in range(60)] + [(7, 0, 1 + i % 12, 60 + i) for i in sorted(range(60), key=lambda i: i % 12)]
+    batch = pa.RecordBatch.from_pylist([
+        {"block": b, "chunk": c, "sender": s, "n": len(sets[i]), "hashes": sets[i].tobytes(), "comp": i} for b, c, s, i in rows])
+    held, make = [], jaccard._runs
+    monkeypatch.setattr(jaccard, "_runs", lambda *a: (held.append(t.num_rows) or t for t in make(*a)))
+    edges = [e for out in jaccard._ask([batch.slice(0, 50), batch.slice(50)]) for e in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(edges) == [(60 + i, i) for i in range(60)] and held == [60] + [5] * 12
