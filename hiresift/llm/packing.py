@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from hiresift.llm.common import bind, slices
 from hiresift.llm.tokens import default_path, encoder
 
+# About so many characters are packed together, which bounds a task's memory.
+GROUP_CHARS = 32_000_000
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, padded_tokens long")
 
@@ -87,18 +89,17 @@ def _padded(size: int, room: int) -> int:
     return size if size & (size - 1) == 0 else room
 
 
-def _pack_group(table: pa.Table, path: str, room: int, end_id: int, min_cut: int) -> pa.Table:
-    # The order of rows in a group must not depend on the shuffle.
-    table = table.sort_by([("doc_id", "ascending"), ("_h", "ascending")])
-    docs = table.column("doc_id").to_pylist()
+def _pack_run(run: list[tuple[int | None, str | None]], base: int, path: str, room: int, end_id: int,
+              min_cut: int) -> pa.RecordBatch:
+    """Sequences numbered from base of the documents of a run."""
+    docs = [d for d, _ in run]
     ids = []
-    for _, texts in slices(v.as_py() for v in table.column("text")):
+    for _, texts in slices(t for _, t in run):
         flat, counts = encoder(path).encode(texts)
         at = 0
         for n in counts.tolist():
             ids.append(np.append(flat[at:at + n], np.uint32(end_id)).astype("<u4"))
             at += n
-    base = table.column("_g")[0].as_py() << 32
     rows = []
     for number, pieces in enumerate(plan([len(x) for x in ids], room, min_cut)):
         offset, total = 0, sum(p[2] for p in pieces)
@@ -109,7 +110,32 @@ def _pack_group(table: pa.Table, path: str, room: int, end_id: int, min_cut: int
     kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 5
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _pack_groups(batches, most_docs: int, **fixed):
+    """Packs sorted rows group by group; a group is closed at most_docs documents or GROUP_CHARS characters and begun anew."""
+    run, size, group, base = [], 0, None, 0
+
+    def closed():
+        nonlocal run, size, base
+        if run:
+            out = _pack_run(run, base, **fixed)
+            base = out.column("sequence_id")[-1].as_py() + 1
+            run, size = [], 0
+            yield out
+
+    for batch in batches:
+        for number, doc, text in zip(*(batch.column(c) for c in ("_g", "doc_id", "text"))):
+            number, text = number.as_py(), text.as_py()
+            if number != group:
+                yield from closed()
+                group, base = number, number << 32
+            if run and (len(run) >= most_docs or size + len(text or "") > GROUP_CHARS):
+                yield from closed()
+            run.append((doc.as_py(), text))
+            size += len(text or "")
+    yield from closed()
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id: int = 0,
@@ -117,13 +143,24 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id
     """One row per piece of a document in a sequence, with the piece's ids as little-endian uint32 bytes.
 
     Every document (null text: empty) is its token ids and then end_id. Groups hold about group_docs
-    documents chosen by a hash of id and text, so a task's memory does not depend on the input and no
-    key is hot. Room below min_cut tokens stays as padding; sequence_tokens is the used length and
+    documents chosen by a hash of id and text; one is closed at twice that or at GROUP_CHARS characters (or one
+    document), so a task's memory does not depend on the input. Where more than group_docs rows have one id and text, each
+    input partition has a group of its own for them, so no key is hot. Room below min_cut tokens stays as padding; sequence_tokens is the used length and
     padded_tokens the length after padding, which a power of two does not need. Null ids and repeated
     rows are documents like others; an empty table gives no rows; extra columns are not read.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    keyed = chosen.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_g", F.pmod(F.col("_h"), F.lit(groups)))
-    run = bind(_pack_group, path=tokenizer or default_path(), room=room, end_id=end_id, min_cut=min_cut)
-    return keyed.groupBy("_g").applyInArrow(run, SCHEMA)
+    keyed = chosen.withColumn("_h", F.xxhash64("doc_id", "text"))
+    # At most one number for each group_docs rows.
+    often = [r["_h"] for r in keyed.groupBy("_h").count().filter(F.col("count") > group_docs).select("_h").toLocalIterator()]
+    if often:
+        table = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in often], "_often long"))
+        apart = F.when(F.col("_often").isNotNull(), F.xxhash64("_h", F.spark_partition_id())).otherwise(F.col("_h"))
+        keyed = keyed.join(table, F.col("_h") == F.col("_often"), "left").withColumn("_at", apart).drop("_often")
+    else:
+        keyed = keyed.withColumn("_at", F.col("_h"))
+    dealt = keyed.withColumn("_g", F.pmod("_at", F.lit(groups))).drop("_at").repartition("_g")
+    # The order of rows in a group must not depend on the shuffle.
+    run = bind(_pack_groups, most_docs=2 * group_docs, path=tokenizer or default_path(), room=room, end_id=end_id, min_cut=min_cut)
+    return dealt.sortWithinPartitions("_g", "doc_id", "_h").mapInArrow(run, SCHEMA)

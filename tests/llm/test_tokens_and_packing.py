@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,18 @@ def test_added_tokens_keep_their_ids(monkeypatch):
     monkeypatch.setattr(tokens, "PIECE_CHARS", 5)
     flat, counts = tokens.Encoder(tokens.default_path()).encode(["x y", "a <|endoftext|> b", "a b"])
     assert flat.tolist()[counts[0]:counts[0] + counts[1]] == [64, 220, 50256, 275] and counts[1] == 4
+
+
+def test_repeated_rows_do_not_meet_in_one_group(docs, monkeypatch):
+    rows = [(None, "same words here")] * 300 + [(i, f"text {i}") for i in range(100)]
+    found = packing.pack(docs(rows).repartition(8), group_docs=20).collect()
+    assert sum(r.doc_tokens for r in found if r.start == 0) == sum(r.length for r in found) and len({r.sequence_id for r in found}) > 8
+    groups = defaultdict(int)
+    for r in found:
+        groups[r.sequence_id] += r.doc_id is None
+    assert sum(groups.values()) >= 300 and max(groups.values()) <= 40
+    monkeypatch.setattr(packing, "GROUP_CHARS", 100)
+    batch = pa.RecordBatch.from_pylist([{"_g": 5, "doc_id": i, "text": "a b " * 10} for i in range(9)])
+    out = list(packing._pack_groups([batch.slice(0, 4), batch.slice(4)], 50, path=tokens.default_path(), room=1024, end_id=0, min_cut=8))
+    assert [b.num_rows for b in out] == [2, 2, 2, 2, 1]
+    assert sorted({i for b in out for i in b.column("sequence_id").to_pylist()}) == [(5 << 32) + k for k in range(5)]
