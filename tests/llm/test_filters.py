@@ -154,17 +154,3 @@ def test_lines_without_anchor_words_are_unknown(model):
     others = np.array([not anchors & set(g.split(" ")) for g in model.grams])
     gain = np.maximum(model.matrix[1:] - model.matrix[0], 0)[:, others].sum(1)
     assert (gain < model.intercepts[0] - np.array(model.intercepts[1:])).all()
-
-
-def test_wrapped_licence_headers(docs, model):
-    headers = {
-        "GPL": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
-               "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
-        "MIT": " * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated documentation files (the\n"
-               ' * "Software"), to deal in the Software without restriction,',
-        "Apache-2.0": '// Licensed under the Apache License,\n// Version 2.0 (the "License"); you may not use this\n// file except in compliance with\n// the License.',
-    }
-    rows = licenses.scan(docs([(i, f"Some prose.\n\n{t}\n\nMore prose stands here.") for i, t in enumerate(headers.values())]), model).collect()
-    for i, family in enumerate(headers):
-        assert any(r.confirmed and r.family == family for r in rows if r.doc_id == i), (family, rows)
-    assert {(r.doc_id, r.line) for r in rows if r.confirmed} <= {(i, x) for i, t in enumerate(headers.values()) for x in t.split("\n")}
