@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm import (
-    chat, decontam, host_rules, jaccard, language, licenses, packing, quality, rans, url_filter,
+    chat, clusters, decontam, host_rules, jaccard, language, licenses, negatives, packing, pii, quality, rans, url_filter,
 )
 from hiresift.llm.common import id_crc, ship
+from hiresift.llm.oracles import ORACLES
 
 Rule = url_filter.Rule
 RULES = (
@@ -85,6 +86,20 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).drop("base_spans")
+
+
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query or stage, with the package sent to the executors first."""
     @wraps(query)
@@ -94,8 +109,8 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: shipped(f) for f in (
     op1_packing, op2_url_filter, op3_language, op4_decontamination, op5_license_scan, op6_jaccard_join,
-    op7_chat_format, op8_quality, op9_token_files, op10_host_rules)}
-
-ORACLES: dict[str, str] = {}
+    op7_chat_format, op8_quality, op9_token_files, op10_host_rules, op11_hard_negatives, op12_clusters, op13_pii)}
