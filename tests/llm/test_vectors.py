@@ -77,7 +77,7 @@ def test_negatives_of_odd_rows(spark):
 
 def test_scores_beyond_doubles_are_exact(spark):
     rng = random.Random(5)
-    rows = [(i, [float(rng.randrange(-90_000, 90_000)) for _ in range(40)], i // 10 % 2) for i in range(0, 300, 10)]
+    rows = [(i, [float(rng.randrange(-500_000, 500_000)) for _ in range(40)], i // 10 % 2) for i in range(0, 300, 10)]
     got = mined(spark, rows)
     assert got == plain_negatives(rows) and max(r[4] for r in got) > 2 ** 53
 
