@@ -3,17 +3,18 @@
 from pyspark.sql import functions as F
 
 from hiresift import schema as S
-from hiresift.catalog.base import JOBS, KEYED, category, ctes, jobs_fx, query, quote, table, tag_list, tech
-from hiresift.catalog.scans import BOW, DOCS, NEW_ROWS, NO_TITLE, SPLIT_DAY, TOKS
+from hiresift.catalog.base import JOBS, KEYED, category, city, company, ctes, jobs_fx, query, quote, table, tag_list, tech, title
+from hiresift.catalog.scans import BOW, DOCS, FLAT, NEW_ROWS, NO_TITLE, PAYLOADS, SPLIT_DAY, TOKS, as_jobs
 from hiresift.dims import DEFAULT, STOP_WORDS
 from hiresift.functions.skills import onehot_name
 from hiresift.functions.text import assign_category, model_text, model_text_no_title
 from hiresift.operators import evaluate, features, nb
 from hiresift.plans import build
 from hiresift.session import work_path
+from hiresift.sources import feeds
 from hiresift.sources.tables import write_report
 from hiresift.streaming import incremental
-
+from hiresift.streaming.postings import PostingTable
 
 
 def _label():
@@ -148,15 +149,6 @@ def nb_predict(spark, sf_dir):
     return nb.predict(nb.saved(nb.train_counts(docs, F.col("text"), F.col("label"))), docs, F.col("text"))
 
 
-@query("nb_update", ctes(JOBS, DOCS, TOKS) + "SELECT token, label, CAST(sum(n) AS BIGINT) AS n FROM toks GROUP BY token, label")
-def nb_update(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
-    old = F.col("created_at") < SPLIT_DAY
-    first = nb.train_counts(docs.where(old), F.col("text"), F.col("label"))
-    more = nb.train_counts(docs.where(~old), F.col("text"), F.col("label"))
-    return nb.add_counts(first, more)[0]
-
-
 # Running counts by window functions over the whole table.
 PREQUENTIAL = """classes AS (SELECT DISTINCT label FROM docs),
 lens AS (SELECT d.id, d.label, coalesce(sum(t.n), 0) AS len FROM docs d LEFT JOIN toks t ON t.id = d.id GROUP BY d.id, d.label),
@@ -195,8 +187,54 @@ def prequential_curve(spark, sf_dir):
     return nb.accuracy_curve(nb.prequential(labelled(spark, sf_dir), F.col("text"), F.col("label")))
 
 
-RUN = """SELECT substr('run-0001-all', 1, 8) AS run_id, round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) AS accuracy,
-  CAST(count(*) AS DOUBLE) AS jobs, (SELECT max(created_at) FROM docs) AS run_date FROM scored"""
+# A model as rows: token counts, label counts, accuracy. The second half of the rows comes as an update.
+MODEL_ROWS = """SELECT 'token' AS part, token AS key, label, CAST(sum(n) AS DOUBLE) AS value FROM toks GROUP BY token, label
+UNION ALL SELECT 'docs', '', label, CAST(docs AS DOUBLE) FROM cls UNION ALL SELECT 'tokens', '', label, CAST(tokens AS DOUBLE) FROM cls
+UNION ALL SELECT 'accuracy', '', '', round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) FROM scored
+UNION ALL SELECT 'trained', '', '', CAST(count(*) AS DOUBLE) FROM scored"""
+
+
+def model_rows(model):
+    tokens, labels = model.counts()
+    none = F.lit("")
+
+    def part(df, name, key, label, value):
+        return df.select(F.lit(name).alias("part"), key.alias("key"), label.alias("label"), value.cast("double").alias("value"))
+
+    accuracy = model.accuracy()
+    return (part(tokens, "token", F.col("token"), F.col("label"), F.col("n"))
+            .unionByName(part(labels, "docs", none, F.col("label"), F.col("docs")))
+            .unionByName(part(labels, "tokens", none, F.col("label"), F.col("tokens")))
+            .unionByName(part(accuracy, "accuracy", none, none, F.col("accuracy")))
+            .unionByName(part(accuracy, "trained", none, none, F.col("trained"))))
+
+
+@query("nb_model_roundtrip", ctes(JOBS, DOCS, TOKS, COUNTS, PREQUENTIAL.replace("\nlens AS", "\nplens AS").replace("FROM lens l", "FROM plens l")) + MODEL_ROWS)
+def nb_model_roundtrip(spark, sf_dir):
+    model = nb.StoredModel(spark, work_path(spark, "model"))
+    model.train(labelled(spark, sf_dir), F.col("text"), F.col("label"))
+    return model_rows(model)
+
+
+# Updates learn the rows of the first half of the month, then the others, each in the order of their ids.
+IN_ORDER = f"docs AS (SELECT (CASE WHEN created_at < '{SPLIT_DAY}' THEN 0 ELSE 10000000000 END) + id AS id, label, x, created_at FROM plain_docs)"
+DOCS_IN_ORDER = DOCS.replace("docs AS", "plain_docs AS", 1) + ",\n" + IN_ORDER
+
+
+@query("nb_update", ctes(JOBS, DOCS_IN_ORDER, TOKS, COUNTS, PREQUENTIAL.replace("\nlens AS", "\nplens AS").replace("FROM lens l", "FROM plens l")) + MODEL_ROWS)
+def nb_update(spark, sf_dir):
+    docs = labelled(spark, sf_dir)
+    old = F.col("created_at") < SPLIT_DAY
+    model = nb.StoredModel(spark, work_path(spark, "model"))
+    for part in (docs.where(old), docs.where(~old)):
+        model.update(part, F.col("text"), F.col("label"))
+    return model_rows(model)
+
+
+RUN = """SELECT substr(run, 1, 8) AS run_id, accuracy, jobs, run_date FROM (
+  SELECT round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) AS accuracy, CAST(count(*) AS DOUBLE) AS jobs,
+    (SELECT max(created_at) FROM docs) AS day FROM scored), (VALUES ('run-0001-all', NULL), ('run-0003-all', NULL), ('run-0002-all', '2025-12-31')) r(run, given),
+  LATERAL (SELECT coalesce(given, day) AS run_date) ORDER BY run_date DESC, run DESC"""
 
 
 @query("run_history", ctes(JOBS, DOCS, TOKS, PREQUENTIAL) + RUN)
@@ -205,6 +243,9 @@ def run_history(spark, sf_dir):
     day = jobs.agg(F.max("created_at")).first()[0]
     runs = work_path(spark, "runs")
     build.train_and_log(jobs, runs, "run-0001-all", day)
+    scored = nb.prequential(jobs, _text(), _label())
+    for run, at in (("run-0003-all", day), ("run-0002-all", "2025-12-31")):
+        nb.training_run(scored, run, at).write.parquet(f"{runs}/run={run}")
     history = nb.run_history(spark.read.schema(S.RUNS).parquet(runs))
     return history.withColumn("accuracy", F.round("accuracy", 6))
 
@@ -328,11 +369,6 @@ def class_report(spark, sf_dir):
 # --- composite jobs -----------------------------------------------------------------------------
 
 
-def as_jobs(spark, sf_dir):
-    """The derived postings with the stored types."""
-    return jobs_fx(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
-
-
 # Half of the rows against all of them is volume drift, so the second call trains and logs a run.
 @query("retrain_if_drift", ctes(JOBS, DOCS, TOKS, PREQUENTIAL) + f"""
 SELECT 'run-2' AS run_id, round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) AS accuracy,
@@ -364,47 +400,73 @@ def batch_build(spark, sf_dir):
 
 
 # --- streams ------------------------------------------------------------------------------------
-
-
-def _land(spark, jobs, folder, part):
-    """Write one delivery of postings as JSON files."""
-    jobs.write.mode("append").json(f"{folder}/in/part={part}")
+# Two deliveries. Each has a folder of its own, and the second one is read with a new checkpoint: the first is archived by then.
 
 
 def _deliveries(spark, sf_dir):
     jobs = as_jobs(spark, sf_dir)
-    old = F.col("created_at") < SPLIT_DAY
-    return [jobs.where(old), jobs.where(~old)]
+    return [jobs.where(F.col("created_at") < SPLIT_DAY), jobs.where(F.col("created_at") >= AGAIN_DAY)]
 
 
-def stream_twice(spark, sf_dir, name, run):
-    """Land and consume two deliveries, one after the other; the second run resumes the first."""
+def _streamed_parts(spark, sf_dir, name, run):
+    """Land the two halves of the postings and consume them one after the other; the second run resumes the first."""
     folder = work_path(spark, name)
-    for part, delivery in enumerate(_deliveries(spark, sf_dir)):
-        _land(spark, delivery, folder, part)
+    first, second = _deliveries(spark, sf_dir)
+    for part, delivery in enumerate((first, second.where(F.col("created_at") >= SPLIT_DAY))):
+        delivery.write.mode("append").json(f"{folder}/in/part={part}")
         run(incremental.landed(spark, f"{folder}/in/*"), folder)
     return folder
 
 
-_STREAMED = f"""old_firsts AS (SELECT * FROM keyed WHERE created_at < '{SPLIT_DAY}' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY id) = 1),
-stored AS (
-  SELECT * FROM old_firsts WHERE c = '' OR t = ''
-  UNION ALL SELECT * FROM old_firsts WHERE c <> '' AND t <> '' QUALIFY row_number() OVER (PARTITION BY c, t, l ORDER BY id) = 1)"""
+# The second delivery brings the last days of the first one again.
+AGAIN_DAY = "2026-02-10"
+LOADED = "2026-03-01 06:00:00"
+_ARRIVED = f"""arrived AS (
+  SELECT *, row_number() OVER (ORDER BY delivery, feed_ord, doc) AS seq FROM (
+    {" UNION ALL ".join(f"SELECT job_id, title, company, location, source, {i} AS feed_ord, {d} AS delivery, CAST(split_part(job_id, '_', 2) AS BIGINT) AS doc FROM ({sql})"
+                       for i, sql in enumerate(FLAT.values()) for d in (0, 1))})
+  WHERE doc IN (SELECT id FROM jobs_fx WHERE (delivery = 0 AND created_at < '{SPLIT_DAY}') OR (delivery = 1 AND created_at >= '{AGAIN_DAY}'))),
+akeyed AS (SELECT *, {company('company')} AS c, {title('title')} AS t, {city('location')} AS l FROM arrived),
+afirsts AS (SELECT * FROM akeyed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq) = 1),
+astored AS (SELECT * FROM afirsts WHERE c = '' OR t = ''
+  UNION ALL SELECT * FROM afirsts WHERE c <> '' AND t <> '' QUALIFY row_number() OVER (PARTITION BY c, t, l ORDER BY seq) = 1)"""
 
 
-@query("stream_ingest", ctes(JOBS, KEYED, _STREAMED, NEW_ROWS) + """
-SELECT id, job_id, source, title FROM stored UNION ALL SELECT id, job_id, source, title FROM new_rows""")
-def stream_ingest(spark, sf_dir):
-    folder = stream_twice(spark, sf_dir, "stream-ingest", lambda stream, f: incremental.stream_ingest(
-        stream, f"{f}/table", f"{f}/checkpoint"))
-    return incremental.read_batches(spark, f"{folder}/table").select("id", "job_id", "source", "title")
+def _land_payloads(spark, jobs, folder):
+    """One file for each page of each feed, as a fetcher would land them."""
+    for feed, payload in PAYLOADS.items():
+        pages = payload(jobs).select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
+        pages.repartition("page").write.partitionBy("page").text(f"{folder}/feed={feed}")
 
 
-@query("stream_nb_update", ctes(JOBS, DOCS, TOKS) + "SELECT token, label, CAST(sum(n) AS BIGINT) AS n FROM toks GROUP BY token, label")
+@query("stream_ingest", ctes(JOBS, _ARRIVED) + f"""
+SELECT row_number() OVER (ORDER BY seq) AS id, job_id, source, title, CAST('{LOADED}' AS VARCHAR) AS created_at FROM astored""")
+def stream_ingest(spark, sf_dir):
+    folder = work_path(spark, "stream-ingest")
+    table = PostingTable(spark, f"{folder}/table", buckets=16)
+    for part, jobs in enumerate(_deliveries(spark, sf_dir)):
+        _land_payloads(spark, jobs, f"{folder}/in-{part}")
+        payloads = feeds.landed_payloads(spark, f"{folder}/in-{part}")
+        incremental.stream_ingest(payloads, table, f"{folder}/checkpoint-{part}", loaded_at=F.lit(LOADED).cast("timestamp"))
+    return table.rows().select("id", "job_id", "source", "title", F.col("created_at").cast("string").alias("created_at"))
+
+
+@query("dedup_cleanup_apply", ctes(JOBS, KEYED) + """
+SELECT id, job_id, source FROM keyed WHERE c = '' OR t = ''
+UNION ALL SELECT id, job_id, source FROM keyed WHERE c <> '' AND t <> ''
+QUALIFY row_number() OVER (PARTITION BY c, t, l ORDER BY length(coalesce(description, '')) DESC, id) = 1""")
+def dedup_cleanup_apply(spark, sf_dir):
+    table = PostingTable(spark, work_path(spark, "postings"), buckets=16)
+    table.load(as_jobs(spark, sf_dir))
+    table.clean()
+    return table.rows().select("id", "job_id", "source")
+
+
+@query("stream_nb_update", ctes(JOBS, DOCS_IN_ORDER, TOKS, COUNTS, PREQUENTIAL.replace("\nlens AS", "\nplens AS").replace("FROM lens l", "FROM plens l")) + MODEL_ROWS)
 def stream_nb_update(spark, sf_dir):
-    folder = stream_twice(spark, sf_dir, "stream-model", lambda stream, f: incremental.stream_train(
+    folder = _streamed_parts(spark, sf_dir, "stream-model", lambda stream, f: incremental.stream_train(
         stream, f"{f}/model", f"{f}/checkpoint", _text(), _label()))
-    return incremental.read_model(spark, f"{folder}/model")[0]
+    return model_rows(nb.StoredModel(spark, f"{folder}/model"))
 
 
 @query("stream_drift", ctes(JOBS) + f"""
@@ -417,7 +479,7 @@ SELECT d OR v AS any_drift, v AS volume_drift, r AS reference_count, n AS curren
         / (SELECT count(*) FROM jobs_fx WHERE created_at < '{SPLIT_DAY}') AS x FROM jobs_fx GROUP BY source) WHERE abs(x) > 0.1) AS d
   FROM (SELECT count(*) AS n, count(*) FILTER (WHERE created_at < '{SPLIT_DAY}') AS r FROM jobs_fx))""")
 def stream_drift(spark, sf_dir):
-    folder = stream_twice(spark, sf_dir, "stream-drift", lambda stream, f: incremental.stream_drift(
-        stream, f"{f}/table", f"{f}/reports", f"{f}/checkpoint"))
-    return incremental.read_batches(spark, f"{folder}/reports").select(
+    folder = _streamed_parts(spark, sf_dir, "stream-drift", lambda stream, f: incremental.stream_drift(
+        stream, f"{f}/state", f"{f}/checkpoint"))
+    return incremental.drift_reports(spark, f"{folder}/state").select(
         "any_drift", "volume_drift", "reference_count", "current_count")

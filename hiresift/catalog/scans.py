@@ -5,16 +5,21 @@ from pyspark.sql import functions as F
 from hiresift.catalog.base import (
     JOBS, KEYED, VOCAB, category, clean_text, ctes, extraction, job_type, jobs_fx, query, relevant, tech,
 )
-from hiresift.operators import dedup, nb
-from hiresift.functions.text import assign_category
-from hiresift.plans.build import feature_table, training_text
+from hiresift.operators import dedup
+from hiresift.plans.build import feature_table
 from hiresift.plans.preprocess import preprocess_jobs
 from hiresift.session import work_path
 from hiresift.sources import feeds, tables
+from hiresift.streaming.postings import PostingTable
 
 PAGE = 50
 
 
+def as_jobs(spark, sf_dir):
+    """The derived postings with the stored types."""
+    return jobs_fx(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
 def _pages(jobs, item, wrap):
     """Payload texts of up to PAGE postings each, as a feed would land them."""
     rows = jobs.select("id", F.floor(F.col("id") / PAGE).alias("page"), item.alias("item"))
@@ -164,23 +169,22 @@ new_rows AS (
   SELECT * FROM firsts WHERE c <> '' AND t <> '' QUALIFY row_number() OVER (PARTITION BY c, t, l ORDER BY id) = 1)"""
 
 
-@query("ingest_append", ctes(JOBS, KEYED, NEW_ROWS) + f"""
-SELECT source, created_at < '{SPLIT_DAY}' AS old, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
-  SELECT id, source, created_at FROM keyed WHERE created_at < '{SPLIT_DAY}'
-  UNION ALL SELECT id, source, created_at FROM new_rows) GROUP BY ALL""")
+STORED = f"""old_firsts AS (SELECT * FROM keyed WHERE created_at < '{SPLIT_DAY}' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY id) = 1),
+stored AS (
+  SELECT * FROM old_firsts WHERE c = '' OR t = ''
+  UNION ALL SELECT * FROM old_firsts WHERE c <> '' AND t <> '' QUALIFY row_number() OVER (PARTITION BY c, t, l ORDER BY id) = 1)"""
+
+
+@query("ingest_append", ctes(JOBS, KEYED, STORED, NEW_ROWS.replace("FROM keyed WHERE created_at <", "FROM stored WHERE created_at <")) + """
+SELECT source, old, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
+  SELECT id, source, TRUE AS old FROM stored UNION ALL SELECT id, source, FALSE FROM new_rows) GROUP BY ALL""")
 def ingest_append(spark, sf_dir):
-    jobs = jobs_fx(spark, sf_dir)
+    jobs = as_jobs(spark, sf_dir)
     old = F.col("created_at") < SPLIT_DAY
-    path = work_path(spark, "jobs")
-    jobs.where(old).write.partitionBy("source").parquet(path)
-    stored = spark.read.parquet(path)
-    new = dedup.append_new(stored, jobs.where(~old))
-    # the new rows go to the same table; the plan that finds them reads the table as it was
-    new.write.mode("append").partitionBy("source").parquet(path)
-    grown = spark.read.schema(jobs.schema).parquet(path)
-    return grown.groupBy("source", old.alias("old")).agg(
-        F.count("*").alias("n"), F.sum("id").alias("id_sum")
-    )
+    table = PostingTable(spark, work_path(spark, "postings"), buckets=16)
+    table.append(jobs.where(old), ["id"], "day", 1, F.lit("2026-02-01").cast("timestamp"), ids="id")
+    table.append(jobs.where(~old), ["id"], "day", 2, F.lit("2026-02-20").cast("timestamp"), ids="id")
+    return table.rows().groupBy("source", old.alias("old")).agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 
 
 def _preprocess_sql():
@@ -235,13 +239,6 @@ TOKS = f"""toks AS (
     SELECT id, label, unnest(regexp_extract_all({BOW})) AS token FROM docs) GROUP BY id, label, token)"""
 
 
-@query("nb_model_roundtrip", ctes(JOBS, DOCS, TOKS) + """
-SELECT token, label, CAST(sum(n) AS BIGINT) AS n FROM toks GROUP BY token, label""")
-def nb_model_roundtrip(spark, sf_dir):
-    counts, _ = nb.train_counts(jobs_fx(spark, sf_dir), training_text(), assign_category(F.col("title")))
-    return tables.write_table(counts, work_path(spark, "model"))
-
-
 @query("last_updated", ctes(JOBS) + "SELECT substr(max(created_at), 1, 10) AS last_updated FROM jobs_fx")
 def last_updated(spark, sf_dir):
     return tables.last_updated(jobs_fx(spark, sf_dir))

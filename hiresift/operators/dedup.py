@@ -16,8 +16,13 @@ def with_key(jobs: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, order: str = "id") -> DataFrame:
-    """Arrival-order loop over two keys: a row goes if its job_id or its duplicate key was kept."""
-    return rows.join(first_of_two_keys(with_key(rows), order), order, "left_semi")
+    """Arrival-order loop over two keys: a row goes if its job_id or its duplicate key was kept.
+
+    Only keys travel through the loop. The rows are compared with the losers, usually few: then they stay where they are.
+    """
+    keys = with_key(rows).select(order, "job_id", "dkey")
+    losers = cut(keys.select(order).join(first_of_two_keys(keys, order), order, "left_anti"))
+    return rows.join(losers, order, "left_anti").select(*rows.columns)
 
 
 def first_of_two_keys(keyed: DataFrame, order: str) -> DataFrame:
@@ -30,11 +35,13 @@ def first_of_two_keys(keyed: DataFrame, order: str) -> DataFrame:
     Only (order, job_id, key) travels through the rounds. Both minima are partial aggregates and
     meet on the unique order column, so no hot key is gathered in one task; the anti joins that
     remove the losers have one row per key on the right, where adaptive execution splits a hot
-    key on the left.
+    key on the left. Rows without a duplicate key take no part in the join on it, and a row without
+    a job_id has one of its own.
     """
+    own = F.coalesce("job_id", F.concat(F.lit("\0"), F.col(order).cast("string")))
     # of equal (job_id, key) pairs only the earliest row can ever be kept
     open_rows = cut(
-        keyed.groupBy("job_id", "dkey").agg(F.min(order).alias("seq"))
+        keyed.groupBy(own.alias("job_id"), "dkey").agg(F.min(order).alias("seq"))
     )
     kept = None
     while not open_rows.isEmpty():
@@ -49,8 +56,10 @@ def first_of_two_keys(keyed: DataFrame, order: str) -> DataFrame:
         )
         kept = won if kept is None else kept.unionByName(won)
         left = open_rows.join(won.select("job_id"), "job_id", "left_anti")
+        with_dkey = left.where(F.col("dkey").isNotNull())
         open_rows = cut(
-            left.join(won.where(F.col("dkey").isNotNull()).select("dkey"), "dkey", "left_anti")
+            with_dkey.join(won.where(F.col("dkey").isNotNull()).select("dkey"), "dkey", "left_anti")
+            .select("job_id", "dkey", "seq").unionByName(left.where(F.col("dkey").isNull()).select("job_id", "dkey", "seq"))
         )
     return (open_rows if kept is None else kept).select(F.col("seq").alias(order))
 
@@ -67,16 +76,19 @@ def append_new(stored: DataFrame, incoming: DataFrame, order: str = "id") -> Dat
 def keep_best(jobs: DataFrame) -> DataFrame:
     """Per duplicate key the row with the longest description, on a tie the smallest id.
 
-    Rows without a key all stay. The filter on row_number makes Spark cut each key to one row
-    per task before the shuffle, so a hot key does not travel.
+    Rows without a key all stay. Per key and task one best row is kept before the shuffle, and only numbers and keys
+    travel; the rows are compared with the losers, usually few.
     """
-    own_group = F.when(F.col("dkey").isNull(), F.col("id"))
-    best = Window.partitionBy("dkey", own_group).orderBy(
-        F.length(F.coalesce(F.col("description"), F.lit(""))).desc(), F.col("id")
-    )
-    return (
-        with_key(jobs).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "dkey")
-    )
+    keys = with_key(jobs).where(F.col("dkey").isNotNull()).select(
+        "dkey", "id", F.length(F.coalesce(F.col("description"), F.lit(""))).alias("size"))
+    return jobs.join(losers(keys), "id", "left_anti").select(*jobs.columns)
+
+
+def losers(keys: DataFrame) -> DataFrame:
+    """The ids that are not the best of their key; keys: dkey, id, size."""
+    groups = keys.groupBy("dkey").agg(
+        F.count("*").alias("n"), F.min_by("id", F.struct(-F.col("size"), F.col("id"))).alias("best")).where("n > 1")
+    return keys.join(groups, "dkey").where("id <> best").select("id")
 
 
 def duplicate_groups(jobs: DataFrame) -> DataFrame:

@@ -43,23 +43,49 @@ def volume_change(reference: DataFrame, current: DataFrame, rows: Column | None
     return counts.select("*", change.alias("diff"), (change > VOLUME_LIMIT).alias("drifted"))
 
 
+COUNTS = "name string, value string, n long"
+REPORT = ("schema_drift boolean, distribution_drift boolean, volume_drift boolean, any_drift boolean, reference_count long, "
+          "current_count long, new_columns string, missing_columns string, batch int")
+COMPARED = ("job_type", "source")
+
+
+def value_counts(jobs: DataFrame, columns: tuple[str, ...] = COMPARED) -> DataFrame:
+    """name, value, n: rows by value of each compared column of a drift view or of postings, and in all under the name "".
+
+    Counts of parts of a table add up to those of the table.
+    """
+    view = jobs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns]
+    cells.append(F.struct(F.lit("").alias("name"), F.lit("").alias("value")))
+    return view.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.name", "c.value").agg(F.count("*").alias("n"))
+
+
 def drift_report(reference: DataFrame, current: DataFrame) -> DataFrame:
     """One row with all flags; both sides are drift views.
 
-    Each side is scanned once, into row counts per combination of the compared columns; all
+    Each side is scanned once, into row counts by value of the compared columns; all
     shares and totals come from those few rows.
     """
     new, missing = schema_changes(reference, current)
-    shared = [c for c in ("job_type", "source") if c in reference.columns and c in current.columns]
-    ref, cur = (cut(side.groupBy(*shared).agg(F.count("*").alias("n"))) for side in (reference, current))
-    rows = F.col("n")
+    shared = tuple(c for c in COMPARED if c in reference.columns and c in current.columns)
+    return report_of_counts(cut(value_counts(reference, shared)), cut(value_counts(current, shared)), shared, new, missing)
+
+
+def report_of_counts(
+    reference: DataFrame, current: DataFrame, columns: tuple[str, ...] = COMPARED, new: list[str] | None = None, missing: list[str] | None = None
+) -> DataFrame:
+    """The report from value counts, of which there may be several parts to a side."""
+    rows, new, missing = F.col("n"), new or [], missing or []
+
+    def of(side: DataFrame, name: str) -> DataFrame:
+        return side.where(F.col("name") == name)
 
-    flags = volume_change(ref, cur, rows).select(
+    flags = volume_change(of(reference, ""), of(current, ""), rows).select(
         "reference_count", "current_count", F.col("drifted").alias("volume_drift")
     )
     distribution = F.lit(False)
-    for c in shared:
-        moved = share_changes(ref, cur, c, rows).agg(F.max("drifted")).scalar()
+    for c in columns:
+        moved = share_changes(of(reference, c), of(current, c), "value", rows).agg(F.max("drifted")).scalar()
         flags = flags.withColumn(f"_{c}", F.coalesce(moved, F.lit(False)))
         distribution = distribution | F.col(f"_{c}")
     schema_drift = F.lit(bool(new or missing))

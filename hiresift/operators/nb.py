@@ -7,13 +7,14 @@ needs one row only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT
 from hiresift.functions.text import words_and_hyphens
-from hiresift.operators.features import bag_of_words
+from hiresift.operators.order import ranges, running
 from hiresift.session import cut
+from hiresift.sources.versions import Versions
 
 ALPHA = 1.0
 # Scores are compared after rounding, so that the order of summation cannot decide a near tie.
@@ -129,78 +130,62 @@ def predict_words(
     return rows.select("id", *by, label.alias("predicted"), F.array_min(ranked)["c"].alias("majority"))
 
 
-def running(df: DataFrame, order: str, cols: list[str], bucket: int, before: bool) -> DataFrame:
-    """Running sums over the whole frame in ``order``, in two levels.
-
-    Rows are summed inside buckets of the order column, bucket totals are summed up on their
-    own, and both are added. No task holds more than one bucket, or the list of buckets.
-    """
-    df = df.withColumn("_b", F.floor(F.col(order) / bucket))
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1 if before else 0
-    )
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("_b").agg(*[F.sum(c).alias(c) for c in cols])
-    totals = totals.select("_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in cols])
-    rows = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"run_{c}") for c in cols])
-    out = rows.join(totals, "_b")
-    return out.select(
-        *[c for c in df.columns if c != "_b"],
-        *[(F.col(f"run_{c}") + F.col(f"_{c}")).alias(f"run_{c}") for c in cols],
-    )
-
-
 def prequential(
     docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None,
-    bucket: int = 10_000,
+    start: tuple[DataFrame, DataFrame] | None = None, order: str = "id",
 ) -> DataFrame:
-    """id, label, predicted: each row is predicted from all earlier rows, then learnt.
+    """id, label, predicted: each row is predicted from all earlier rows, then learnt; with ``start``, a model, on top of its counts.
 
-    Earlier counts of a token come from two levels as well: a window inside (token, bucket) and
-    running totals over the buckets of a token. A token of every text is thus spread over many
-    groups of at most ``bucket`` rows.
+    Texts are split into words once. Rows are dealt into ranges of the order by their number. Earlier counts of a token come from
+    two levels: a window inside (token, range) and running totals over the ranges of a token, so a token of every
+    text is spread over as many groups as there are ranges.
     """
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
-    docs = docs.select("id", label.alias("label"), text.alias("text"))
-    toks = bag_of_words(docs, F.col("text"), "label").withColumn("b", F.floor(F.col("id") / bucket))
+    words = docs.select(F.col(order).alias("id"), label.alias("label"), words_and_hyphens(text).alias("words"))
+    rows, count = ranges(words, "id")
+    toks = cut(rows.select("id", "label", "_b", F.explode("words").alias("token")).groupBy("id", "label", "_b", "token").agg(
+        F.count("*").alias("n")))
+    zero = F.lit(0)
 
     def split(value: str) -> list[Column]:
         return [F.when(F.col("label") == c, F.col(value)).otherwise(0) for c in classes]
 
-    here = Window.partitionBy("token", "b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    inside = toks.select("id", "token", "b", "n", *[
-        F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"in{i}") for i, c in enumerate(split("n"))
-    ])
-    earlier = Window.partitionBy("token").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = toks.groupBy("token", "b").agg(
-        *[F.sum(c).alias(f"t{i}") for i, c in enumerate(split("n"))]
-    )
-    before = per_bucket.select("token", "b", *[
-        F.coalesce(F.sum(f"t{i}").over(earlier), F.lit(0)).alias(f"be{i}") for i in k
-    ])
-    seen = inside.join(before, ["token", "b"])
+    here = Window.partitionBy("token", "_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = toks.select("id", "token", "_b", "n", *[F.coalesce(F.sum(c).over(here), zero).alias(f"in{i}") for i, c in enumerate(split("n"))])
+    earlier = Window.partitionBy("token").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = toks.groupBy("token", "_b").agg(F.min("id").alias("id"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(split("n"))])
+    known = [zero] * len(classes)
+    if start is not None:
+        wide = start[0].groupBy("token").agg(_by_class("n", classes).alias("old"))
+        per_range = per_range.join(wide, "token", "left")
+        known = [F.coalesce(F.col("old")[i], zero) for i in k]
+    # small beside the tokens: one row for each token and range
+    before = cut(per_range.select(
+        "token", "_b", "id", (F.row_number().over(Window.partitionBy("token").orderBy("_b")) == 1).alias("first"),
+        F.array(*[F.coalesce(F.sum(f"t{i}").over(earlier), zero) + known[i] for i in k]).alias("be"),
+        (F.col("old").isNotNull() if start is not None else F.lit(False)).alias("stored")))
+    seen = inside.join(before.select("token", "_b", "be"), ["token", "_b"])
     per_doc = seen.groupBy("id").agg(
-        F.sum("n").alias("length"),
-        *[F.sum(F.col("n") * F.ln(F.col(f"in{i}") + F.col(f"be{i}") + ALPHA)).alias(f"s{i}") for i in k],
-    )
+        F.sum("n").alias("length"), *[F.sum(F.col("n") * F.ln(F.col(f"in{i}") + F.col("be")[i] + ALPHA)).alias(f"s{i}") for i in k])
     # vocabulary size before a row: tokens whose first text came earlier
-    fresh = toks.groupBy("token").agg(F.min("id").alias("id")).groupBy("id").agg(F.count("*").alias("new"))
-    zero = F.lit(0)
-    rows = docs.select("id", "label").join(per_doc, "id", "left").join(fresh, "id", "left").select(
-        "id", "label", F.coalesce("length", zero).alias("length"),
-        F.coalesce("new", zero).alias("new"),
-        *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in k],
-    )
-    rows = rows.select(
+    fresh = before.where("first and not stored").groupBy("id").agg(F.count("*").alias("new"))
+    state = rows.select("id", "label").join(per_doc, "id", "left").join(fresh, "id", "left").select(
+        "id", "label", F.coalesce("length", zero).alias("length"), F.coalesce("new", zero).alias("new"),
+        *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in k])
+    state = state.select(
         "*", *[F.when(F.col("label") == c, 1).otherwise(0).alias(f"d{i}") for i, c in enumerate(classes)],
-        *[c.alias(f"w{i}") for i, c in enumerate(split("length"))],
-    )
-    state = running(rows, "id", ["new", *[f"d{i}" for i in k], *[f"w{i}" for i in k]], bucket, before=True)
+        *[c.alias(f"w{i}") for i, c in enumerate(split("length"))])
+    state = running(state, "id", ["new", *[f"d{i}" for i in k], *[f"w{i}" for i in k]], before=True, count=count)
+    old_docs, old_tokens, old_vocab = ([zero] * len(classes), [zero] * len(classes), zero)
+    if start is not None:
+        sums = start[1].agg(_by_class("docs", classes).alias("d"), _by_class("tokens", classes).alias("w")).select(F.struct("d", "w")).scalar()
+        state = state.withColumn("_old", sums).withColumn("_vocab", start[0].agg(F.count_distinct("token")).scalar())
+        old_docs, old_tokens, old_vocab = [F.col("_old.d")[i] for i in k], [F.col("_old.w")[i] for i in k], F.col("_vocab")
     predicted = best_class(
         [F.col(f"s{i}") for i in k], F.col("length"),
-        F.array(*[F.col(f"run_d{i}") for i in k]), F.array(*[F.col(f"run_w{i}") for i in k]),
-        F.col("run_new"), classes,
+        F.array(*[F.col(f"run_d{i}") + old_docs[i] for i in k]), F.array(*[F.col(f"run_w{i}") + old_tokens[i] for i in k]),
+        F.col("run_new") + old_vocab, classes,
     )
     return state.select("id", "label", predicted.alias("predicted"))
 
@@ -214,25 +199,21 @@ def accuracy(scored: DataFrame) -> DataFrame:
     ).withColumn("accuracy", F.round(F.col("n_correct") / F.nullif("n_scored", F.lit(0)), 6))
 
 
-def accuracy_curve(scored: DataFrame, every: int = 50, bucket: int = 10_000) -> DataFrame:
+def accuracy_curve(scored: DataFrame, every: int = 50) -> DataFrame:
     """Running accuracy after every ``every`` rows."""
     rows = scored.select(
         "id", F.lit(1).alias("trained"), F.col("predicted").isNotNull().cast("int").alias("scored"),
         F.coalesce((F.col("predicted") == F.col("label")).cast("int"), F.lit(0)).alias("correct"),
     )
-    out = running(rows, "id", ["trained", "scored", "correct"], bucket, before=False)
+    out = running(rows, "id", ["trained", "scored", "correct"], before=False)
     return out.where(F.col("run_trained") % every == 0).select(
         F.col("run_trained").alias("trained"),
         F.round(F.col("run_correct") / F.nullif("run_scored", F.lit(0)), 6).alias("accuracy"),
     )
 
 
-def training_run(
-    docs: DataFrame, text: Column, label: Column, run_id: str, run_date: str,
-    classes: list[str] | None = None,
-) -> DataFrame:
-    """One row for the run table: parameters, test-then-train accuracy, rows per category."""
-    scored = prequential(docs, text, label, classes)
+def training_run(scored: DataFrame, run_id: str, run_date: str) -> DataFrame:
+    """One row for the run table from test-then-train predictions: parameters, accuracy, rows per category."""
     per_class = scored.groupBy("label").agg(
         F.count("*").alias("n"), F.count("predicted").alias("p"),
         F.count_if(F.col("predicted") == F.col("label")).alias("c"),
@@ -257,10 +238,64 @@ def training_run(
 
 
 def run_history(runs: DataFrame) -> DataFrame:
-    """All runs with accuracy, rows and date, the latest first."""
-    return runs.select(
+    """All runs with accuracy, rows and date, the latest first; of one date the greatest run id first."""
+    return runs.orderBy(F.coalesce("run_date", F.lit("unknown")).desc(), F.desc("run_id")).select(
         F.substring("run_id", 1, 8).alias("run_id"),
         F.coalesce(F.try_element_at("metrics", F.lit("accuracy")), F.lit(0.0)).alias("accuracy"),
         F.coalesce(F.try_element_at("metrics", F.lit("total_jobs_trained")), F.lit(0.0)).alias("jobs"),
         F.coalesce("run_date", F.lit("unknown")).alias("run_date"),
-    ).orderBy(F.desc("run_date"))
+    )
+
+
+class StoredModel:
+    """A model with its token counts, label counts and test-then-train accuracy, published together in versions."""
+
+    TOKENS, LABELS = "token string, label string, n long", "label string, docs long, tokens long"
+    ACCURACY = "trained long, scored long, correct long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.versions = Versions(spark, folder)
+
+    def counts(self, content: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        content = self.versions.last()[1] if content is None else content
+        return (self.versions.load(content.get("tokens", []), self.TOKENS), self.versions.load(content.get("labels", []), self.LABELS))
+
+    def accuracy(self, content: dict | None = None) -> DataFrame:
+        """One row: rows trained, rows scored, hits, accuracy (0 before any row was scored)."""
+        content = self.versions.last()[1] if content is None else content
+        sums = self.versions.load(content.get("accuracy", []), self.ACCURACY).agg(*[
+            F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("trained", "scored", "correct")])
+        ratio = F.coalesce(F.col("correct") / F.nullif("scored", F.lit(0)), F.lit(0.0))
+        return sums.withColumn("accuracy", F.round(ratio, 6))
+
+    def train(self, docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None) -> DataFrame:
+        """Train anew and publish the model in place of the last one; returns the test-then-train predictions."""
+        scored = cut(prequential(docs, text, label, classes))
+        new = self._written(train_counts(docs, text, label), scored)
+        self.versions.change(lambda content: {"seen": content.get("seen", {})} | new)
+        return scored
+
+    def _written(self, counts: tuple[DataFrame, DataFrame], scored: DataFrame) -> dict:
+        hits = scored.agg(F.count("*").alias("trained"), F.count("predicted").alias("scored"),
+                          F.count_if(F.col("predicted") == F.col("label")).alias("correct"))
+        return {"tokens": [self.versions.write("tokens", counts[0])], "labels": [self.versions.write("labels", counts[1])],
+                "accuracy": [self.versions.write("accuracy", hits.coalesce(1))]}
+
+    def update(
+        self, docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None, batch: tuple[str, int] | None = None
+    ) -> int:
+        """Score each row with all that was learnt before it, learn it, and publish; returns the version.
+
+        The tables are written anew as sums, so a model stays as large as its vocabulary. ``batch`` is the name of a stream and a
+        number of it; one that was taken in before changes nothing.
+        """
+        def work(content: dict) -> dict | None:
+            seen = content.get("seen", {})
+            if batch and seen.get(batch[0], -1) >= batch[1]:
+                return None
+            old = self.counts(content)
+            scored = prequential(docs, text, label, classes, old if content else None)
+            new = self._written(add_counts(old, train_counts(docs, text, label)), scored)
+            new["accuracy"] = [*content.get("accuracy", []), *new["accuracy"]]
+            return content | new | {"seen": seen | ({batch[0]: batch[1]} if batch else {})}
+        return self.versions.change(work)[0]

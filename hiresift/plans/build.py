@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from hiresift.operators.dedup import append_new
 from hiresift.operators.drift import run_drift_check
 from hiresift.plans.preprocess import preprocess_jobs
 from hiresift.sources.tables import load_jobs, write_report, write_table
+from hiresift.sources.versions import Versions
 
 
 def training_text():
@@ -53,31 +52,20 @@ def retrain_if_drift(
 
 
 def train_and_log(
-    jobs: DataFrame, runs_path: str, run_id: str, run_date: str, dims: Dims = DEFAULT
+    jobs: DataFrame, runs_path: str, run_id: str, run_date: str, dims: Dims = DEFAULT, model_path: str | None = None
 ) -> DataFrame:
-    """One training run, written under its own run_id: a repeat replaces it."""
-    run = nb.training_run(
-        jobs, training_text(), assign_category(F.col("title"), dims), run_id, run_date, dims.classes
-    )
-    return write_table(run, f"{runs_path}/run={run_id}")
-
-
-VERSIONS = "number long, name string, path string"
+    """One training run: the model is published, then the run is written under its own run_id; a repeat replaces both.
 
-
-def _versions(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(VERSIONS).json(f"{folder}/versions")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    The model lies in ``model_path``, by default beside the runs (``nb.StoredModel``).
+    """
+    model = nb.StoredModel(jobs.sparkSession, model_path or f"{runs_path}-model")
+    scored = model.train(jobs, training_text(), assign_category(F.col("title"), dims), dims.classes)
+    return write_table(nb.training_run(scored, run_id, run_date), f"{runs_path}/run={run_id}")
 
 
 def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The latest complete version of a table of the batch build: "jobs", "clean" or "features"."""
-    named = _versions(spark, folder)
-    path = None if named is None else named.where(F.col("name") == name).agg(F.max_by("path", "number")).first()[0]
+    path = Versions(spark, folder).last()[1].get(name)
     if path is None:
         raise ValueError(f"no version of {name} in {folder}")
     return spark.read.parquet(path)
@@ -90,7 +78,8 @@ def batch_build(
 
     A step that fails is reported with its message and the next one goes on with the last good table. Every
     table is written as a new version, and no input is overwritten: ``stored`` may well be the version that
-    ``current(spark, folder, "jobs")`` names. A version is named only after it is complete.
+    ``current(spark, folder, "jobs")`` names. A version is named only after it is complete; ``Versions.drop_unnamed``
+    deletes what older versions and failed attempts left.
     """
     spark = stored.sparkSession
     state = {"jobs": stored}
@@ -102,13 +91,12 @@ def batch_build(
         except Exception as error:  # each step stands alone, as in a scheduled job
             log.append((len(log), name, f"failed: {type(error).__name__}: {str(error).strip().splitlines()[0][:200]}", 0))
 
+    versions = Versions(spark, folder)
+
     def keep(name: str, rows: DataFrame) -> DataFrame:
-        path = f"{folder}/{name}/version={uuid.uuid4().hex}"
-        written = write_table(rows, path, mode="errorifexists")
-        named = _versions(spark, folder)
-        number = 0 if named is None else named.count()
-        spark.createDataFrame([(number, name, path)], VERSIONS).coalesce(1).write.mode("append").json(f"{folder}/versions")
-        return written
+        path = versions.write(name, rows)
+        versions.change(lambda content: content | {name: path})
+        return spark.read.parquet(path)
 
     def ingest() -> int:
         grown = stored.unionByName(append_new(stored, incoming))
@@ -123,7 +111,8 @@ def batch_build(
         return keep("features", feature_table(state["jobs"], dims=dims)).count()
 
     def train() -> int:
-        return int(train_and_log(state["jobs"], f"{folder}/runs", run_id, run_date, dims).first().metrics["total_jobs_trained"])
+        run = train_and_log(state["jobs"], f"{folder}/runs", run_id, run_date, dims, f"{folder}/model")
+        return int(run.first().metrics["total_jobs_trained"])
 
     def drift() -> int:
         report = retrain_if_drift(

@@ -22,16 +22,23 @@ def _tagged(names: Column) -> Column:
     return F.coalesce(F.array_join(names, ", "), F.lit(""))
 
 
+def _items(pages: DataFrame, postings: Column) -> DataFrame:
+    """One row per posting: j, and of a page's further columns file and the posting's place on the page."""
+    more = [F.col("file")] if "file" in pages.columns else []
+    return pages.select(*more, F.posexplode(postings).alias("pos", "j"))
+
+
 def _posting(item: DataFrame, prefix: str, source: str, **cols: Column) -> DataFrame:
+    keep = ["file", "pos"] if "file" in item.columns else []
     cols = {"salary_min": F.lit(0.0), "salary_max": F.lit(0.0), "source": F.lit(source), **cols}
     cols["job_id"] = F.concat(F.lit(f"{prefix}_"), _text(cols["job_id"].cast("string")))
-    return item.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in S.POSTING.fields])
+    return item.select(*keep, *[cols[f.name].cast(f.dataType).alias(f.name) for f in S.POSTING.fields])
 
 
 def flatten_feed_a(pages: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """pages: items array<struct>; the first element of a payload is a notice."""
     j = F.col("j")
-    rows = pages.select(F.explode(F.slice("items", 2, F.greatest(F.size("items"), F.lit(1)))).alias("j"))
+    rows = _items(pages, F.slice("items", 2, F.greatest(F.size("items"), F.lit(1))))
     out = _posting(
         rows, "remoteok", "remoteok",
         job_id=j["id"], title=_text(j["position"]), company=_text(j["company"]),
@@ -47,7 +54,7 @@ def flatten_feed_b(pages: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """pages: data array<struct>; a flag tells remote from onsite, the date is a number."""
     j = F.col("j")
     out = _posting(
-        pages.select(F.explode("data").alias("j")), "arbeitnow", "arbeitnow",
+        _items(pages, F.col("data")), "arbeitnow", "arbeitnow",
         job_id=j["slug"], title=_text(j["title"]), company=_text(j["company_name"]),
         description=_text(j["description"]), location=_text(j["location"]),
         job_type=F.when(j["remote"], F.lit("remote")).otherwise(F.lit("onsite")),
@@ -61,7 +68,7 @@ def flatten_feed_c(pages: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """pages: results array<struct>; category names are the tags, the first location counts."""
     j = F.col("j")
     out = _posting(
-        pages.select(F.explode("results").alias("j")), "muse", "themuse",
+        _items(pages, F.col("results")), "muse", "themuse",
         job_id=j["id"], title=_text(j["name"]), company=_text(j["company"]["name"]),
         description=_text(j["contents"]),
         location=_text(F.get(j["locations"], F.lit(0))["name"]),
@@ -76,7 +83,7 @@ def flatten_feed_d(pages: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """pages: results array<struct>; only the title decides whether a row is relevant."""
     j = F.col("j")
     out = _posting(
-        pages.select(F.explode("results").alias("j")), "adzuna", "adzuna",
+        _items(pages, F.col("results")), "adzuna", "adzuna",
         job_id=j["id"], title=_text(j["title"]), company=_text(j["company"]["display_name"]),
         description=_text(j["description"]), location=_text(j["location"]["display_name"]),
         job_type=_text(j["contract_time"]), salary_min=_amount(j["salary_min"]),
@@ -96,13 +103,14 @@ FEEDS = {
 
 
 def parse_payload(payloads: DataFrame, feed: str) -> DataFrame:
-    """payloads: one JSON text per row in column ``payload`` -> the typed pages."""
-    dtype = FEEDS[feed][0]
-    page = payloads.select(F.from_json("payload", dtype).alias("page"))
-    return page.select(F.col("page").alias("items")) if feed == "a" else page.select("page.*")
+    """payloads: one JSON text per row in column ``payload`` -> the typed pages; a column ``file`` is kept."""
+    keep = ["file"] if "file" in payloads.columns else []
+    page = payloads.select(*keep, F.from_json("payload", FEEDS[feed][0]).alias("page"))
+    return page.select(*keep, F.col("page").alias("items")) if feed == "a" else page.select(*keep, "page.*")
 
 
 def flatten_feed(payloads: DataFrame, feed: str, dims: Dims = DEFAULT) -> DataFrame:
+    """Postings of a feed's payloads; where they have a column ``file``, also file and pos, their place on the page."""
     return FEEDS[feed][1](parse_payload(payloads, feed), dims)
 
 
@@ -127,6 +135,35 @@ def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) ->
     return spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "payload")
 
 
+def landed_payloads(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of landed payload files, one payload each: payload, file, feed.
+
+    Files lie anywhere below the path, in a folder ``feed=<name>`` of their feed; those of a feed count as arrived in the order of
+    their paths.
+    """
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    file = F.col("_metadata.file_path")
+    return reader.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("value").alias("payload"), file.alias("file"), F.regexp_extract(file, "/feed=([^/]*)/", 1).alias("feed"))
+
+
+def arrivals(payloads: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
+    """Postings of the payloads of all feeds with their place in the order of arrival: feed_ord, file, pos."""
+    return union_feeds({f: flatten_feed(payloads.where(F.col("feed") == f).drop("feed"), f, dims) for f in FEEDS})
+
+
+def all_rejects(payloads: DataFrame) -> DataFrame:
+    """Rejected payloads of all feeds: feed, file, payload, reason; those of a feed that is not known as well."""
+    strange = payloads.where(~F.col("feed").isin(list(FEEDS))).withColumn("reason", F.lit("no such feed"))
+    out = strange.select("feed", "file", "payload", "reason")
+    for feed in FEEDS:
+        part = feed_rejects(payloads.where(F.col("feed") == feed), feed)
+        out = out.unionByName(part.select("feed", "file", "payload", "reason"))
+    return out
+
+
 def union_feeds(postings: dict[str, DataFrame]) -> DataFrame:
     """All feeds in one frame; ``feed_ord`` keeps the fixed arrival order of the feeds."""
     out = None

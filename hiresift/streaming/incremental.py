@@ -1,52 +1,24 @@
-"""Incremental ingest, model update and drift check over landed files.
+"""Incremental ingest, model update and drift check.
 
-Every batch writes its own sub-folder, named by the batch number, in overwrite mode. A batch
-that is replayed after a failure therefore replaces its own output and adds nothing twice. With a new
-checkpoint the numbers start again: ingest compares each batch with all other stored ones, so that nothing
-is added twice either; training and drift, which only store counts or rows, refuse it.
+Each stream publishes the result of a batch as a new version, together with the batch's number under the id that the stream's
+checkpoint keeps. A batch that is replayed after a failure changes nothing. A stream with a new checkpoint goes on
+from what is stored: ingest compares with all stored keys, and training and drift add what they are given.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift import schema as S
-from hiresift.operators import nb
-from hiresift.operators.dedup import append_new, keep_first
-from hiresift.operators.drift import drift_report
-from hiresift.sources.tables import drift_view
-
-
-def _root(spark: SparkSession, path: str):
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
-
-
-def _batches(spark: SparkSession, path: str, wanted: Callable[[int], bool] = lambda n: True) -> list[str]:
-    """Folders of the wanted batches that wrote anything."""
-    fs, root = _root(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-    return [f"{path}/batch={n}" for n in numbers if wanted(n)]
-
-
-def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All stored batches; without any, an empty table of the given schema."""
-    paths = _batches(spark, path)
-    if not paths and schema:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(*paths)
-
-
-def _same_checkpoint(spark: SparkSession, stored: str, checkpoint: str) -> None:
-    fs, folder = _root(spark, checkpoint)
-    if not fs.exists(folder) and _batches(spark, stored):
-        raise ValueError(f"{stored} holds batches of another checkpoint; a new one would count them again")
+from hiresift.dims import DEFAULT, Dims
+from hiresift.operators import drift, nb
+from hiresift.sources import feeds
+from hiresift.sources.versions import Versions
+from hiresift.streaming.postings import PostingTable
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -57,62 +29,70 @@ def landed(spark: SparkSession, path: str, files_per_batch: int | None = None) -
     return reader.json(path)
 
 
-def _run(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> None:
-    query = (
-        stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+def run(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, str, int], None]) -> str:
+    """Take in all that has landed: work(batch, id of the stream, batch number). Returns the id, which the checkpoint keeps."""
+    started, name = threading.Event(), []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        started.wait()
+        work(rows, name[0], number)
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    name.append(str(query.id))
+    started.set()
     query.awaitTermination()
+    return name[0]
+
 
+def stream_ingest(
+    payloads: DataFrame, table: PostingTable, checkpoint: str, dims: Dims = DEFAULT, loaded_at: Column | None = None
+) -> None:
+    """Payloads in (``feeds.landed_payloads``), new postings out, numbered in order of arrival; broken payloads are kept aside."""
 
-def stream_ingest(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Append what is new: unknown job_id and unknown duplicate key, first of its kind."""
+    def work(batch: DataFrame, stream: str, number: int) -> None:
+        table.append(feeds.arrivals(batch, dims), ["feed_ord", "file", "pos"], stream, number, loaded_at, feeds.all_rejects(batch))
 
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        others = _batches(spark, table, lambda n: n != number)
-        new = append_new(spark.read.parquet(*others), batch) if others else keep_first(batch)
-        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+    run(payloads, checkpoint, work)
 
-    _run(stream, checkpoint, work)
 
+def stream_train(stream: DataFrame, model: str, checkpoint: str, text: Column, label: Column, classes: list[str] | None = None) -> None:
+    """Add each batch to the model: token counts, label counts, and the test-then-train accuracy, published together."""
 
-def stream_train(stream: DataFrame, model: str, checkpoint: str, text: Column, label: Column) -> None:
-    """Add the counts of each batch; the model is the sum over all batch folders."""
+    def work(batch: DataFrame, name: str, number: int) -> None:
+        nb.StoredModel(batch.sparkSession, model).update(batch, text, label, classes, (name, number))
 
-    _same_checkpoint(stream.sparkSession, f"{model}/tokens", checkpoint)
+    run(stream, checkpoint, work)
 
-    def work(batch: DataFrame, number: int) -> None:
-        token_counts, label_counts = nb.train_counts(batch, text, label)
-        token_counts.write.mode("overwrite").parquet(f"{model}/tokens/batch={number}")
-        label_counts.write.mode("overwrite").parquet(f"{model}/labels/batch={number}")
 
-    _run(stream, checkpoint, work)
+def stream_drift(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Compare all rows so far with the first batch, the reference, after each batch.
 
+    The state is row counts for each combination of the compared values: a batch is counted alone and added, and no
+    earlier batch is read again.
+    """
 
-def read_model(spark: SparkSession, model: str) -> tuple[DataFrame, DataFrame]:
-    """Sum of all batch counts."""
-    token_counts = read_batches(spark, f"{model}/tokens", "token string, label string, n long").groupBy("token", "label").agg(F.sum("n").alias("n"))
-    label_counts = read_batches(spark, f"{model}/labels", "label string, docs long, tokens long").groupBy("label").agg(
-        F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
-    )
-    return token_counts, label_counts
+    def work(batch: DataFrame, name: str, number: int) -> None:
+        versions = Versions(batch.sparkSession, folder)
+        counted = drift.value_counts(batch).withColumn("batch", F.lit(f"{name}:{number}"))
 
+        def add(content: dict) -> dict | None:
+            seen = content.get("seen", {})
+            if seen.get(name, -1) >= number:
+                return None
+            counts = [*content.get("counts", []), versions.write("counts", counted.coalesce(1))]
+            content = content | {"counts": counts, "seen": seen | {name: number}}
+            if len(counts) > 1:
+                report = drift.report_of_counts(versions.load(counts[:1], drift.COUNTS), versions.load(counts, drift.COUNTS))
+                written = versions.write("reports", report.withColumn("batch", F.lit(len(counts) - 1)).coalesce(1))
+                content |= {"reports": [*content.get("reports", []), written]}
+            return content
 
-def stream_drift(stream: DataFrame, table: str, reports: str, checkpoint: str) -> None:
-    """Store each batch and compare all rows up to it with the first batch, the reference."""
+        versions.change(add)
 
-    _same_checkpoint(stream.sparkSession, table, checkpoint)
+    run(stream, checkpoint, work)
 
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = f"{table}/batch={number}"
-        drift_view(batch).write.mode("overwrite").parquet(path)
-        earlier = _batches(spark, table, lambda n: n < number)
-        if earlier:
-            report = drift_report(spark.read.parquet(earlier[0]), spark.read.parquet(*earlier, path))
-            report.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(
-                f"{reports}/batch={number}"
-            )
 
-    _run(stream, checkpoint, work)
+def drift_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of all batches after the first."""
+    versions = Versions(spark, folder)
+    return versions.load(versions.last()[1].get("reports", []), drift.REPORT)
