@@ -128,13 +128,6 @@ top_skill AS (SELECT coalesce((SELECT skill FROM (SELECT unnest({tag_list('tags'
   GROUP BY skill ORDER BY count(*) DESC, skill LIMIT 1), 'python') AS top_skill)"""
 
 
-@query("sidebar_stats", ctes(JOBS, TOP_SKILL) + """
-SELECT count(*) AS total, count(*) FILTER (WHERE job_type = 'remote') AS remote, substr(max(created_at), 1, 10) AS last_updated,
-  (SELECT top_skill FROM top_skill) AS top_skill FROM jobs_fx""")
-def sidebar_stats(spark, sf_dir):
-    return stats.sidebar_stats(jobs_fx(spark, sf_dir))
-
-
 @query("created_range", ctes(JOBS) + "SELECT min(created_at) AS first, max(created_at) AS last FROM jobs_fx")
 def created_range(spark, sf_dir):
     return stats.created_range(jobs_fx(spark, sf_dir))

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.dims import AMBIGUOUS, DEFAULT, OTHER_CATEGORY
-from hiresift.functions.places import country_lookup, gazetteer
-from hiresift.sources.tables import read_spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,13 +39,14 @@ SELECT d.doc_id AS id,
     WHEN 2 THEN 'Zürich Analytics AG' WHEN 3 THEN 'Globex' WHEN 4 THEN '' WHEN 5 THEN CAST(NULL AS STRING)
     ELSE 'Initech Ltd' END AS company,
   CASE d.doc_id % 8
-    WHEN 0 THEN concat('<p>Requirements: Python, SQL.</p><p>Nice to have: Docker, Kubernetes.</p> ', d.t)
-    WHEN 1 THEN concat('You know Python and Apache Spark. Experience with Docker is a plus. ', d.t)
-    WHEN 2 THEN concat('<div>Skills: Go, R, SQL &amp; Tableau</div><br>', d.t)
-    WHEN 3 THEN concat('We need C++ and C# developers, and we go the extra mile. ', d.t)
-    WHEN 4 THEN concat('Experience in Go or Rust; Node.js backend. Kafka would be nice. ', d.t)
-    WHEN 5 THEN concat('JavaScript, React and REST API work. Bonus points: GraphQL. ', d.t)
-    WHEN 6 THEN '' ELSE concat('Nice to have: Docker&nbsp;and&nbsp;Terraform. ', d.t) END AS description,
+    WHEN 0 THEN concat('<p>Must have: Pandas, PostgreSQL.</p><p>Good to have: Airflow, Terraform.</p> ', d.t)
+    WHEN 1 THEN concat('Daily work is Scala on Apache Spark. Knowledge of Kafka would be great. ', d.t)
+    WHEN 2 THEN concat('<div>Stack: R, Go, MySQL &amp; Power BI</div><br>', d.t)
+    WHEN 3 THEN concat('Our C# and C++ code runs on old printers; you go there by train. ', d.t)
+    WHEN 4 THEN concat('Services written with Go and Rust; a Node.js server in front. Redis would be nice. ', d.t)
+    WHEN 5 THEN concat('TypeScript and Vue in the browser. Bonus points: GraphQL. ',
+      CASE WHEN d.doc_id % 3 = 0 THEN 'The team is smallâ and old. ' ELSE '' END, d.t)
+    WHEN 6 THEN '' ELSE concat('Desirable: Ansible&nbsp;and&nbsp;Jenkins. ', d.t) END AS description,
   CASE d.b % 10 WHEN 0 THEN 'Berlin' WHEN 1 THEN 'München, Germany' WHEN 2 THEN 'New York, NY' WHEN 3 THEN 'Springfield, IL'
     WHEN 4 THEN 'Remote' WHEN 5 THEN 'Remote - US' WHEN 6 THEN 'Lausanne, Vaud' WHEN 7 THEN 'Bangalore, Karnataka'
     WHEN 8 THEN '' ELSE 'Smallville' END AS location,
@@ -92,7 +91,7 @@ FROM {documents}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def jobs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +233,8 @@ KEYED = f"""keyed AS (SELECT *, {company('company')} AS c, {title('title')} AS t
 
 VOCAB = "vocab AS (SELECT * FROM " + values([(s, i) for i, s in enumerate(DEFAULT.skills)]) + " v(skill, ord))"
 SYN = "syn AS (SELECT * FROM " + values(DEFAULT.synonyms.items()) + " s(alias, canonical))"
-GAZ = "gaz AS (SELECT * FROM " + values(gazetteer().items()) + " g(phrase, code))"
-COUNTRY = country_lookup()
+GAZ = "gaz AS (SELECT * FROM " + values(DEFAULT.place_code.items()) + " g(phrase, code))"
+COUNTRY = DEFAULT.country_of
 
 _LEAD = f"(?:^|[,/(:;|]|{B}(?i:in|with|using|and|or){S}){S}*"
 _STOP = "to|the|for|a|an|on|beyond|further|above|ahead|back|out|home|live|through"

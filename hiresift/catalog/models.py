@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from hiresift import schema as S
 from hiresift.catalog.base import JOBS, KEYED, category, city, company, ctes, jobs_fx, query, quote, table, tag_list, tech, title
+from hiresift.catalog.aggregates import TOP_SKILL
 from hiresift.catalog.scans import BOW, DOCS, FLAT, NEW_ROWS, NO_TITLE, PAYLOADS, SPLIT_DAY, TOKS, as_jobs
 from hiresift.dims import DEFAULT, STOP_WORDS
 from hiresift.functions.skills import onehot_name
 from hiresift.functions.text import assign_category, model_text, model_text_no_title
-from hiresift.operators import evaluate, features, nb
+from hiresift.operators import evaluate, features, nb, stats
 from hiresift.plans import build
-from hiresift.session import work_path
+from hiresift.session import cut, work_path
 from hiresift.sources import feeds
 from hiresift.sources.tables import write_report
 from hiresift.streaming import incremental
@@ -82,7 +83,7 @@ _DUMMIES = ", ".join(f"coalesce(job_type = '{k}', FALSE) AS \"type_{k}\"" for k
 
 @query("jobtype_dummies", ctes(JOBS) + f"SELECT id, {_DUMMIES} FROM jobs_fx")
 def jobtype_dummies(spark, sf_dir):
-    return features.jobtype_dummies(jobs_fx(spark, sf_dir).select("id", "job_type"))
+    return features.jobtype_dummies(jobs_fx(spark, sf_dir).select("id", "job_type"), _KINDS)
 
 
 @query("feature_table", ctes(JOBS, tfidf(500), f"""terms AS (
@@ -91,7 +92,7 @@ def jobtype_dummies(spark, sf_dir):
   coalesce(job_type IS NULL, FALSE) AS type_, {_DUMMIES}, coalesce(tfidf, '') AS tfidf
 FROM (SELECT *, {tag_list('tags')} AS tg FROM jobs_fx) LEFT JOIN terms USING (id)""")
 def feature_table(spark, sf_dir):
-    wide = build.feature_table(jobs_fx(spark, sf_dir))
+    wide = build.feature_table(jobs_fx(spark, sf_dir), job_types=["", *_KINDS])
     pairs = F.transform("tfidf", lambda t: F.concat(
         t["term"], F.lit("="), F.round(t["weight"] * 10000).cast("bigint").cast("string")))
     return wide.drop("job_id", "description", "location", "salary_min", "salary_max", "tags").withColumns({
@@ -100,6 +101,33 @@ def feature_table(spark, sf_dir):
     })
 
 
+# Fitted on the first half of the month; the postings of the other half were not seen then.
+_FITTED = f"fit AS (SELECT * FROM jobs_fx WHERE created_at < '{SPLIT_DAY}')"
+_SEEN = tfidf(500).replace("FROM jobs_fx", "FROM fit")
+_LATER = tfidf(500).split("tf AS")[0].replace("words AS", "words2 AS", 1).replace("flat AS", "flat2 AS", 1).replace("FROM words)", "FROM words2)").replace(
+    "FROM flat", "FROM flat2").replace("occ AS", "occ2 AS", 1).split("top AS")[0].rstrip().rstrip(",")
+_BOUND = ", ".join(f"CASE WHEN {c}_hi = {c}_lo THEN 0 ELSE round(({c} - {c}_lo) / ({c}_hi - {c}_lo), 6) END AS {c}_scaled" for c in ("salary_min", "salary_max"))
+
+
+@query("feature_transform", ctes(JOBS, _FITTED, _SEEN, _LATER, """tf2 AS (SELECT id, term, count(*) AS n FROM occ2 WHERE term IN (SELECT term FROM dfs) GROUP BY id, term),
+places AS (SELECT term, idf, row_number() OVER (ORDER BY term) - 1 AS pos FROM dfs),
+rows2 AS (SELECT id, string_agg(pos || ':' || CAST(CAST(round(10000 * n * idf / norm) AS BIGINT) AS STRING), ';' ORDER BY pos) AS features FROM (
+  SELECT t.id, t.n, p.idf, p.pos, sqrt(sum(t.n * p.idf * t.n * p.idf) OVER (PARTITION BY t.id)) AS norm FROM tf2 t JOIN places p USING (term)) GROUP BY id),
+bounds AS (SELECT min(salary_min) AS salary_min_lo, max(salary_min) AS salary_min_hi, min(salary_max) AS salary_max_lo, max(salary_max) AS salary_max_hi FROM fit)""")
+  + f"""SELECT id, {_BOUND}, CAST((SELECT count(*) FROM dfs) AS INTEGER) AS size, coalesce(features, '') AS features
+FROM (SELECT * FROM jobs_fx, bounds) LEFT JOIN rows2 USING (id) WHERE created_at >= '{SPLIT_DAY}'""")
+def feature_transform(spark, sf_dir):
+    jobs = jobs_fx(spark, sf_dir)
+    old = F.col("created_at") < SPLIT_DAY
+    model = features.FeatureModel(spark, work_path(spark, "feature-model"))
+    model.fit(jobs.where(old))
+    out = model.transform(jobs.where(~old))
+    entries = F.zip_with("features.indices", "features.values", lambda i, w: F.concat(
+        i.cast("string"), F.lit(":"), F.round(w * 10000).cast("bigint").cast("string")))
+    return out.select("id", F.round("salary_min_scaled", 6).alias("salary_min_scaled"), F.round("salary_max_scaled", 6).alias("salary_max_scaled"),
+                      "features.size", F.array_join(entries, ";").alias("features"))
+
+
 @query("bag_of_words", f"""SELECT doc_id, token, count(*) AS n FROM (
   SELECT doc_id, unnest(regexp_extract_all({BOW})) AS token FROM (SELECT doc_id, text AS x FROM documents)) GROUP BY doc_id, token""")
 def bag_of_words(spark, sf_dir):
@@ -125,9 +153,7 @@ cls AS (SELECT label, count(*) AS docs, sum(len) AS tokens FROM lens GROUP BY la
 SELECT label, docs, CAST(tokens AS BIGINT) AS tokens, (SELECT count(DISTINCT token) FROM wc) AS vocab,
   (SELECT count(*) FROM wc w WHERE w.label = c.label) AS distinct_tokens FROM cls c""")
 def nb_train_counts(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
-    token_counts, label_counts = nb.train_counts(docs, F.col("text"), F.col("label"))
-    # count tables are small beside the texts, so both readings of them are kept
+    token_counts, label_counts = nb.saved(nb.train_counts(jobs_fx(spark, sf_dir), _text(), _label()))
     distinct = token_counts.groupBy("label").agg(F.count("*").alias("distinct_tokens"))
     vocab = token_counts.agg(F.count_distinct("token")).scalar()
     return label_counts.withColumn("vocab", vocab).join(distinct, "label", "left")
@@ -145,8 +171,8 @@ predicted AS (SELECT id, arg_min(label, {'k': -round(score, 9), 'n': label}) AS
 
 @query("nb_predict", ctes(JOBS, DOCS, TOKS, COUNTS, PREDICT) + "SELECT id, predicted FROM predicted")
 def nb_predict(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
-    return nb.predict(nb.saved(nb.train_counts(docs, F.col("text"), F.col("label"))), docs, F.col("text"))
+    words = nb.tokenised(jobs_fx(spark, sf_dir), _text(), _label())
+    return nb.predicted_or_unknown(nb.saved(nb.counts_of(words)), words)
 
 
 # Running counts by window functions over the whole table.
@@ -322,9 +348,9 @@ classes_f1 AS (SELECT {pre}class, CASE WHEN sum(called) = 0 THEN 0 ELSE sum(hit)
 
 
 def scored_splits(spark, sf_dir):
-    jobs = jobs_fx(spark, sf_dir)
-    inputs = {"current": _text(), "no_title": model_text_no_title(F.col("tags"), F.col("description"))}
-    return evaluate.evaluate(jobs, inputs, _label())
+    rest = model_text_no_title(F.col("tags"), F.col("description"))
+    parts = {"title": F.coalesce("title", F.lit("")), "rest": rest}
+    return evaluate.evaluate(jobs_fx(spark, sf_dir), parts, {"current": ["title", "rest"], "no_title": ["rest"]}, _label())
 
 
 _INPUTS = _inputs_sql()
@@ -338,12 +364,24 @@ def _rounded(df, *cols):
 per AS (SELECT input, seed, avg(CASE WHEN predicted = label THEN 1 ELSE 0 END) AS acc, avg(CASE WHEN majority = label THEN 1 ELSE 0 END) AS base
   FROM scored GROUP BY input, seed)
 SELECT p.input, round(avg(acc), 6) AS accuracy, round(stddev_pop(acc), 6) AS accuracy_std, round(avg(base), 6) AS baseline_accuracy,
-  round(avg(f.f1), 6) AS macro_f1, count(*) AS n_splits
+  round(avg(f.f1), 6) AS macro_f1, count(*) AS n_splits, (SELECT count(*) FROM jobs_fx) AS n_jobs
 FROM per p JOIN (SELECT input, seed, avg(f1) AS f1 FROM classes_f1 GROUP BY input, seed) f ON f.input = p.input AND f.seed = p.seed GROUP BY p.input""")
 def eval_summary(spark, sf_dir):
-    out = evaluate.summary(scored_splits(spark, sf_dir))
-    out = write_report(out, work_path(spark, "eval"))
-    return _rounded(out, "accuracy", "accuracy_std", "baseline_accuracy", "macro_f1")
+    return _rounded(stored_evaluation(spark, sf_dir), "accuracy", "accuracy_std", "baseline_accuracy", "macro_f1")
+
+
+def stored_evaluation(spark, sf_dir):
+    out = evaluate.summary(scored_splits(spark, sf_dir), jobs_fx(spark, sf_dir).count())
+    return write_report(out, work_path(spark, "eval"))
+
+
+@query("sidebar_stats", _INPUTS + "," + TOP_SKILL + """,
+per AS (SELECT seed, avg(CASE WHEN predicted = label THEN 1 ELSE 0 END) AS acc, avg(CASE WHEN majority = label THEN 1 ELSE 0 END) AS base
+  FROM scored WHERE input = 'current' GROUP BY seed)
+SELECT count(*) AS total, count(*) FILTER (WHERE job_type = 'remote') AS remote, substr(max(created_at), 1, 10) AS last_updated,
+  (SELECT top_skill FROM top_skill) AS top_skill, (SELECT round(avg(acc) * 100, 1) FROM per) AS accuracy, (SELECT round(avg(base) * 100, 1) FROM per) AS baseline FROM jobs_fx""")
+def sidebar_stats(spark, sf_dir):
+    return stats.sidebar_stats(jobs_fx(spark, sf_dir), stored_evaluation(spark, sf_dir))
 
 
 @query("macro_f1", _INPUTS + "," + _f1_sql(["input", "seed"]) + """
@@ -353,16 +391,14 @@ def macro_f1(spark, sf_dir):
     return _rounded(report.groupBy("input", "seed").agg(F.avg("f1").alias("macro_f1")), "macro_f1")
 
 
-@query("class_report", ctes(JOBS, DOCS, TOKS, COUNTS, PREDICT, "scored AS (SELECT d.id, d.label, p.predicted FROM docs d JOIN predicted p ON p.id = d.id)",
-                            _f1_sql([])) + """
+# Over the test rows of all splits together.
+@query("class_report", _INPUTS.replace("scored AS", "all_scored AS") + ", scored AS (SELECT label, predicted FROM all_scored WHERE input = 'current')," + _f1_sql([]) + """
 SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM classes_f1
 UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM classes_f1
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
   round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM classes_f1""")
 def class_report(spark, sf_dir):
-    docs = labelled(spark, sf_dir)
-    predicted = nb.predict(nb.saved(nb.train_counts(docs, F.col("text"), F.col("label"))), docs, F.col("text"))
-    report = evaluate.class_report(docs.select("id", "label").join(predicted, "id"))
+    report = cut(evaluate.class_report(scored_splits(spark, sf_dir).where("input = 'current'")))
     return _rounded(evaluate.with_averages(report), "precision", "recall", "f1")
 
 

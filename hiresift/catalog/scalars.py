@@ -372,9 +372,10 @@ def text_claim_flags(spark, sf_dir):
 
 
 @query("browse_jobs", ctes(JOBS, CODES) + """
+SELECT *, count(*) OVER () AS total FROM (
 SELECT id, title, company, location, job_type, tags, apply_url FROM jobs_fx JOIN (SELECT id, codes, remote FROM coded) c USING (id)
 WHERE job_type = 'remote' AND (contains(lower(coalesce(tags, '')), 'python') OR contains(lower(title), 'python')
   OR contains(lower(coalesce(description, '')), 'python')) AND (list_contains(string_split(codes, ','), 'de') OR (remote AND codes = ''))
-ORDER BY id LIMIT 20""")
+ORDER BY id LIMIT 20)""")
 def browse(spark, sf_dir):
     return browse_jobs(jobs_fx(spark, sf_dir), job_type="remote", skill="Python", location="Germany", limit=20)

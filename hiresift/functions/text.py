@@ -81,12 +81,6 @@ def parse_tags(tags: Column) -> Column:
 # --- folding ------------------------------------------------------------------------------------
 
 
-def ascii_fold_py(text: str | None) -> str:
-    """The same fold for one driver-side string, such as a search term."""
-    out = unicodedata.normalize("NFKD", text or "")
-    return out.encode("ascii", "ignore").decode("ascii").lower()
-
-
 @cache
 def _folds(keep_letters: bool) -> tuple[str, str, dict[str, str]]:
     """Translate strings for one-to-one folds, and a map for one-to-many folds.

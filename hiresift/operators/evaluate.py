@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hiresift.dims import DEFAULT
 from hiresift.functions.text import words_and_hyphens
 from hiresift.operators import nb
 from hiresift.session import cut
@@ -48,53 +49,67 @@ def stratified_split(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFra
 
 
 def evaluate(
-    docs: DataFrame, inputs: dict[str, Column], label: Column,
+    docs: DataFrame, parts: dict[str, Column], inputs: dict[str, list[str]], label: Column,
     classes: list[str] | None = None, seeds: tuple[int, ...] = SEEDS,
 ) -> DataFrame:
     """input, seed, id, label, predicted, majority: predictions for the test rows of all splits.
 
-    Counts are additive, so the counts of a training part are those of all rows minus those of
-    its test rows: all splits of all inputs are trained in one pass over the texts.
+    An input is some of the parts, one after the other with a blank between; each part is split into words once. Counts are
+    additive, and a row knows by a mask in which splits it is a test row: all models of an input are one table with one row for each
+    token, whose counts by split and class stand in one array, so a token of the test rows meets all of them in one join.
     """
-    base = docs.select("id", label.alias("label"), F.array(*[
-        F.struct(F.lit(name).alias("input"), words_and_hyphens(text).alias("words"))
-        for name, text in inputs.items()
-    ]).alias("texts"))
+    classes = DEFAULT.classes if classes is None else classes
+    k = len(classes)
+    names = list(parts)
+    base = docs.select("id", label.alias("label"), *[words_and_hyphens(t).alias(f"_w{i}") for i, t in enumerate(parts.values())])
     held = stratified_split(docs.select("id", label.alias("label")), seeds).groupBy("id").agg(
-        F.collect_set("seed").alias("held")
-    )
-    none = F.array().cast("array<int>")
-    # cut here: the texts are tokenised once for totals, test parts and predictions
+        F.sum(_bit(F.col("seed"), seeds)).cast("int").alias("mask"))
+    texts = F.array(*[F.struct(F.lit(name).alias("input"), F.concat(*[F.col(f"_w{names.index(p)}") for p in chosen]).alias("words"))
+                      for name, chosen in inputs.items()])
     rows = cut(base.join(held, "id", "left").select(
-        "id", "label", F.coalesce("held", none).alias("held"), F.explode("texts").alias("t"),
-    ).select("id", "label", "held", "t.*"))
-    tests = rows.select("input", F.explode("held").alias("seed"), "id", "label", "words")
-
-    tokens = rows.select("input", "label", "held", F.explode("words").alias("token"))
-    model = nb.saved((
-        _training(tokens, ["input", "token", "label"], [F.lit(1).alias("n")], seeds),
-        _training(rows, ["input", "label"], [F.lit(1).alias("docs"), F.size("words").alias("tokens")], seeds),
-    ))
-    predicted = nb.predict_words(model, tests, ["input", "seed"], classes)
-    return tests.select("input", "seed", "id", "label").join(predicted, ["input", "seed", "id"]).select(
-        "input", "seed", "id", "label", F.coalesce("predicted", "majority").alias("predicted"), "majority"
-    )
-
-
-def _training(rows: DataFrame, keys: list[str], measures: list[Column], seeds: tuple[int, ...]) -> DataFrame:
-    """Sums per key and split over its training rows: all rows, minus the held ones."""
-    rows = rows.select(*keys, "held", *measures)
-    names = [c for c in rows.columns if c not in (*keys, "held")]
-    # per (key, held splits) first: few distinct combinations remain of many rows
-    cells = rows.groupBy(*keys, "held").agg(*[F.sum(n).alias(n) for n in names])
-    kept = F.array_except(F.array(*map(F.lit, seeds)), F.col("held"))
-    out = cells.select(*keys, F.explode(kept).alias("seed"), *names)
-    return out.groupBy(*keys, "seed").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def class_report(scored: DataFrame, *by: str) -> DataFrame:
-    """Per class precision, recall, F1 and support over true and predicted labels together."""
-    confusion = scored.groupBy(*by, "label", "predicted").agg(F.count("*").alias("n"))
+        "id", "label", F.coalesce("mask", F.lit(0)).alias("mask"), F.explode(texts).alias("t")).select("id", "label", "mask", "t.*"))
+
+    def trained(value: Column) -> Column:
+        """Sums over the training rows: an array by split, then class."""
+        return F.array(*[F.coalesce(F.sum(F.when((F.col("label") == c) & (F.col("mask").bitwiseAND(1 << s) == 0), value)), F.lit(0))
+                         for s in range(len(seeds)) for c in classes])
+
+    # few combinations of token, label and mask remain of many occurrences
+    cells = rows.select("input", "label", "mask", F.explode("words").alias("token")).groupBy("input", "token", "label", "mask").agg(F.count("*").alias("n"))
+    tokens = cut(cells.groupBy("input", "token").agg(trained(F.col("n")).alias("counts")))
+    sizes = rows.groupBy("input").agg(trained(F.lit(1)).alias("docs"), trained(F.size("words")).alias("tokens"))
+    seen = [F.count_if(F.exists(F.slice("counts", s * k + 1, k), lambda n: n > 0)).alias(f"v{s}") for s in range(len(seeds))]
+    vocab = tokens.groupBy("input").agg(*seen)
+    models = cut(sizes.join(vocab, "input", "left"))
+
+    tests = rows.where("mask > 0")
+    toks = tests.select("input", "id", "mask", F.explode("words").alias("token")).groupBy("input", "id", "mask", "token").agg(F.count("*").alias("n"))
+    # the splits in which the row is a test row, each with the place of its counts
+    splits = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << s) != 0, F.lit(s)) for s in range(len(seeds))]))
+    met = toks.join(tokens, ["input", "token"], "left").select("input", "id", "n", "counts", F.explode(splits).alias("s"))
+    logs = [F.sum(F.col("n") * F.ln(F.coalesce(F.get("counts", F.col("s") * k + i), F.lit(0)) + nb.ALPHA)).alias(f"s{i}") for i in range(k)]
+    per_doc = met.groupBy("input", "id", "s").agg(F.sum("n").alias("length"), *logs)
+    cases = tests.select("input", "id", "label", F.explode(splits).alias("s"))
+    # one row for each input
+    scored = cases.join(per_doc, ["input", "id", "s"], "left").join(F.broadcast(models), "input")
+    of = [F.slice(c, F.col("s") * k + 1, k) for c in ("docs", "tokens")]
+    size = F.coalesce(F.array(*[F.col(f"v{s}") for s in range(len(seeds))])[F.col("s")], F.lit(0))
+    predicted = nb.best_class([F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)], F.coalesce("length", F.lit(0)), of[0], of[1], size, classes)
+    most = nb.majority(of[0], classes)
+    return scored.select(
+        "input", F.array(*map(F.lit, seeds))[F.col("s")].alias("seed"), "id", "label", F.coalesce(predicted, most).alias("predicted"), most.alias("majority"))
+
+
+def _bit(seed: Column, seeds: tuple[int, ...]) -> Column:
+    out = F.lit(0)
+    for i, s in enumerate(seeds):
+        out = F.when(seed == s, F.lit(1 << i)).otherwise(out)
+    return out
+
+
+def class_report(scored: DataFrame, *by: str, rows: Column | None = None) -> DataFrame:
+    """Per class precision, recall, F1 and support over true and predicted labels together; ``rows`` sums up rows counted before."""
+    confusion = scored.groupBy(*by, "label", "predicted").agg((F.count("*") if rows is None else F.sum(rows)).alias("n"))
     sides = confusion.select(*by, F.explode(F.array(
         F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).alias("called"),
                  F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")),
@@ -130,15 +145,16 @@ def with_averages(report: DataFrame) -> DataFrame:
     return report.unionByName(macro).unionByName(weighted)
 
 
-def summary(scored: DataFrame) -> DataFrame:
-    """Per input: accuracy with its spread over the splits, baseline accuracy, macro F1."""
-    per_split = scored.groupBy("input", "seed").agg(
-        F.avg((F.col("predicted") == F.col("label")).cast("int")).alias("acc"),
-        F.avg((F.col("majority") == F.col("label")).cast("int")).alias("base"),
+def summary(scored: DataFrame, n_jobs: Column | int | None = None) -> DataFrame:
+    """Per input: accuracy with its spread over the splits, baseline accuracy, macro F1, and the number of postings it stands for."""
+    confusion = cut(scored.groupBy("input", "seed", "label", "predicted", "majority").agg(F.count("*").alias("n")))
+    per_split = confusion.groupBy("input", "seed").agg(
+        (F.sum(F.when(F.col("predicted") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"),
+        (F.sum(F.when(F.col("majority") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")).alias("base"),
     )
-    f1 = class_report(scored, "input", "seed").groupBy("input", "seed").agg(F.avg("f1").alias("f1"))
+    f1 = class_report(confusion, "input", "seed", rows=F.col("n")).groupBy("input", "seed").agg(F.avg("f1").alias("f1"))
     return per_split.join(f1, ["input", "seed"]).groupBy("input").agg(
         F.avg("acc").alias("accuracy"), F.stddev_pop("acc").alias("accuracy_std"),
         F.avg("base").alias("baseline_accuracy"), F.avg("f1").alias("macro_f1"),
         F.count("*").alias("n_splits"),
-    )
+    ).withColumn("n_jobs", F.lit(n_jobs).cast("long"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT, STOP_WORDS, Dims
 from hiresift.functions.skills import onehot_name
 from hiresift.functions.text import combined_text, long_words, parse_tags, str_array, words_and_hyphens
 from hiresift.session import cut
+from hiresift.sources.versions import Versions
 
 
 def document_terms(docs: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
@@ -29,57 +30,48 @@ def tfidf_vocabulary(
     Occurrences are counted per task first, so only (term, count) pairs are shuffled. Document
     frequencies are counted for the chosen terms alone.
     """
-    occurrences = _occurrences(jobs, stop_words)
-    top = _top_terms(occurrences, max_features)
-    return _with_idf(_term_counts(occurrences, top), top, _size(jobs))
+    return _fit(jobs, max_features, stop_words)[0]
 
 
 def tfidf_weights(
     jobs: DataFrame, max_features: int = 500, stop_words: list[str] | None = None
 ) -> DataFrame:
     """id, term, n, weight: length-normalised TF-IDF over the vocabulary."""
-    occurrences = _occurrences(jobs, stop_words)
-    top = _top_terms(occurrences, max_features)
-    counts = _term_counts(occurrences, top)
-    vocabulary = _with_idf(counts, top, _size(jobs))
-    # max_features bounds the vocabulary, so it is safe to broadcast
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn(
-        "raw", F.col("n") * F.col("idf")
-    )
+    vocabulary, counts = _fit(jobs, max_features, stop_words)
+    return weights_of(counts, vocabulary)
+
+
+def weights_of(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """id, term, n, weight of term counts under a vocabulary (term, idf), whose size max_features bounds."""
+    raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("raw", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
     return raw.select("id", "term", "n", (F.col("raw") / norm).alias("weight"))
 
 
+def _fit(jobs: DataFrame, max_features: int, stop_words: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary, and (id, term, n) of its terms. Texts are read twice: for the terms, and for the counts of the chosen ones."""
+    occurrences = _occurrences(jobs, stop_words)
+    total = occurrences.groupBy("term").agg(F.count("*").alias("total"))
+    top = cut(total.orderBy(F.desc("total"), "term").limit(max_features))
+    counts = cut(_term_counts(occurrences, top))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((1 + F.col("size")) / (1 + F.col("df"))) + 1
+    size = jobs.agg(F.count("*")).scalar()
+    vocabulary = F.broadcast(top).join(df, "term").withColumn("size", size).select("term", F.col("total").alias("n"), "df", idf.alias("idf"))
+    return vocabulary, counts
+
+
 def _occurrences(jobs: DataFrame, stop_words: list[str] | None) -> DataFrame:
     text = combined_text(F.col("title"), F.col("description"), F.col("tags"))
     stop_words = STOP_WORDS if stop_words is None else stop_words
     return document_terms(jobs, text, stop_words)
 
 
-def _size(jobs: DataFrame) -> Column:
-    return jobs.agg(F.count("*")).scalar()
-
-
-def _top_terms(occurrences: DataFrame, max_features: int) -> DataFrame:
-    total = occurrences.groupBy("term").agg(F.count("*").alias("total"))
-    # fitted once and stored: the passes that follow read these few rows
-    return cut(total.orderBy(F.desc("total"), "term").limit(max_features))
-
-
 def _term_counts(occurrences: DataFrame, top: DataFrame) -> DataFrame:
     chosen = occurrences.join(F.broadcast(top.select("term")), "term", "left_semi")
     return chosen.groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
-def _with_idf(counts: DataFrame, top: DataFrame, size: Column) -> DataFrame:
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((1 + F.col("size")) / (1 + F.col("df"))) + 1
-    return (
-        F.broadcast(top).join(df, "term").withColumn("size", size)
-        .select("term", F.col("total").alias("n"), "df", idf.alias("idf"))
-    )
-
-
 def skill_onehot(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """All columns plus one 0/1 column per vocabulary item, by exact tag."""
     tagged = jobs.withColumn("_tags", parse_tags(F.col("tags")))
@@ -94,36 +86,80 @@ def skill_pairs(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     return jobs.select("id", F.explode(F.array_intersect(vocabulary, parse_tags(F.col("tags")))).alias("skill"))
 
 
-def salary_scaled(jobs: DataFrame) -> DataFrame:
-    """Both salary columns scaled to 0..1; a constant column gives 0."""
-    out = jobs
-    bounds = jobs.agg(*[
-        f(F.coalesce(c, F.lit(0.0))).alias(f"{c}_{n}")
-        for c in ("salary_min", "salary_max") for n, f in (("lo", F.min), ("hi", F.max))
-    ])
-    span = bounds.select(F.struct("*")).scalar()
-    out = out.withColumn("_b", span)
-    for c in ("salary_min", "salary_max"):
+SALARIES = ("salary_min", "salary_max")
+
+
+def salary_bounds(jobs: DataFrame) -> DataFrame:
+    """One row: least and greatest value of both salary columns."""
+    return jobs.agg(*[f(F.coalesce(c, F.lit(0.0))).alias(f"{c}_{n}") for c in SALARIES for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def salary_scaled(jobs: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Both salary columns scaled to 0..1 by the bounds, by default their own; a constant column gives 0.
+
+    Values beyond stored bounds scale beyond 0..1.
+    """
+    bounds = salary_bounds(jobs) if bounds is None else bounds
+    out = jobs.withColumn("_b", bounds.select(F.struct("*")).scalar())
+    for c in SALARIES:
         value, lo, hi = F.coalesce(c, F.lit(0.0)), F.col(f"_b.{c}_lo"), F.col(f"_b.{c}_hi")
         out = out.withColumn(f"{c}_scaled", F.when(hi == lo, F.lit(0.0)).otherwise((value - lo) / (hi - lo)))
     return out.drop("_b")
 
 
-def jobtype_dummies(jobs: DataFrame, values: list[str] | None = None, max_values: int = 1000) -> DataFrame:
-    """One boolean column per job type in place of the original column.
+def jobtype_dummies(jobs: DataFrame, values: list[str], other: bool = False) -> DataFrame:
+    """One boolean column for each of the given job types in place of the original column; with ``other`` one for the rest."""
+    keep = [c for c in jobs.columns if c != "job_type"]
+    kinds = [F.coalesce(F.col("job_type") == v, F.lit(False)).alias(f"type_{v}") for v in values]
+    if other:
+        kinds.append((~F.coalesce(F.col("job_type"), F.lit("")).isin(values)).alias("type_other"))
+    return jobs.select(*keep, *kinds)
+
+
+class FeatureModel:
+    """What the features of a posting depend on, fitted once and stored: vocabulary with idf, salary bounds, number of postings.
 
-    Column names must be known before the plan, so the distinct types are read first; more than
-    ``max_values`` of them is an error, not a silent cut.
+    Postings that come later are transformed like those it was fitted on. A fit is published as a new version.
     """
-    if values is None:
-        found = jobs.select("job_type").where("job_type is not null").distinct().limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"more than {max_values} job types; standardise them first")
-        values = sorted(r.job_type for r in found)
-    keep = [c for c in jobs.columns if c != "job_type"]
-    return jobs.select(*keep, *[
-        F.coalesce(F.col("job_type") == v, F.lit(False)).alias(f"type_{v}") for v in values
-    ])
+
+    TERMS = "pos int, term string, n long, df long, idf double"
+    BOUNDS = ", ".join(f"{c}_{n} double" for c in SALARIES for n in ("lo", "hi"))
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.versions = Versions(spark, folder)
+
+    def fit(self, jobs: DataFrame, max_features: int = 500, stop_words: list[str] | None = None) -> DataFrame:
+        """Fit and publish; returns the term counts (id, term, n) of the fitted postings, which ``transform`` takes in place of their texts."""
+        vocabulary, counts = _fit(jobs, max_features, stop_words)
+        # at most max_features rows
+        placed = vocabulary.withColumn("pos", (F.row_number().over(Window.partitionBy().orderBy("term")) - 1))
+        new = {"terms": [self.versions.write("terms", placed.select("pos", "term", "n", "df", "idf").coalesce(1))],
+               "bounds": [self.versions.write("bounds", salary_bounds(jobs).coalesce(1))],
+               "max_features": max_features, "stop_words": stop_words}
+        self.versions.change(lambda content: new)
+        return counts
+
+    def vocabulary(self) -> DataFrame:
+        return self.versions.load(self.versions.last()[1]["terms"], self.TERMS)
+
+    def bounds(self) -> DataFrame:
+        return self.versions.load(self.versions.last()[1]["bounds"], self.BOUNDS)
+
+    def transform(self, jobs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        """id, both scaled salaries, tfidf (term, weight in term order), and features: the sparse vector (size, indices, values)."""
+        content = self.versions.last()[1]
+        terms = self.vocabulary()
+        if counts is None:
+            counts = _term_counts(_occurrences(jobs, content["stop_words"]), terms)
+        weights = weights_of(counts, terms).join(F.broadcast(terms.select("term", "pos")), "term")
+        rows = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("w"))
+        out = salary_scaled(jobs.select("id", *SALARIES), self.bounds()).select("id", *[f"{c}_scaled" for c in SALARIES])
+        out = out.join(rows, "id", "left").withColumn("w", F.coalesce("w", F.array().cast(rows.schema["w"].dataType)))
+        size = terms.agg(F.count("*").cast("int")).scalar()
+        return out.withColumn("_size", size).select(
+            "id", *[f"{c}_scaled" for c in SALARIES],
+            F.transform("w", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight"))).alias("tfidf"),
+            F.struct(F.col("_size").alias("size"), F.col("w.pos").alias("indices"), F.col("w.weight").alias("values")).alias("features"))
 
 
 def bag_of_words(docs: DataFrame, text: Column, *keep: str) -> DataFrame:

@@ -5,6 +5,11 @@ same required skills tie and rank by arrival, so the first few ids of each set a
 meet through an inverted index on skills that is read in steps of falling score: a set that must
 reach 100 % is indexed under its rarest skill alone, and profiles whose ranking is complete leave
 before the next step. The result is exact at every step.
+
+Profiles that are left after the last step meet lists of bounded length (``bounded_lists``). There is one for each skill and
+size of set. A set that shares just the skills T with a profile ranks behind every set of its size that holds T and came earlier, so of the
+list of T the first k sets are enough, whatever its length. A long list is therefore cut to k, and the sets in it are filed under
+pairs of their skills as well, then triples, until the lists are short.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from hiresift.session import cut
 SEP = "\x1f"
 # A ranking with this many non-zero scores leaves zero scores out.
 MIN_NONZERO = 5
-# Falling score steps; the last one takes every pair with a common skill.
-STEPS = (100, 75, 50, 25, 0)
+# Falling score steps; bounded lists serve what is below the last one.
+STEPS = (100, 75, 50)
+# A list of more sets is cut, and its sets are filed under more skills.
+LONG_LIST = 256
 
 
 def job_skills(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
@@ -122,7 +129,64 @@ def _pairs(users: DataFrame, index: DataFrame, step: int, top: int) -> DataFrame
     )
 
 
-def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+def _longer(key: str, pool: Column) -> Column:
+    """The sorted skill lists of ``key`` with one more skill of the pool behind their last one."""
+    later = F.filter(pool, lambda t: t > F.element_at(key, -1))
+    return F.transform(later, lambda t: F.concat(key, F.array(t)))
+
+
+def bounded_lists(required: DataFrame, keep: int, long_list: int = LONG_LIST) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, jset, req, ids): sets filed under keys, sorted lists of skills that they hold; and per level the keys that are long.
+
+    A list is a key with a size of set. One of at most ``long_list`` sets is whole. Of a longer one the ``keep`` sets that came
+    first stay, and all its sets are filed under the key with each further skill. Every set that shares the skills T with a profile and is among
+    the profile's best ``keep`` stands in a whole list of a part of T, or at the head of the list of T.
+    """
+    n = F.size("req")
+    rows = cut(required.select(F.explode(F.transform("req", lambda s: F.array(s))).alias("key"), "jset", "req", "ids", n.alias("n")))
+    lists, long_keys = None, []
+    while True:
+        # a long list has more than long_list rows, so these are few beside the rows
+        long = cut(rows.groupBy("key", "n").agg(F.count("*").alias("len")).where(F.col("len") > long_list).select("key", "n"))
+        whole = rows.join(long, ["key", "n"], "left_anti")
+        heads = rows.join(long, ["key", "n"], "left_semi")
+        first = Window.partitionBy("key", "n").orderBy(F.col("ids")[0])
+        head = heads.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= keep)
+        part = whole.select("key", "jset", "req", "ids").unionByName(head.select("key", "jset", "req", "ids"))
+        lists = part if lists is None else lists.unionByName(part)
+        if long.isEmpty():
+            return lists, long_keys
+        long_keys.append(long.select("key").distinct())
+        rows = cut(heads.select("jset", "req", "ids", "n", F.explode(_longer("key", F.col("req"))).alias("key")).select("key", "jset", "req", "ids", "n"))
+
+
+def _meet_lists(users: DataFrame, required: DataFrame, keep: int, long_list: int) -> DataFrame:
+    """pset, pct, m, ids: for each profile set all pairs of the lists that its skills name; holds the best ``keep`` of its pairs."""
+    lists, long_keys = bounded_lists(required, keep, long_list)
+    lists = cut(lists)
+    known = F.array_sort("known").alias("known")
+    probe = users.select("pset", known).select("pset", "known", F.explode(F.transform("known", lambda s: F.array(s))).alias("key"))
+    probes = probe
+    for long in long_keys:
+        probe = probe.join(long, "key", "left_semi").select("pset", "known", F.explode(_longer("key", F.col("known"))).alias("key"))
+        probes = probes.unionByName(probe)
+    m, n = F.size(F.array_intersect("req", "known")), F.size("req")
+    met = probes.join(lists, "key").select("pset", "jset", m.alias("m"), match_percent(m, n).alias("pct"), "ids")
+    # a pair that several lists name is one
+    return met.groupBy("pset", "jset").agg(*[F.first(c).alias(c) for c in ("pct", "m", "ids")]).drop("jset")
+
+
+def _best(found: DataFrame, keep: int) -> DataFrame:
+    """pset, pct, m, id, rank, nonzero: the best ``keep`` postings of each profile set."""
+    best = Window.partitionBy("pset").orderBy(F.desc("pct"), F.desc("m"), F.col("ids")[0])
+    some = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep)
+    rows = some.select("pset", "pct", "m", F.explode("ids").alias("id"))
+    best = Window.partitionBy("pset").orderBy(F.desc("pct"), F.desc("m"), "id")
+    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
+    return ranked.withColumn("nonzero", F.count_if(F.col("pct") > 0).over(Window.partitionBy("pset")))
+
+
+def rank_sets(skills: DataFrame, sets: DataFrame, limit: int, long_list: int = LONG_LIST) -> DataFrame:
     """pset, rank, id: the best ``limit`` postings of every distinct profile set.
 
     If at least MIN_NONZERO postings score above zero only those are listed, else zero scores
@@ -138,21 +202,14 @@ def rank_sets(skills: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     rarity = required.select(F.explode("req").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
     done, left = None, users
     for step in STEPS:
-        found = _pairs(left, _index(required, step, rarity), step, keep).select(
-            "pset", "pct", "m", F.explode("ids").alias("id")
-        )
-        best = Window.partitionBy("pset").orderBy(F.desc("pct"), F.desc("m"), "id")
-        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-        per_set = F.count_if(F.col("pct") > 0).over(Window.partitionBy("pset"))
-        ranked = cut(ranked.withColumn("nonzero", per_set))
-        if step != STEPS[-1]:
-            full = ranked.where(F.col("nonzero") >= keep)
-            left = left.join(full.select("pset"), "pset", "left_anti")
-        else:
-            full = ranked
+        ranked = cut(_best(_pairs(left, _index(required, step, rarity), step, keep), keep))
+        full = ranked.where(F.col("nonzero") >= keep)
+        left = left.join(full.select("pset").distinct(), "pset", "left_anti")
         done = full if done is None else done.unionByName(full)
-        if step != STEPS[-1] and left.isEmpty():
+        if left.isEmpty():
             break
+    else:
+        done = done.unionByName(cut(_best(_meet_lists(left, required, keep, long_list), keep)))
     enough = F.col("nonzero") >= MIN_NONZERO
     listed = done.where(~enough | (F.col("pct") > 0))
     return _with_zero_scores(listed, users, skills, limit).where(F.col("rank") <= limit)

@@ -21,14 +21,24 @@ ALPHA = 1.0
 DIGITS = 9
 
 
+def tokenised(docs: DataFrame, text: Column, label: Column | None = None) -> DataFrame:
+    """id, label, words as a written table: texts are split into words once, for training and for prediction."""
+    labels = [] if label is None else [label.alias("label")]
+    return cut(docs.select("id", *labels, words_and_hyphens(text).alias("words")))
+
+
 def train_counts(docs: DataFrame, text: Column, label: Column) -> tuple[DataFrame, DataFrame]:
     """Token counts (token, label, n) and label counts (label, docs, tokens)."""
-    rows = docs.select(label.alias("label"), words_and_hyphens(text).alias("words"))
+    return counts_of(tokenised(docs.withColumn("id", F.lit(0)), text, label))
+
+
+def counts_of(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of ``tokenised`` rows."""
     token_counts = (
-        rows.select("label", F.explode("words").alias("token"))
+        words.select("label", F.explode("words").alias("token"))
         .groupBy("token", "label").agg(F.count("*").alias("n"))
     )
-    label_counts = rows.groupBy("label").agg(
+    label_counts = words.groupBy("label").agg(
         F.count("*").alias("docs"), F.sum(F.size("words")).alias("tokens")
     )
     return token_counts, label_counts
@@ -87,52 +97,57 @@ def predict(
     classes: list[str] | None = None,
 ) -> DataFrame:
     """id, predicted; without any training row everything is "unknown"."""
-    out = predict_words(model, docs.select("id", words_and_hyphens(text).alias("words")), [], classes)
+    return predicted_or_unknown(model, tokenised(docs, text), classes)
+
+
+def predicted_or_unknown(model: tuple[DataFrame, DataFrame], words: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    out = predict_words(model, words, classes)
     return out.select("id", F.coalesce("predicted", F.lit("unknown")).alias("predicted"))
 
 
-def predict_words(
-    model: tuple[DataFrame, DataFrame], docs: DataFrame, by: list[str],
-    classes: list[str] | None = None,
-) -> DataFrame:
-    """id, ``by``, predicted, majority: several models at once, told apart by the ``by`` columns.
+def predict_words(model: tuple[DataFrame, DataFrame], docs: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """id, predicted, majority of ``tokenised`` rows.
 
-    docs: id, by, words (array); no ``by`` column means one model. One join on the token and one grouping by document. The model
+    One join on the token and one grouping by document. The model
     side has one row per token; a frequent token makes the document side skewed, which adaptive
     execution splits.
     """
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
     token_counts, label_counts = model
-    wide = token_counts.groupBy(*by, "token").agg(_by_class("n", classes).alias("counts"))
-    vocab = wide.groupBy(*by).agg(F.count("*").alias("vocab"))
-    sums = label_counts.groupBy(*by).agg(
-        _by_class("docs", classes).alias("docs"), _by_class("tokens", classes).alias("tokens")
-    )
-    toks = docs.select("id", *by, F.explode("words").alias("token")).groupBy("id", *by, "token").agg(
-        F.count("*").alias("n")
-    )
+    wide = token_counts.groupBy("token").agg(_by_class("n", classes).alias("counts"))
+    vocab = wide.agg(F.count("*"))
+    sums = label_counts.agg(_by_class("docs", classes).alias("docs"), _by_class("tokens", classes).alias("tokens"))
+    toks = docs.select("id", F.explode("words").alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
     logs = [c.alias(f"s{i}") for i, c in enumerate(_log_counts(F.col("counts"), F.col("n"), classes))]
-    per_doc = toks.join(wide, [*by, "token"], "left").groupBy("id", *by).agg(F.sum("n").alias("length"), *logs)
+    per_doc = toks.join(wide, "token", "left").groupBy("id").agg(F.sum("n").alias("length"), *logs)
     # texts without tokens are scored by class share alone
-    rows = docs.select("id", *by).join(per_doc, ["id", *by], "left")
-    if by:
-        # one row per model, so it is safe to broadcast
-        rows = rows.join(F.broadcast(sums.join(vocab, by, "left")), by, "left")
-    else:
-        rows = rows.withColumn("sums", sums.select(F.struct("docs", "tokens")).scalar())
-        rows = rows.select("*", "sums.*").withColumn("vocab", vocab.scalar())
+    rows = docs.select("id").join(per_doc, "id", "left")
+    rows = rows.withColumn("sums", sums.select(F.struct("docs", "tokens")).scalar())
+    rows = rows.select("*", "sums.*").withColumn("vocab", vocab.scalar())
     label = best_class(
         [F.coalesce(f"s{i}", F.lit(0.0)) for i in k], F.coalesce("length", F.lit(0)),
         F.col("docs"), F.col("tokens"), F.coalesce("vocab", F.lit(0)), classes,
     )
-    ranked = F.array(*[F.struct((-F.col("docs")[i]).alias("n"), F.lit(c).alias("c")) for i, c in enumerate(classes)])
-    return rows.select("id", *by, label.alias("predicted"), F.array_min(ranked)["c"].alias("majority"))
+    return rows.select("id", label.alias("predicted"), majority(F.col("docs"), classes).alias("majority"))
+
+
+def majority(docs: Column, classes: list[str]) -> Column:
+    """The class with the most documents, ties by name."""
+    ranked = F.array(*[F.struct((-docs[i]).alias("n"), F.lit(c).alias("c")) for i, c in enumerate(classes)])
+    return F.array_min(ranked)["c"]
 
 
 def prequential(
     docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None,
-    start: tuple[DataFrame, DataFrame] | None = None, order: str = "id",
+    start: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """As ``prequential_words``, from texts."""
+    return prequential_words(docs.select("id", label.alias("label"), words_and_hyphens(text).alias("words")), classes, start)
+
+
+def prequential_words(
+    words: DataFrame, classes: list[str] | None = None, start: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """id, label, predicted: each row is predicted from all earlier rows, then learnt; with ``start``, a model, on top of its counts.
 
@@ -142,7 +157,6 @@ def prequential(
     """
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
-    words = docs.select(F.col(order).alias("id"), label.alias("label"), words_and_hyphens(text).alias("words"))
     rows, count = ranges(words, "id")
     toks = cut(rows.select("id", "label", "_b", F.explode("words").alias("token")).groupBy("id", "label", "_b", "token").agg(
         F.count("*").alias("n")))
@@ -270,8 +284,9 @@ class StoredModel:
 
     def train(self, docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None) -> DataFrame:
         """Train anew and publish the model in place of the last one; returns the test-then-train predictions."""
-        scored = cut(prequential(docs, text, label, classes))
-        new = self._written(train_counts(docs, text, label), scored)
+        words = tokenised(docs, text, label)
+        scored = cut(prequential_words(words, classes))
+        new = self._written(counts_of(words), scored)
         self.versions.change(lambda content: {"seen": content.get("seen", {})} | new)
         return scored
 
@@ -289,13 +304,17 @@ class StoredModel:
         The tables are written anew as sums, so a model stays as large as its vocabulary. ``batch`` is the name of a stream and a
         number of it; one that was taken in before changes nothing.
         """
+        made: list[DataFrame] = []
+
         def work(content: dict) -> dict | None:
             seen = content.get("seen", {})
             if batch and seen.get(batch[0], -1) >= batch[1]:
                 return None
             old = self.counts(content)
-            scored = prequential(docs, text, label, classes, old if content else None)
-            new = self._written(add_counts(old, train_counts(docs, text, label)), scored)
+            if not made:  # once, also where another writer is faster
+                made.append(tokenised(docs, text, label))
+            scored = prequential_words(made[0], classes, old if content else None)
+            new = self._written(add_counts(old, counts_of(made[0])), scored)
             new["accuracy"] = [*content.get("accuracy", []), *new["accuracy"]]
             return content | new | {"seen": seen | ({batch[0]: batch[1]} if batch else {})}
         return self.versions.change(work)[0]

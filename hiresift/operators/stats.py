@@ -47,14 +47,21 @@ def top_skill(jobs: DataFrame, default: str = "python") -> DataFrame:
     return skill_counts(jobs).agg(F.coalesce(best, F.lit(default)).alias("top_skill"))
 
 
-def sidebar_stats(jobs: DataFrame) -> DataFrame:
-    """Total, remote, top skill and day of the last load in one row."""
+def sidebar_stats(jobs: DataFrame, evaluation: DataFrame | None = None) -> DataFrame:
+    """Total, remote, top skill, day of the last load, and of a stored evaluation accuracy and baseline in percent, in one row.
+
+    evaluation: input, accuracy, baseline_accuracy (``evaluate.summary``); without one, or without the input "current", both are null.
+    """
     day = F.substring(F.max(F.col("created_at").cast("string")), 1, 10)
-    return jobs.agg(
+    out = jobs.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("job_type") == "remote").alias("remote"),
         F.coalesce(day, F.lit("unknown")).alias("last_updated"),
     ).withColumn("top_skill", top_skill(jobs).scalar())
+    for name, col in (("accuracy", "accuracy"), ("baseline", "baseline_accuracy")):
+        kept = F.lit(None).cast("double") if evaluation is None else evaluation.where("input = 'current'").agg(F.round(F.max(col) * 100, 1)).scalar()
+        out = out.withColumn(name, kept)
+    return out
 
 
 def skill_counts_old_new(jobs: DataFrame, limit: int = 10, dims: Dims = DEFAULT) -> DataFrame:

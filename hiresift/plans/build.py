@@ -13,6 +13,7 @@ from hiresift.operators import features, nb
 from hiresift.operators.dedup import append_new
 from hiresift.operators.drift import run_drift_check
 from hiresift.plans.preprocess import preprocess_jobs
+from hiresift.session import work_path
 from hiresift.sources.tables import load_jobs, write_report, write_table
 from hiresift.sources.versions import Versions
 
@@ -22,22 +23,20 @@ def training_text():
 
 
 def feature_table(
-    jobs: DataFrame, max_features: int = 500, job_types: list[str] | None = None, dims: Dims = DEFAULT
+    jobs: DataFrame, max_features: int = 500, job_types: list[str] | None = None, dims: Dims = DEFAULT, model_path: str | None = None
 ) -> DataFrame:
     """Postings with one-hot skills, scaled salaries, job-type dummies and a TF-IDF term array.
 
-    The TF-IDF column is an array of (term, weight) in term order: the sparse row of the matrix.
+    The TF-IDF column is an array of (term, weight) in term order: the sparse row of the matrix. What was fitted is stored in
+    ``model_path`` (by default a folder of its own), so that later postings can be transformed alike. Job types are those given; by
+    default the standard ones, and type_other for all others.
     """
     base = load_jobs(jobs, "id")
-    weights = features.tfidf_weights(base, max_features)
-    rows = weights.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("tfidf")
-    )
-    wide = features.jobtype_dummies(
-        features.salary_scaled(features.skill_onehot(base, dims)), job_types
-    )
-    empty = F.array().cast(rows.schema["tfidf"].dataType)
-    return wide.join(rows, "id", "left").withColumn("tfidf", F.coalesce("tfidf", empty))
+    model = features.FeatureModel(jobs.sparkSession, model_path or work_path(jobs.sparkSession, "feature-model"))
+    counts = model.fit(base, max_features)
+    known = sorted({*dims.job_types.values(), "unknown"}) if job_types is None else job_types
+    wide = features.jobtype_dummies(features.skill_onehot(base, dims), known, other=job_types is None)
+    return wide.join(model.transform(base, counts).drop("features"), "id")
 
 
 def retrain_if_drift(
@@ -108,7 +107,7 @@ def batch_build(
         return state["jobs"].count()
 
     def build() -> int:
-        return keep("features", feature_table(state["jobs"], dims=dims)).count()
+        return keep("features", feature_table(state["jobs"], dims=dims, model_path=f"{folder}/feature-model")).count()
 
     def train() -> int:
         run = train_and_log(state["jobs"], f"{folder}/runs", run_id, run_date, dims, f"{folder}/model")

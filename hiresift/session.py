@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,12 +50,51 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
-    The table survives lost executors, and its size is known to the joins that follow.
+    The table survives lost executors, and its size is known to the joins that follow. Within ``scope`` it is deleted at the end.
     """
     spark = df.sparkSession
     path = work_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if open_ := getattr(_scopes, "open", None):
+        open_[-1].append(path)
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes within the block are deleted at its end, but for those that the given function keeps.
+
+    What is returned from the block may read kept tables only: ``with scope(spark) as keep: ... return keep(cut(rows))``.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    made: list[str] = []
+    kept: list[str] = []
+    _scopes.open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.open.pop()
+        if _scopes.open:  # a kept table belongs to the block around this one
+            _scopes.open[-1] += kept
+        forget(spark, *(p for p in made if p not in kept))
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,8 +1,9 @@
 """Incremental ingest, model update and drift check.
 
 Each stream publishes the result of a batch as a new version, together with the batch's number under the id that the stream's
-checkpoint keeps. A batch that is replayed after a failure changes nothing. A stream with a new checkpoint goes on
-from what is stored: ingest compares with all stored keys, and training and drift add what they are given.
+checkpoint keeps. A batch that is replayed after a failure changes nothing. Ingest compares with all stored keys, so a stream with a
+new checkpoint goes on from what is stored. Training and drift only hold counts and cannot tell old rows from new ones: they refuse
+another stream unless they are told that its rows are new.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ def run(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, str, int]
     return name[0]
 
 
+def first_or_known(content: dict, stream: str, another: bool) -> None:
+    seen = content.get("seen", {})
+    if seen and stream not in seen and not another:
+        raise ValueError("batches of another checkpoint are stored; rows that it has seen would count again")
+
+
 def stream_ingest(
     payloads: DataFrame, table: PostingTable, checkpoint: str, dims: Dims = DEFAULT, loaded_at: Column | None = None
 ) -> None:
@@ -55,16 +62,20 @@ def stream_ingest(
     run(payloads, checkpoint, work)
 
 
-def stream_train(stream: DataFrame, model: str, checkpoint: str, text: Column, label: Column, classes: list[str] | None = None) -> None:
+def stream_train(
+    stream: DataFrame, model: str, checkpoint: str, text: Column, label: Column, classes: list[str] | None = None, another: bool = False
+) -> None:
     """Add each batch to the model: token counts, label counts, and the test-then-train accuracy, published together."""
 
     def work(batch: DataFrame, name: str, number: int) -> None:
-        nb.StoredModel(batch.sparkSession, model).update(batch, text, label, classes, (name, number))
+        stored = nb.StoredModel(batch.sparkSession, model)
+        first_or_known(stored.versions.last()[1], name, another)
+        stored.update(batch, text, label, classes, (name, number))
 
     run(stream, checkpoint, work)
 
 
-def stream_drift(stream: DataFrame, folder: str, checkpoint: str) -> None:
+def stream_drift(stream: DataFrame, folder: str, checkpoint: str, another: bool = False) -> None:
     """Compare all rows so far with the first batch, the reference, after each batch.
 
     The state is row counts for each combination of the compared values: a batch is counted alone and added, and no
@@ -76,6 +87,7 @@ def stream_drift(stream: DataFrame, folder: str, checkpoint: str) -> None:
         counted = drift.value_counts(batch).withColumn("batch", F.lit(f"{name}:{number}"))
 
         def add(content: dict) -> dict | None:
+            first_or_known(content, name, another)
             seen = content.get("seen", {})
             if seen.get(name, -1) >= number:
                 return None

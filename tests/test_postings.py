@@ -240,6 +240,6 @@ def test_drift_of_streams_reads_a_batch_once(spark):
     root = work_path(spark, "drift")
     for day, n in enumerate((10, 20, 5)):
         spark.range(n).select("id", F.lit("x").alias("title"), F.lit("onsite" if day < 2 else "remote").alias("job_type"), F.lit("s").alias("source")).coalesce(1).write.json(f"{root}/in{day}")
-        incremental.stream_drift(incremental.landed(spark, f"{root}/in{day}"), f"{root}/state", f"{root}/c{day}")
+        incremental.stream_drift(incremental.landed(spark, f"{root}/in{day}"), f"{root}/state", f"{root}/c{day}", another=True)
     reports = incremental.drift_reports(spark, f"{root}/state").orderBy("batch").collect()
     assert [(r.reference_count, r.current_count, r.distribution_drift) for r in reports] == [(10, 30, False), (10, 35, True)]
