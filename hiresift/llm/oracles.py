@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+from hiresift.llm import chat, host_rules, url_filter
+from hiresift.llm.rules import RULES
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
 def _whole(scale: int) -> str:
     """The finite vectors as lists of integers."""
@@ -48,7 +58,83 @@ SELECT a.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d)
 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j"""
 
 
+def _fits(pattern: str) -> str:
+    return f"regexp_matches(a, {_text(url_filter.regex_of(pattern).replace(chr(92) + 'Z', chr(92) + 'z'))})"
+
+
+def url_filter_sql() -> str:
+    """Every rule on every address."""
+    named = sorted((r for r in RULES if r.name is not None), key=lambda r: -len(r.name))
+    others = sorted((r for r in RULES if r.name is None), key=lambda r: r.pattern)
+    first = [" ".join(f"WHEN {_fits(r.pattern)} THEN {_text(getattr(r, of))}" for r in named) for of in ("name", "verdict", "pattern")]
+    by_verdict = [f"coalesce({', '.join(f'CASE WHEN {_fits(r.pattern)} THEN {_text(r.pattern)} END' for r in others if r.verdict == v) or 'NULL'}, NULL)"
+                  for v in ("allow", "block")]
+    return f"""WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS host FROM rest),
+addresses AS (SELECT page_id, coalesce(translate(host, '{UPPER}', '{LOWER}'), '') AS host,
+  coalesce(regexp_extract(substr(rest, length(host) + 1), '^([^?#]*)', 1), '') AS path FROM hosts),
+judged AS (SELECT page_id, host, path, host || path AS a, CASE {first[0].replace('(a,', '(host || path,')} END AS rule,
+  CASE {first[1].replace('(a,', '(host || path,')} END AS named_verdict, CASE {first[2].replace('(a,', '(host || path,')} END AS named_pattern FROM addresses)
+SELECT page_id, host, path, rule, coalesce(named_verdict, CASE WHEN {by_verdict[0]} IS NULL AND {by_verdict[1]} IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(named_pattern, {by_verdict[0]}, {by_verdict[1]}) AS pattern FROM judged"""
+
+
+# Every pair that shares a shingle, counted in full; then everything that links reach.
+JACCARD = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+links AS MATERIALIZED (SELECT u, v FROM pairs WHERE 100 * common >= 75 * (nu + nv - common)),
+edges AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, e.v FROM reach r JOIN edges e ON e.u = r.b),
+classes AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN classes ON a = doc_id"""
+
+_ESCAPED = r"regexp_replace({x}, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2\3', 'g')"
+_ROLE = "replace(replace(" + _ESCAPED.format(x="role") + r", '\', '\b'), chr(10), '\n')"
+CHAT = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    {len(chat.OPEN) + len(chat.CLOSE) + 2} + length({_ROLE}) + length({_ESCAPED.format(x='body')}) AS chars FROM turns),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id"""
+
+HOST_RULES = f"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts)
+  WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY doc_id),
+counts AS (
+  SELECT x.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[{host_rules.SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM texts x LEFT JOIN lines l ON l.doc_id = x.doc_id LEFT JOIN covered c ON c.doc_id = x.doc_id),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+ruled AS (SELECT *, base_failed OR 100 * n_symbols > 25 * word_chars AS rule_failed FROM failed),
+hosts AS (SELECT source AS host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE rule_failed) AS DOUBLE) AS x FROM ruled WHERE source IS NOT NULL GROUP BY source),
+moments AS (SELECT CASE WHEN sum(n) > 0 THEN sum(x) / sum(n) ELSE 0 END AS m, var_pop(x / n) AS v, avg(1 / n) AS i FROM hosts),
+prior AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN 1.0 WHEN v / (m * (1 - m)) - i <= 0 THEN 1000.0
+  ELSE least(1000.0, greatest(1.0, (1 - i) / (v / (m * (1 - m)) - i) - 1)) END AS k FROM moments)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce((x + m * k) / (n + k), 0) <= 0.6 AS kept, source, rule_failed, round((x + m * k) / (n + k), 6) AS host_rate
+FROM ruled CROSS JOIN prior LEFT JOIN hosts ON host = source"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter_sql(),
+    "op6_jaccard_join": JACCARD,
+    "op7_chat_format": CHAT,
+    "op10_host_rules": HOST_RULES,
     "op11_hard_negatives": HARD_NEGATIVES,
     "op12_clusters": clusters(),
 }

@@ -13,13 +13,7 @@ from hiresift.llm import (
 )
 from hiresift.llm.common import id_crc, ship
 from hiresift.llm.oracles import ORACLES
-
-Rule = url_filter.Rule
-RULES = (
-    Rule.host("allow", "org", "/"), Rule.host("block", "example.org", "/es/"),
-    Rule.host("block", "example.org", "/en/1"), Rule.host("allow", "com", "/fr/"), Rule.host("block", "com", "/de/"),
-) + url_filter.DEFAULT_PATTERNS
-
+from hiresift.llm.rules import RULES
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +28,7 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES).drop("n_tried")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +77,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(_table(spark, sf_dir, "documents"))
+    return host_rules.judge(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
