@@ -7,13 +7,17 @@ positions of the embedded string finds them: a table samples few positions, and
 independent walks make it likely that one agrees. Windows are sized by the item: an item of m words is filed
 under all its windows of w <= 2m/3 words (a power of two, LARGEST at most), and documents are read in windows of w words
 at every w/4th word, so an occurrence holds several windows of both kinds. A window holds few edits however long the item
-is, and longer items have more windows. What agrees is verified by the exact edit
-distance of the whole item to the best place around the window.
+is, and longer items have more windows. The walks of a window size are repeated until a seeded trial of the shortest items that use it, edited
+at the full rate in every way, reaches the target recall.
+
+What agrees is verified: as an edit takes away one word of the item at most, the place around the window must hold
+nearly all of its words, and then the exact edit distance of the whole item to the best part of that place decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -22,10 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import bind, id_and_text, mix64, text_batches
+from hiresift.llm.common import bind, id_and_text, mix64, ranges, text_batches
+from hiresift.session import cut, forget
 
-BLOCK_CHARS = 8_000_000
-WALKS = 2
+BLOCK_BYTES = 50_000_000
+BYTES_A_WINDOW = 8 + 4 + 4
+RECALL = 0.96
+TRIALS = 300
+MOST_WALKS = 8
 TABLES = 8
 LARGEST = 16
 _DROP = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
@@ -82,11 +90,56 @@ def stride(size: int) -> int:
     return max(1, size // 4)
 
 
+def edited(item: np.ndarray, edits: int, kind: str, draw: np.random.Generator) -> np.ndarray:
+    """The item with so many of its places deleted, replaced, or given a new word before them (mixed: each in turn)."""
+    places = set(draw.choice(len(item), edits, replace=False).tolist())
+    out, turn = [], 0
+    for i, word in enumerate(item.tolist()):
+        if i not in places:
+            out.append(word)
+            continue
+        how = ("deleted", "replaced", "inserted")[turn % 3] if kind == "mixed" else kind
+        turn += 1
+        if how != "deleted":
+            out.append(int(draw.integers(1 << 62)))
+        if how == "inserted":
+            out.append(word)
+    return np.array(out, np.uint64)
+
+
+def found_by_walk(m: int, size: int, seed: int, edits: int, kind: str, trial: int) -> bool:
+    """Whether a window of an edited item of m words, within other words, agrees with one of the item in a table of this walk."""
+    draw = np.random.default_rng([m, trial, len(kind)])
+    item = draw.integers(1 << 62, size=m).astype(np.uint64)
+    around = draw.integers(1 << 62, size=2 * size + int(draw.integers(size))).astype(np.uint64)
+    text = np.concatenate([around[:len(around) // 2], edited(item, edits, kind, draw), around[len(around) // 2:]])
+    walk = Walk(size, seed)
+    mine = walk.keys(item, np.arange(m - size + 1))
+    theirs = walk.keys(text, np.append(np.arange(0, len(text) - size, stride(size)), len(text) - size))
+    return any(np.isin(a, b).any() for a, b in zip(theirs, mine))
+
+
+@lru_cache
+def walks_needed(size: int, rate: float, recall: float = RECALL) -> int:
+    """How many walks the shortest items of this window size need to be found with the target recall, whatever the kind of edits."""
+    m = next(n for n in range(1, 4 * LARGEST) if window_size(n) == size)
+    worst = 1
+    for kind in ("deleted", "replaced", "inserted", "mixed"):
+        lost = [t for t in range(TRIALS) if int(rate * m)]
+        for walk in range(MOST_WALKS):
+            lost = [t for t in lost if not found_by_walk(m, size, walk, int(rate * m), kind, t)]
+            if len(lost) <= (1 - recall) * TRIALS:
+                break
+        worst = max(worst, walk + 1)
+    return worst
+
+
 class Index:
     """The items' windows by table; one for every window size that the items need."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], rate: float):
+    def __init__(self, items: list[tuple[int, list[bytes]]], rate: float, recall: float = RECALL):
         self.items, self.rate = items, rate
+        self.held = [frozenset(words) for _, words in items]
         known: dict[bytes, int] = {}
         by_size: dict[int, list[int]] = {}
         for at, (_, words) in enumerate(items):
@@ -99,18 +152,17 @@ class Index:
             base = np.cumsum([0, *(len(items[a][1]) for a in ats)])
             starts = np.concatenate([b + np.arange(len(items[a][1]) - size + 1) for a, b in zip(ats, base)])
             symbols = symbols_of([w for a in ats for w in items[a][1]], known)
-            tables = []
-            for seed in range(WALKS):
-                walk = Walk(size, seed)
+            tables, walks = [], [Walk(size, seed) for seed in range(walks_needed(size, rate, recall))]
+            for seed, walk in enumerate(walks):
                 for t, keys in enumerate(walk.keys(symbols, starts)):
                     order = np.argsort(keys, kind="stable")
                     screen = np.zeros(1 << 16, bool)
                     screen[(keys >> np.uint64(48)).astype(int)] = True
-                    tables.append((seed, t, keys[order], owner[order], offset[order], screen))
-            self.parts.append((size, [Walk(size, s) for s in range(WALKS)], tables))
+                    tables.append((seed, t, keys[order], owner[order].astype(np.int32), offset[order].astype(np.int32), screen))
+            self.parts.append((size, walks, tables))
 
     def candidates(self, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, item, word at which the item would begin) for documents whose words lie between bounds."""
+        """(document, item, word at which the item would begin), each once, for documents whose words lie between bounds."""
         for size, walks, tables in self.parts:
             step = stride(size)
             count = np.maximum(0, (np.diff(bounds) - size) // step + 1) * (np.diff(bounds) >= size)
@@ -122,17 +174,17 @@ class Index:
             if not len(doc):
                 continue
             keys = [w.keys(symbols, starts) for w in walks]
-            seen = set()
+            hits = []
             for seed, t, sorted_, owner, offset, screen in tables:
                 mine = keys[seed][t]
                 at = np.flatnonzero(screen[(mine >> np.uint64(48)).astype(np.int64)])
                 first, last = (np.searchsorted(sorted_, mine[at], side) for side in ("left", "right"))
-                for i, a, z in zip(at[last > first], first[last > first], last[last > first]):
-                    for k in range(a, z):
-                        hit = (int(doc[i]), int(owner[k]), int(starts[i] - bounds[doc[i]] - offset[k]))
-                        if hit not in seen:
-                            seen.add(hit)
-                            yield hit
+                at, first, many = at[last > first], first[last > first], (last - first)[last > first]
+                place = ranges(first, many)
+                window = np.repeat(at, many)
+                hits.append(np.stack([doc[window], owner[place], starts[window] - bounds[doc[window]] - offset[place]], axis=1))
+            for hit in np.unique(np.concatenate(hits), axis=0).tolist():
+                yield tuple(hit)
 
 
 def edit_distance_in(item: list[bytes], text: list[bytes]) -> int:
@@ -166,14 +218,15 @@ def _found(index: Index, texts: list[str]) -> list[dict[int, int]]:
     symbols = symbols_of([w for ws in words for w in ws], known)
     bounds = np.cumsum([0, *map(len, words)])
     out: list[dict[int, int]] = [{} for _ in texts]
-    tried = set()
     for doc, at, start in index.candidates(symbols, bounds):
-        item_id, item = index.items[at]
+        item = index.items[at][1]
         most = int(index.rate * len(item))
-        if out[doc].get(at) == 0 or (doc, at, start) in tried:
+        if out[doc].get(at) == 0:
+            continue
+        place = words[doc][max(0, start - most - 1):max(0, start + len(item) + 2 * most + 1)]
+        if sum(map(index.held[at].__contains__, place)) < len(item) - most:
             continue
-        tried.add((doc, at, start))
-        distance = edit_distance_in(item, words[doc][max(0, start - most - 1):max(0, start + len(item) + 2 * most + 1)])
+        distance = edit_distance_in(item, place)
         if distance <= most:
             out[doc][at] = min(distance, out[doc].get(at, distance))
     return out
@@ -193,16 +246,20 @@ def _scan(batches, index: Index):
             [columns.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], batch.schema.names)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items in blocks of at most BLOCK_CHARS characters (or one item), each with another word sequence."""
+def _blocks(benchmark: DataFrame, rate: float) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items in blocks whose index takes at most about BLOCK_BYTES (or one item), each with another word sequence."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     block, size = [], 0
     for r in rows.filter("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_CHARS:
+        words = words_of(r["text"])
+        if not words:
+            continue
+        need = 60 * len(words) + len(words) * BYTES_A_WINDOW * TABLES * walks_needed(window_size(len(words)), rate)
+        if block and size + need > BLOCK_BYTES:
             yield block
             block, size = [], 0
-        block.append((r["item_id"], words_of(r["text"])))
-        size += len(r["text"])
+        block.append((r["item_id"], words))
+        size += need
     if block:
         yield block
 
@@ -214,10 +271,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, carr
     An item counts as found where its whole word sequence is within rate * its words edits of a part of the text.
     Null and empty texts and items match nothing; an item without an id is reported as null; of items with equal words
     each is reported. Repeated rows and null ids come out as they went in; without carry only doc_id and text are
-    read. The items travel with the tasks in blocks of bounded size, which all documents pass in turn, without a shuffle.
+    read. The items travel with the tasks in blocks of bounded size, which all documents pass in turn, without a shuffle; between
+    blocks the rows are written, so the driver holds one block at a time.
     """
     empty = F.array().cast("array<bigint>")
     rows = id_and_text(docs, carry).withColumn("items", empty).withColumn("distances", empty)
-    for block in _blocks(benchmark):
-        rows = rows.mapInArrow(bind(_scan, index=Index(block, rate)), rows.schema)
+    held = None
+    for block in _blocks(benchmark, rate):
+        if held is not None:  # a further block: the rows with what was found so far are written first
+            rows = cut(rows)
+            if isinstance(held, str):
+                forget(docs.sparkSession, held)
+            held = rows.cut_path
+        rows, held = rows.mapInArrow(bind(_scan, index=Index(block, rate)), rows.schema), held or ()
     return rows.drop("text").withColumn("contaminated", F.size("items") > 0)
