@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +57,16 @@ def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS, rows: int = 1
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS, rows: int = 1 << 20):
     """(slice of the batch, its texts) for every slice of every batch."""
     for batch in batches:
-        for start, texts in slices((v.as_py() for v in batch.column(column)), chars, rows):
+        # a carried row holds the text already
+        values = batch.column(column) if column in batch.schema.names else pc.struct_field(batch.column("row"), column)
+        for start, texts in slices((v.as_py() for v in values), chars, rows):
             yield batch.slice(start, len(texts)), texts
 
 
 def id_and_text(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id and text in their types; with carry also the whole row as a struct, whose names clash with nothing."""
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    """doc_id and text in their types; with carry doc_id and the whole row as a struct, whose names clash with nothing."""
+    text = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col("text").cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
 
 
 def schema_with(df: DataFrame, names: list[str], more: str) -> T.StructType:
@@ -110,11 +113,14 @@ def bounded_sample(df: DataFrame, label: str, per_class: int, classes: int, *key
     """
     top = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes)
     counts = {r[label]: r["count"] for r in top.collect()}
+    if not counts:
+        return df.limit(0), counts
     hash_ = F.xxhash64(*key)
     share = F.pmod(hash_, F.lit(1 << 30)) / (1 << 30)
-    chosen = F.lit(False)
-    for name, n in counts.items():
-        chosen = chosen | ((F.col(label) == F.lit(name)) & (share < min(1.0, 2.0 * per_class / n + 50.0 / n)))
-    ranked = df.filter(chosen).withColumn(
+    # one row for each of at most ``classes`` classes
+    borders = df.sparkSession.createDataFrame(
+        [(name, min(1.0, 2.0 * per_class / n + 50.0 / n)) for name, n in counts.items()], f"_class {df.schema[label].dataType.simpleString()}, _share double")
+    chosen = df.join(F.broadcast(borders), F.col(label) == F.col("_class")).filter(share < F.col("_share")).drop("_class", "_share")
+    ranked = chosen.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(label).orderBy(hash_, *key)))
     return ranked.filter(F.col("_rank") <= per_class).drop("_rank"), counts
