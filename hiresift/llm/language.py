@@ -58,6 +58,11 @@ def presence(texts: list[str], order: int = 3) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; signs such as a superscript two or a half are none."""
+    return any(map(str.isalpha, LETTER.findall(text, 0, 200))) or any(m.group().isalpha() for m in LETTER.finditer(text, 200))
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -70,8 +75,9 @@ class Model:
         scores = (x @ self.weights) / norm[:, None]
         best = scores.argmax(1)
         value = np.clip(scores[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-        names = [self.labels[b] if LETTER.search(t) else UNKNOWN for b, t in zip(best, texts)]
-        value[[n == UNKNOWN for n in names]] = 0
+        spoken = [has_letter(t) for t in texts]
+        names = [self.labels[b] if s else UNKNOWN for b, s in zip(best, spoken)]
+        value[[not s for s in spoken]] = 0
         return names, value
 
 
@@ -103,17 +109,17 @@ def _features(batches, order: int):
             [batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "bits"])
 
 
-def train(labelled: DataFrame, sample_docs: int = 2000, max_labels: int = 200, landmarks: int = 256,
+def train(labelled: DataFrame, sample_docs: int = 2000, landmarks: int = 256,
           ridge: float = 1e-4, order: int = 3) -> Model | None:
-    """Fit on a bounded sample: sample_docs texts in equal parts for each of the max_labels most frequent labels.
+    """Fit on a bounded sample: sample_docs texts in equal parts for each label, at least one (so sample_docs bounds the labels too).
 
     labelled: text and lang, rows without either are left out. Texts become bit rows of 4 KB on the executors
     before they reach the driver. None if nothing is labelled.
     """
     usable = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    labels = max(1, usable.groupBy("lang").count().limit(max_labels).count())
-    sample, _ = bounded_sample(usable, "lang", max(1, sample_docs // labels), max_labels, "text")
+    labels = max(1, usable.groupBy("lang").count().limit(sample_docs).count())
+    sample, _ = bounded_sample(usable, "lang", max(1, sample_docs // labels), sample_docs, "text")
     rows = sample.mapInArrow(bind(_features, order=order), "lang string, bits binary").collect()
     if not rows:
         return None

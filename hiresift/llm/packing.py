@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hiresift.llm.common import bind, slices
 from hiresift.llm.tokens import default_path, encoder
+from hiresift.session import cut
 
 # About so many characters are packed together, which bounds a task's memory.
 GROUP_CHARS = 32_000_000
@@ -152,14 +153,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
     keyed = chosen.withColumn("_h", F.xxhash64("doc_id", "text"))
-    # At most one number for each group_docs rows.
-    often = [r["_h"] for r in keyed.groupBy("_h").count().filter(F.col("count") > group_docs).select("_h").toLocalIterator()]
-    if often:
-        table = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in often], "_often long"))
-        apart = F.when(F.col("_often").isNotNull(), F.xxhash64("_h", F.spark_partition_id())).otherwise(F.col("_h"))
-        keyed = keyed.join(table, F.col("_h") == F.col("_often"), "left").withColumn("_at", apart).drop("_often")
-    else:
-        keyed = keyed.withColumn("_at", F.col("_h"))
+    # A written table, so that Spark knows its size when it chooses the join.
+    often = cut(keyed.groupBy("_h").count().filter(F.col("count") > group_docs).select(F.col("_h").alias("_often")))
+    apart = F.when(F.col("_often").isNotNull(), F.xxhash64("_h", F.spark_partition_id())).otherwise(F.col("_h"))
+    keyed = keyed.join(often, F.col("_h") == F.col("_often"), "left").withColumn("_at", apart).drop("_often")
     dealt = keyed.withColumn("_g", F.pmod("_at", F.lit(groups))).drop("_at").repartition("_g")
     # The order of rows in a group must not depend on the shuffle.
     run = bind(_pack_groups, most_docs=2 * group_docs, path=tokenizer or default_path(), room=room, end_id=end_id, min_cut=min_cut)

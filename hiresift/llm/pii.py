@@ -194,6 +194,7 @@ def characters(m: Mapped) -> None:
 _BETWEEN = re.compile(f"(?<=[0-9)])[{DASHES}{BLANKS}](?=[(0-9])")
 _ENTITY = re.compile(r"&(?:#0*64|#[xX]0*40|commat);|%40|&(?:#0*46|#[xX]0*2[eE]|period);")
 _LIKE_NUMBER = re.compile(r"(?<![A-Za-z0-9|])[0-9]*[OolI|][0-9OolI|]+(?![A-Za-z0-9|])")
+_MIXED = re.compile(r"[0-9][OolI|]|[OolI|][0-9]")
 _AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1"}
 
 
@@ -204,6 +205,8 @@ def entities(m: Mapped) -> None:
 
 
 def numbers(m: Mapped) -> None:
+    if not _MIXED.search(m.text):
+        return
     pieces = []
     for x in _LIKE_NUMBER.finditer(m.text):
         letters = [(x.start() + i, x.start() + i + 1, _AS_DIGIT[c]) for i, c in enumerate(x.group()) if c in _AS_DIGIT]
@@ -228,10 +231,19 @@ _SPELLED_DOT = r"(?: ?[\[({<] ?(?:\.|dot|punkt|point|punto) ?[\])}>] ?| (?:dot|p
 _CHAIN = re.compile(rf"(?<![A-Za-z0-9.]){_PART}(?:(?:\.|{_SPELLED_DOT}){_PART}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
 _DOT = re.compile(_SPELLED_DOT, re.IGNORECASE)
 _TOKEN = re.compile(rf"(?:(double|triple) )?\b({_WORD})\b", re.IGNORECASE)
-_HAS_WORD = re.compile(rf"\b{_WORD}[ ,-]", re.IGNORECASE)
+_DOT_WORDS = frozenset(["dot", "punkt", "point", "punto"])
+_BRACKETED = re.compile(r"[\[({<] ?(?:\.|dot|punkt|point|punto|at|ät|arroba|arobase|@) ?[\])}>]", re.IGNORECASE)
+_SAYS_PLUS = frozenset(["plus", "más", "mas"])
 _PLUS = re.compile(r"\b(?:plus|más|mas) ?(?=[0-9])", re.IGNORECASE)
 
 
+_IN_RUN = frozenset([*_VALUE, "double", "triple"])
+
+
+def _bare(word: str) -> str:
+    return word if word[-1].isalpha() and word[0].isalpha() else word.strip("()[]{}<>.:;!?\"'+0123456789")
+
+
 def _digits_in(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Each spelled digit, together with the blanks before it in its run."""
     out, last = [], None
@@ -243,7 +255,9 @@ def _digits_in(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(m: Mapped) -> None:
-    if re.search(r"[\])}>]|\b(?:dot|punkt|point|punto)\b", m.text, re.IGNORECASE):
+    # plain looks at the words first: most texts hold nothing that the patterns could find
+    words = m.text.lower().replace(",", " ").replace("-", " ").split()
+    if sum(map(_DOT_WORDS.__contains__, words)) > 1 or _BRACKETED.search(m.text):
         pieces = []
         for chain in _CHAIN.finditer(m.text):
             at, dots = chain.start(), list(_DOT.finditer(m.text, *chain.span()))
@@ -257,9 +271,11 @@ def spelled_digits(m: Mapped) -> None:
                     pieces.append((*dot.span(), "."))
                     at = dot.end()
         m.rewrite(pieces)
-    if _HAS_WORD.search(m.text):
+    digits = bytes(map(_IN_RUN.__contains__, map(_bare, words)))
+    if b"\1\1" in digits:
         m.rewrite([p for run in _RUN.finditer(m.text) for p in _digits_in(m.text, *run.span())])
-    m.rewrite([(*x.span(), "+") for x in _PLUS.finditer(m.text)])
+    if not _SAYS_PLUS.isdisjoint(words):
+        m.rewrite([(*x.span(), "+") for x in _PLUS.finditer(m.text)])
 
 
 # Top-level domains that end an address in words; those that are common words are left out.
@@ -272,7 +288,7 @@ _NAME = r"[A-Za-z0-9_%+-]+"
 _HOST = r"[A-Za-z0-9-]+"
 _PLAIN_DOT = r"(?:\.| \. )"
 _IN_WORDS = [(re.compile(rf"(?<![A-Za-z0-9._%+-])(?<! {dot} ){_NAME}(?:(?:\.| {dot} ){_NAME})* (?:{at}) {_ARTICLE}{_HOST}(?:(?:\.| {dot} ){_HOST})* {dot} {_TOP}\b", re.IGNORECASE),
-              re.compile(rf" ({at}|{dot}) ", re.IGNORECASE), at) for at, dot in SAID]
+              re.compile(rf" ({at}|{dot}) ", re.IGNORECASE), at, dot) for at, dot in SAID]
 _BRACKET_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])[ _]?[\[({<] ?(?:at|ät|arroba|arobase|@) ?[\])}>][ _]?(?=[A-Za-z0-9])", re.IGNORECASE)
 _WIDE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]) ?@ ?(?={_HOST}(?:{_PLAIN_DOT}{_HOST})*?{_PLAIN_DOT}{_TOP}\b)", re.IGNORECASE)
 _AFTER_AT = re.compile(rf"(?<=@){_HOST}(?:(?:{_PLAIN_DOT}|{_SPELLED_DOT}){_HOST})+", re.IGNORECASE)
@@ -284,13 +300,13 @@ _KNOWN_END = re.compile(rf"(?:{_PLAIN_DOT}|{_SPELLED_DOT}){_TOP}\b", re.IGNORECA
 
 def at_and_dot(m: Mapped) -> None:
     low = m.text.lower()
-    for pattern, word, at in _IN_WORDS:
-        if any(f" {a} " in low for a in at.split("|")):
+    for pattern, word, at, dot in _IN_WORDS:
+        if f" {dot} " in low and any(f" {a} " in low for a in at.split("|")):
             pieces = []
             for x in pattern.finditer(m.text):
                 pieces += [(*w.span(), "@" if w.group(1).lower() in at.split("|") else ".") for w in word.finditer(m.text, *x.span())]
             m.rewrite(pieces)
-    if any(c in m.text for c in "[({<"):
+    if _BRACKETED.search(m.text):
         m.rewrite([(*x.span(), "@") for x in _BRACKET_AT.finditer(m.text)])
     if "@" not in m.text:
         return

@@ -3,7 +3,7 @@
 A Bradley-Terry model: the chance that one document is preferred to another is the logistic function
 of the difference of their scores, and a score is linear in features of the text. It is fitted by
 Newton steps on the feature differences of (good, bad) pairs. The border between accepted and
-rejected documents is a quantile of the labelled documents' scores: the share of rejected ones.
+rejected documents is a quantile of all labelled documents' scores: the share of rejected ones.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.llm.common import bind, bounded_sample, id_and_text, schema_with, text_batches
+from hiresift.session import cut
 
 CUT = 0.3
 _GROUPS = [b"!", b"#$%&*", b"|", b"<>=@^~\\/", b".,;:?", b"'\"()[]{}-_", b"0123456789", b"\n",
@@ -54,9 +55,12 @@ class Model:
     weights: np.ndarray
     border: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; CUT is the border between rejected and accepted texts."""
-        raw = (x - self.mean) / self.scale @ self.weights - self.border
+        raw = self.raw(x) - self.border
         return 1 / (1 + np.exp(-np.clip(raw + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
@@ -78,7 +82,7 @@ def fit(x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int, ridge: fl
             if np.abs(step).max() < 1e-6:
                 break
     model = Model(mean, scale, weights, 0.0)
-    raw = (x - mean) / scale @ weights
+    raw = model.raw(x)
     weight = np.where(good, (1 - share_bad) / max(1, good.sum()), share_bad / max(1, (~good).sum()))
     order = np.argsort(raw, kind="stable")
     at = int(np.searchsorted(np.cumsum(weight[order]), share_bad + 1e-9))
@@ -87,14 +91,14 @@ def fit(x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int, ridge: fl
     return model
 
 
-def _rows(batches, model: Model | None):
-    """With a model the scores, else the features."""
+def _rows(batches, model: Model | None, raw: bool = False):
+    """With a model the scores (raw: before the border is taken off), else the features."""
     for batch, texts in text_batches(batches):
         x = np.array([features(t) for t in texts])
         if model is None:
             last = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))
         else:
-            last = pa.array(model.score(x))
+            last = pa.array(model.raw(x) if raw else model.score(x))
         kept = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), last], [*kept, "out"])
 
@@ -120,7 +124,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 12000, pairs: i
     good = np.array([r["good"] == 1 for r in rows], bool)
     if not len(rows) or good.all() or not good.any():
         return None
-    return fit(np.array([r["out"] for r in rows]), good, counts[0] / sum(counts.values()), pairs)
+    share = counts[0] / sum(counts.values())
+    model = fit(np.array([r["out"] for r in rows]), good, share, pairs)
+    model.border = border_of_all(chosen, marks, model, share)
+    return model
+
+
+def border_of_all(docs: DataFrame, marks: DataFrame, model: Model, share_bad: float, bins: int = 1 << 16) -> float:
+    """The score below which share_bad of all labelled documents lie, from counts in at most ``bins`` bins of equal width.
+
+    Texts do not move: every document is scored where it is, and ids and scores meet the labels.
+    """
+    raw = docs.filter("doc_id IS NOT NULL").mapInArrow(bind(_rows, model=model, raw=True), "doc_id long, out double")
+    scored = cut(raw.join(marks.select("doc_id"), "doc_id", "left_semi").select("out"))
+    n, low, high = scored.agg(F.count("*"), F.min("out"), F.max("out")).first()
+    width = (high - low) / bins if n and high > low else 0.0
+    if not width:
+        return model.border
+    at = F.least(F.floor((F.col("out") - low) / width), F.lit(bins - 1)).cast("int")
+    below, last = 0, low
+    for b, count in sorted(tuple(r) for r in scored.groupBy(at.alias("b")).count().collect()):
+        if below + count > share_bad * n:
+            return float((last + low + b * width) / 2)
+        below, last = below + count, low + (b + 1) * width
+    return float(high)
 
 
 def score(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:

@@ -180,6 +180,10 @@ def _read(batches):
                 ], ["doc_id", "start", "n_tokens", "ids"])
 
 
+# Readers of the folder pass over names that begin with an underscore.
+MANIFEST = "_manifest"
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2,
                  segment: int = 1 << 22, block: int = 1 << 18, lanes: int = 1024) -> str:
     """Write the token files of all documents (null text: empty) and return their folder.
@@ -195,16 +199,27 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     run = bind(_write, path=tokenizer or default_path(), end_id=end_id, segment=segment, block=block, lanes=lanes)
     ordered = chosen.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    _held(docs.sparkSession.read.schema(SCHEMA).parquet(path)).coalesce(1).write.json(f"{path}/{MANIFEST}")
     return path
 
 
+def _held(files: DataFrame) -> DataFrame:
+    """What token files hold: parts, segments, tokens."""
+    return files.agg(F.count_distinct("part").alias("parts"), F.count("*").alias("segments"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the token files: doc_id, start (ids of all documents before it), n_tokens, ids.
 
     A part's first position is the sum of the parts before it: one number for each task that wrote
-    (bounded by the partitions of the write, whatever the rows), so it is broadcast.
+    (bounded by the partitions of the write, whatever the rows), so it is broadcast. The files are first compared with the
+    folder's manifest: a folder that has lost a file is an error.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
+    held = _held(files)
+    there, wanted = held.first(), spark.read.schema(held.schema).json(f"{path}/{MANIFEST}").first()
+    if there != wanted:
+        raise ValueError(f"token files in {path} are not whole: {there} instead of {wanted}")
     bases = files.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
         "part", F.expr("sum(_n) OVER (ORDER BY part) - _n").alias("base"))
     return files.join(F.broadcast(bases), "part").mapInArrow(_read, ROWS)

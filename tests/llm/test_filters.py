@@ -132,25 +132,3 @@ def test_chat_query(spark):
     said = "</s>[INST] ok [/INST]"
     assert rows[-7].n_turns == 2 and rows[-7].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert rows[-7].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
-
-
-@pytest.fixture(scope="module")
-def model(spark):
-    return licenses.train(spark)
-
-
-def test_licences(docs, model):
-    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
-             "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
-    text = "\n".join(f"Some words of prose stand here.\n{line}" for line in lines)
-    rows = licenses.scan(docs([(1, text), (1, text), (2, None), (3, ""), (None, "The licence plate of my car is dirty.")]), model).collect()
-    assert Counter((r.line, r.family) for r in rows if r.confirmed) == {k: 2 for k in lines.items()}
-    assert all(r.doc_id == 1 and r.paragraph % 2 == 1 for r in rows if r.confirmed)
-    assert licenses.scan(docs([]), model).count() == 0
-
-
-def test_lines_without_anchor_words_are_unknown(model):
-    anchors = set(licenses.anchor_words(model))
-    others = np.array([not anchors & set(g.split(" ")) for g in model.grams])
-    gain = np.maximum(model.matrix[1:] - model.matrix[0], 0)[:, others].sum(1)
-    assert (gain < model.intercepts[0] - np.array(model.intercepts[1:])).all()

@@ -61,3 +61,12 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(x for x in kept if x[0] is not None and x[1]) == sorted([(3, base), (5, third), (6, own)])
     assert sum(t is not None and t.startswith(other) for _, t in kept) == 1
     assert kept.count((None, None)) == 2 and kept.count((9, "")) == 2 and len(kept) == 8
+
+
+def test_columns_of_any_name_and_type_survive_the_duplicates(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, {"a": 1}, 2, None), (1, text, {"a": 1}, 2, None), (2, text, {"a": 1}, 2, "y"), (3, "other words here", None, None, "z"), (4, None, {}, 1, None)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, `_text_hash` map<string,int>, `_row hash` int, `__at` string"))
+    kept = corpus_pipeline.duplicate_stage(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
