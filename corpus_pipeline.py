@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hiresift.llm import decontam, jaccard, language, quality
 from hiresift.llm.queries import packed_pieces, quality_model, shipped
-from hiresift.session import cut
+from hiresift.session import cut, forget, scope
 
 SURE = 0.2
 
@@ -34,17 +34,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @shipped
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one of smallest id, text hash and row hash.
-
-    A row without an id does not count as a copy of one with an id; of a group's rows without one, one stays as well.
-    Equal rows of all columns are one.
-    """
-    gone, equal = jaccard.repeats(docs)
-    keys = ["doc_id", *jaccard.KEYS]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(n) for n, k in zip(jaccard.KEYS, jaccard.row_keys(docs))])
-    gone, equal = (x.select(*[F.col(c).alias(f"_{c}") for c in keys]) for x in (gone, equal))
-    one = rows.join(equal, jaccard.same_row()).dropDuplicates(keys).select(*rows.columns)
-    return rows.join(gone, jaccard.same_row(), "left_anti").union(one).drop(*jaccard.KEYS)
+    """One row of each group of near duplicates (``jaccard.without_repeats``)."""
+    return jaccard.without_repeats(docs)
 
 
 @shipped
@@ -70,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        # the tables that a stage wrote for itself, and its input, go when its result is written
+        with scope(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
+        if before:
+            forget(spark, before)
+        before = docs.cut_path
     return STAGES[-1][1](spark, docs, sf_dir)
