@@ -31,7 +31,7 @@ from hiresift.session import cut, forget
 
 BLOCK_BYTES = 50_000_000
 BYTES_A_WINDOW = 8 + 4 + 4
-RECALL = 0.96
+RECALL = 0.95
 TRIALS = 300
 MOST_WALKS = 8
 TABLES = 8
