@@ -10,7 +10,8 @@ NAMES = [
     "flatten_feed_a", "flatten_feed_c", "feed_rejects", "ingest_append", "preprocess_jobs", "filter_location_country", "browse_jobs",
     "clean_text", "dedup_key", "extract_skills", "split_required_nice", "resume_record", "text_claim_flags",
     "match_top_jobs", "match_report", "nice_split_rate", "sidebar_stats", "low_card_profile", "location_coverage",
-    "data_health", "dedup_keep_best", "drift_report", "tfidf_weights", "feature_table", "stream_nb_update",
+    "data_health", "dedup_keep_best", "drift_report", "tfidf_weights", "feature_table", "stream_nb_update", "stream_ingest",
+    "dedup_cleanup_apply", "feature_transform", "class_report", "run_history", "encoding_check", "stream_drift",
 ]
 
 
