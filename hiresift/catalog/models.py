@@ -431,7 +431,7 @@ def batch_build(spark, sf_dir):
     jobs = as_jobs(spark, sf_dir)
     old = F.col("created_at") < SPLIT_DAY
     return build.batch_build(
-        jobs.where(old), jobs.where(~old), work_path(spark, "build"), "run-1", "2026-02-28"
+        jobs.where(old), jobs.where(~old), work_path(spark, "build"), "run-1", "2026-02-28", buckets=16
     )
 
 

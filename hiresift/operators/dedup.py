@@ -1,4 +1,4 @@
-"""Duplicate removal: keep the first of two keys, keep the best of one key, append new rows."""
+"""Duplicate removal: keep the first of two keys, keep the best of one key."""
 
 from __future__ import annotations
 
@@ -64,15 +64,6 @@ def first_of_two_keys(keyed: DataFrame, order: str) -> DataFrame:
     return (open_rows if kept is None else kept).select(F.col("seq").alias(order))
 
 
-def append_new(stored: DataFrame, incoming: DataFrame, order: str = "id") -> DataFrame:
-    """Incoming rows to append: unknown job_id, unknown duplicate key, first of their kind."""
-    known = with_key(stored.select("company", "title", "location")).select("dkey").where(F.col("dkey").isNotNull())
-    fresh = with_key(incoming.join(stored.select("job_id"), "job_id", "left_anti"))
-    # a null key never equals anything, so those rows pass the second anti join
-    fresh = fresh.join(known.distinct(), "dkey", "left_anti")
-    return incoming.join(first_of_two_keys(fresh, order), order, "left_semi").select(*incoming.columns)
-
-
 def keep_best(jobs: DataFrame) -> DataFrame:
     """Per duplicate key the row with the longest description, on a tie the smallest id.
 

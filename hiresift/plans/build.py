@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from hiresift.dims import DEFAULT, Dims
 from hiresift.functions.text import assign_category, model_text
 from hiresift.operators import features, nb
-from hiresift.operators.dedup import append_new
+from hiresift.operators.keyindex import BUCKETS
 from hiresift.operators.drift import run_drift_check
 from hiresift.plans.preprocess import preprocess_jobs
 from hiresift.session import work_path
 from hiresift.sources.tables import load_jobs, write_report, write_table
 from hiresift.sources.versions import Versions
+from hiresift.streaming.postings import PostingTable
 
 
 def training_text():
@@ -64,6 +65,8 @@ def train_and_log(
 
 def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The latest complete version of a table of the batch build: "jobs", "clean" or "features"."""
+    if name == "jobs":
+        return PostingTable(spark, f"{folder}/postings").rows()
     path = Versions(spark, folder).last()[1].get(name)
     if path is None:
         raise ValueError(f"no version of {name} in {folder}")
@@ -71,13 +74,15 @@ def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def batch_build(
-    stored: DataFrame, incoming: DataFrame, folder: str, run_id: str, run_date: str, dims: Dims = DEFAULT
+    stored: DataFrame, incoming: DataFrame, folder: str, run_id: str, run_date: str, dims: Dims = DEFAULT, buckets: int = BUCKETS
 ) -> DataFrame:
     """Ingest, clean, features, training, drift check: one row per step with its outcome.
 
+    The first day loads ``stored`` into the folder's postings table; later days go on from that table, whose index they compare
+    ``incoming`` with (and ``stored`` is not read). A day that is run again under its run_id takes in nothing twice.
+
     A step that fails is reported with its message and the next one goes on with the last good table. Every
-    table is written as a new version, and no input is overwritten: ``stored`` may well be the version that
-    ``current(spark, folder, "jobs")`` names. A version is named only after it is complete; ``Versions.drop_unnamed``
+    table is written as a new version, and no input is overwritten. A version is named only after it is complete; ``Versions.drop_unnamed``
     deletes what older versions and failed attempts left.
     """
     spark = stored.sparkSession
@@ -98,8 +103,11 @@ def batch_build(
         return spark.read.parquet(path)
 
     def ingest() -> int:
-        grown = stored.unionByName(append_new(stored, incoming))
-        state["jobs"] = keep("jobs", grown)
+        table = PostingTable(spark, f"{folder}/postings", buckets)
+        if table.versions.last()[0] < 0:
+            table.load(stored)
+        table.append(incoming, ["id"], run_id, 0, ids="id")
+        state["jobs"] = table.rows()
         return state["jobs"].count()
 
     def clean() -> int:

@@ -83,9 +83,10 @@ class PostingTable:
         """Take in what is new of a batch: unknown job_id and unknown duplicate key, first of their kind in ``order``.
 
         The columns of ``order`` are unique. New postings are numbered on from the last one, or carry their own number in
-        the column ``ids``. A batch number of a stream that was taken in before changes nothing. Returns the version.
+        the column ``ids``, which is then the order; they keep their created_at, or get ``loaded_at`` (by default the time of the load). A batch number of a stream that was taken in before changes nothing. Returns the version.
         """
-        loaded_at = F.current_timestamp() if loaded_at is None else loaded_at
+        if loaded_at is None:
+            loaded_at = F.col("created_at") if "created_at" in batch.columns else F.current_timestamp()
         made: list[DataFrame] = []
 
         def work(content: dict) -> dict | None:
@@ -94,15 +95,17 @@ class PostingTable:
                 return None
             if not made:  # once, also where another writer is faster
                 made.append(cut(with_key(batch.withColumn("_at", F.struct(*order)))))
-                made.append(cut(numbered(made[0].select("_at", "job_id", "dkey"), "_seq", 1, "_at")))
+                arrived = made[0].select("_at", "job_id", "dkey")
+                # numbers that the rows carry need no counting
+                made.append(arrived.withColumn("_seq", F.col(f"_at.{ids}")) if ids else cut(numbered(arrived, "_seq", 1, "_at")))
             rows, keys = made
             fresh = keys
-            for kind in KINDS:
+            for kind in KINDS if content.get("rows") else ():
                 fresh = keyindex.unknown(fresh, kind, self.index(kind, content), content["buckets"])
             first = keys.join(first_of_two_keys(fresh, "_seq"), "_seq", "left_semi").select("_seq", "_at")
             chosen = first.withColumn("id", F.col(f"_at.{ids}")) if ids else numbered(first, "id", content["next"], "_seq")
-            new = rows.select("_at", "dkey", *[f.name for f in S.POSTING.fields]).join(chosen.select("_at", "id"), "_at")
-            content = self._added(content, cut(new.drop("_at").withColumn("created_at", loaded_at)))
+            new = rows.select("_at", "dkey", *[f.name for f in S.POSTING.fields], loaded_at.alias("created_at"))
+            content = self._added(content, cut(new.join(chosen.select("_at", "id"), "_at").drop("_at")))
             if rejects is not None:
                 content = content | {"rejects": [*content.get("rejects", []), self.versions.write("rejects", rejects)]}
             return content | {"seen": content["seen"] | {stream: number}}

@@ -13,6 +13,7 @@ from hiresift.plans import build
 from hiresift.session import work_path
 from hiresift.sources import feeds, tables
 from hiresift.streaming import incremental
+from hiresift.streaming.postings import PostingTable
 
 SKILLS = ["python", "sql", "docker", "aws", "scala", "git", "linux", "react"]
 
@@ -48,8 +49,10 @@ def test_keep_first_chain(spark):
 
 def test_append_twice_adds_nothing(spark):
     rows = [{"id": i, "job_id": f"j{i % 7}", "company": "a", "title": f"t{i % 5}"} for i in range(40)]
-    first = dedup.keep_first(jobs_frame(spark, rows))
-    assert dedup.append_new(first, jobs_frame(spark, rows)).count() == 0
+    table = PostingTable(spark, work_path(spark, "postings"), buckets=4)
+    for run in ("one", "two"):
+        table.append(jobs_frame(spark, rows), ["id"], run, 0, ids="id")
+        assert sorted(r.id for r in table.rows().collect()) == sorted(r.id for r in dedup.keep_first(jobs_frame(spark, rows)).collect())
 
 
 def test_keep_best(spark):
