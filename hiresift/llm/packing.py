@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.llm.common import bind, slices
-from hiresift.llm.tokens import default_path, encoder
+from hiresift.llm.tokens import encoder
 from hiresift.session import cut
 
 # About so many characters are packed together, which bounds a task's memory.
@@ -159,5 +159,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = 1024, end_id
     keyed = keyed.join(often, F.col("_h") == F.col("_often"), "left").withColumn("_at", apart).drop("_often")
     dealt = keyed.withColumn("_g", F.pmod("_at", F.lit(groups))).drop("_at").repartition("_g")
     # The order of rows in a group must not depend on the shuffle.
-    run = bind(_pack_groups, most_docs=2 * group_docs, path=tokenizer or default_path(), room=room, end_id=end_id, min_cut=min_cut)
+    run = bind(_pack_groups, most_docs=2 * group_docs, path=tokenizer, room=room, end_id=end_id, min_cut=min_cut)
     return dealt.sortWithinPartitions("_g", "doc_id", "_h").mapInArrow(run, SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm.common import bind, pack_bytes, text_batches, unpack_bytes
-from hiresift.llm.tokens import default_path, encoder
+from hiresift.llm.tokens import encoder
 from hiresift.session import work_path
 
 SCHEMA = ("part int, segment int, part_start long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     path = path or work_path(docs.sparkSession, "tokens")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    run = bind(_write, path=tokenizer or default_path(), end_id=end_id, segment=segment, block=block, lanes=lanes)
+    run = bind(_write, path=tokenizer, end_id=end_id, segment=segment, block=block, lanes=lanes)
     ordered = chosen.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
     _held(docs.sparkSession.read.schema(SCHEMA).parquet(path)).coalesce(1).write.json(f"{path}/{MANIFEST}")

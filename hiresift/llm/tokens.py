@@ -208,6 +208,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that its cache serves all tasks of the worker."""
-    return Encoder(path)
+def encoder(path: str | None) -> Encoder:
+    """One encoder for each Python worker, so that its cache serves all tasks of the worker; the default path is that of the worker."""
+    return Encoder(path or default_path())
