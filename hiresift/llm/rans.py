@@ -204,8 +204,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
 
 def _held(files: DataFrame) -> DataFrame:
-    """What token files hold: parts, segments, tokens."""
-    return files.agg(F.count_distinct("part").alias("parts"), F.count("*").alias("segments"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    """What token files hold: the last part, segments, tokens."""
+    return files.agg(F.coalesce(F.max("part"), F.lit(-1)).alias("last_part"), F.count("*").alias("segments"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

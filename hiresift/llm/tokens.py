@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 
@@ -23,7 +23,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNUSUAL = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]")
 PRE_TOKEN = re.compile(
     rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 PIECE_CHARS = 1_000_000
 # Where spaces stand otherwise than alone between two other characters.
 OTHER_SPACE = ("  ", " \n", "\n ", "\t", "\r")
@@ -117,7 +117,7 @@ class Encoder:
 
     def _learn(self, names: list[str], first: int) -> None:
         """Encode names whose numbers begin at first; those that follow a space go to the library joined."""
-        bare = np.fromiter((n[:1] == BARE for n in names), bool, len(names))
+        bare = np.fromiter(map(methodcaller("startswith", BARE), names), bool, len(names))
         for joined in (False, True):
             chosen = np.flatnonzero(bare != joined)
             for part in (chosen[got:got + 20_000] for got in range(0, len(chosen), 20_000)):
@@ -142,7 +142,8 @@ class Encoder:
         if any(t in text for t in self.spaced for text in texts):
             return self._single([" " + x for x in parts])
         flat = np.concatenate(self._ids(texts))
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts)) + 1)
+        sizes = map(len, parts if all(map(str.isascii, texts)) else map(str.encode, parts))
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(parts)) + 1)
         reached = np.cumsum(self.bytes[flat])
         last = np.searchsorted(reached, ends)
         if reached[-1] != ends[-1] or (reached[last] != ends).any():
