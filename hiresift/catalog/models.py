@@ -471,7 +471,7 @@ astored AS (SELECT * FROM afirsts WHERE c = '' OR t = ''
 def _land_payloads(spark, jobs, folder):
     """One file for each page of each feed, as a fetcher would land them."""
     for feed, payload in PAYLOADS.items():
-        pages = payload(jobs).select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
+        pages = payload(jobs, 1000).select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
         pages.repartition("page").write.partitionBy("page").text(f"{folder}/feed={feed}")
 
 

@@ -20,9 +20,9 @@ def as_jobs(spark, sf_dir):
     return jobs_fx(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
-def _pages(jobs, item, wrap):
-    """Payload texts of up to PAGE postings each, as a feed would land them."""
-    rows = jobs.select("id", F.floor(F.col("id") / PAGE).alias("page"), item.alias("item"))
+def _pages(jobs, item, wrap, size):
+    """Payload texts of up to ``size`` postings each, as a feed would land them."""
+    rows = jobs.select("id", F.floor(F.col("id") / size).alias("page"), item.alias("item"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda r: r["item"])
     return rows.groupBy("page").agg(F.to_json(wrap(items)).alias("payload"))
 
@@ -31,7 +31,7 @@ def _names(texts):
     return F.transform(texts, lambda t: F.struct(t.alias("name")))
 
 
-def payload_a(jobs):
+def payload_a(jobs, size=PAGE):
     item = F.struct(
         F.col("id").cast("string").alias("id"), F.col("title").alias("position"), "company", "description",
         F.when(F.col("location") != "", F.col("location")).alias("location"), "apply_url",
@@ -44,10 +44,10 @@ def payload_a(jobs):
             ("apply_url", "string"), ("date", "string"), ("tags", "array<string>"),
             ("salary_min", "double"), ("salary_max", "double"))
     ])
-    return _pages(jobs, item, lambda items: F.concat(F.array(notice), items))
+    return _pages(jobs, item, lambda items: F.concat(F.array(notice), items), size)
 
 
-def payload_b(jobs):
+def payload_b(jobs, size=PAGE):
     item = F.struct(
         F.col("id").cast("string").alias("slug"), "title", F.col("company").alias("company_name"),
         "description", "location", F.col("apply_url").alias("url"),
@@ -55,10 +55,10 @@ def payload_b(jobs):
         F.when(F.col("tags") != "", F.split("tags", ", ")).alias("tags"),
         (F.col("id") + 1_700_000_000).alias("created_at"),
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("data")))
+    return _pages(jobs, item, lambda items: F.struct(items.alias("data")), size)
 
 
-def payload_c(jobs):
+def payload_c(jobs, size=PAGE):
     item = F.struct(
         "id", F.col("title").alias("name"), F.col("description").alias("contents"),
         F.col("job_type").alias("type"), F.col("date_posted").alias("publication_date"),
@@ -67,10 +67,10 @@ def payload_c(jobs):
         F.struct(F.col("company").alias("name")).alias("company"),
         F.struct(F.col("apply_url").alias("landing_page")).alias("refs"),
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("results")))
+    return _pages(jobs, item, lambda items: F.struct(items.alias("results")), size)
 
 
-def payload_d(jobs):
+def payload_d(jobs, size=PAGE):
     item = F.struct(
         F.col("id").cast("string").alias("id"), "title", "description",
         F.col("job_type").alias("contract_time"), F.col("apply_url").alias("redirect_url"),
@@ -80,7 +80,7 @@ def payload_d(jobs):
         F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.col("location").alias("display_name")).alias("location"),
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("results")))
+    return _pages(jobs, item, lambda items: F.struct(items.alias("results")), size)
 
 
 PAYLOADS = {"a": payload_a, "b": payload_b, "c": payload_c, "d": payload_d}
