@@ -201,7 +201,7 @@ scored AS (SELECT d.id, d.label, p.predicted FROM docs d LEFT JOIN predicted p O
 SELECT count(*) AS n_rows, count(predicted) AS n_scored, count(*) FILTER (WHERE predicted = label) AS n_correct,
   round(count(*) FILTER (WHERE predicted = label) / count(predicted), 6) AS accuracy FROM scored""")
 def prequential_accuracy(spark, sf_dir):
-    return nb.accuracy(nb.prequential(labelled(spark, sf_dir), F.col("text"), F.col("label")))
+    return nb.accuracy(nb.prequential(jobs_fx(spark, sf_dir), _text(), _label()))
 
 
 @query("prequential_curve", ctes(JOBS, DOCS, TOKS, PREQUENTIAL) + """
@@ -210,7 +210,7 @@ SELECT trained, round(correct / scored, 6) AS accuracy FROM (
     sum(CASE WHEN predicted = label THEN 1 ELSE 0 END) OVER w AS correct
   FROM scored WINDOW w AS (ORDER BY id)) WHERE trained % 50 = 0""")
 def prequential_curve(spark, sf_dir):
-    return nb.accuracy_curve(nb.prequential(labelled(spark, sf_dir), F.col("text"), F.col("label")))
+    return nb.accuracy_curve(nb.prequential(jobs_fx(spark, sf_dir), _text(), _label()))
 
 
 # A model as rows: token counts, label counts, accuracy. The second half of the rows comes as an update.
@@ -268,10 +268,10 @@ def run_history(spark, sf_dir):
     jobs = jobs_fx(spark, sf_dir)
     day = jobs.agg(F.max("created_at")).first()[0]
     runs = work_path(spark, "runs")
-    build.train_and_log(jobs, runs, "run-0001-all", day)
-    scored = nb.prequential(jobs, _text(), _label())
-    for run, at in (("run-0003-all", day), ("run-0002-all", "2025-12-31")):
-        nb.training_run(scored, run, at).write.parquet(f"{runs}/run={run}")
+    # one training, whose predictions stand in every run
+    scored = build.train(jobs, f"{runs}-model")
+    for run, at in (("run-0001-all", day), ("run-0003-all", day), ("run-0002-all", "2025-12-31")):
+        build.log_run(scored, runs, run, at)
     history = nb.run_history(spark.read.schema(S.RUNS).parquet(runs))
     return history.withColumn("accuracy", F.round("accuracy", 6))
 

@@ -7,24 +7,38 @@ needs one row only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT
-from hiresift.functions.text import words_and_hyphens
-from hiresift.operators.order import ranges, running
+from hiresift.functions.text import folded
+from hiresift.operators import chunks
+from hiresift.operators.order import running
 from hiresift.session import cut
 from hiresift.sources.versions import Versions
 
 ALPHA = 1.0
 # Scores are compared after rounding, so that the order of summation cannot decide a near tie.
 DIGITS = 9
+# Texts without a label are counted apart.
+NO_LABEL = "\x00"
 
 
-def tokenised(docs: DataFrame, text: Column, label: Column | None = None) -> DataFrame:
-    """id, label, words as a written table: texts are split into words once, for training and for prediction."""
-    labels = [] if label is None else [label.alias("label")]
-    return cut(docs.select("id", *labels, words_and_hyphens(text).alias("words")))
+def tokenised(
+    docs: DataFrame, text: Column, label: Column | None = None, ordered: bool = False, chunk_tokens: int = chunks.CHUNK_TOKENS
+) -> DataFrame:
+    """The texts as written chunks (``chunks.chunked``), for training and for prediction: they are split into words once.
+
+    With ``ordered`` the chunks follow the ids, which takes a shuffle of the texts.
+    """
+    label = F.lit(None).cast("string") if label is None else label
+    if ordered:  # dealt before the texts are split: Spark reads the rows twice to find the ranges
+        docs = docs.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
+    rows = docs.select("id", label.alias("label"), folded(text).alias("t0"))
+    return chunks.chunked(rows.select("*", F.lit(0).alias("mark"), F.coalesce("label", F.lit(NO_LABEL)).alias("cell")), tokens=chunk_tokens)
 
 
 def train_counts(docs: DataFrame, text: Column, label: Column) -> tuple[DataFrame, DataFrame]:
@@ -33,13 +47,12 @@ def train_counts(docs: DataFrame, text: Column, label: Column) -> tuple[DataFram
 
 
 def counts_of(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The counts of ``tokenised`` rows."""
-    token_counts = (
-        words.select("label", F.explode("words").alias("token"))
-        .groupBy("token", "label").agg(F.count("*").alias("n"))
-    )
-    label_counts = words.groupBy("label").agg(
-        F.count("*").alias("docs"), F.sum(F.size("words")).alias("tokens")
+    """The counts of ``tokenised`` texts."""
+    label = F.when(F.col("cell") != NO_LABEL, F.col("cell")).alias("label")
+    token_counts = chunks.counts_by_cell(words).select("token", label, "n")
+    texts = chunks.texts_of(words).select(F.explode(F.arrays_zip("labels", "lengths")).alias("t"))
+    label_counts = texts.groupBy(F.col("t.labels").alias("label")).agg(
+        F.count("*").alias("docs"), F.sum(F.col("t.lengths").cast("long")).alias("tokens")
     )
     return token_counts, label_counts
 
@@ -67,11 +80,6 @@ def _by_class(value: Column | str, classes: list[str], label: str = "label") ->
     ])
 
 
-def _log_counts(counts: Column, n: Column, classes: list[str]) -> list[Column]:
-    """Per class the sum of n * log(count + alpha); a token never seen adds nothing."""
-    return [F.sum(n * F.ln(F.coalesce(counts[i], F.lit(0)) + ALPHA)) for i in range(len(classes))]
-
-
 def best_class(
     log_counts: list[Column], length: Column, docs: Column, tokens: Column, vocab: Column,
     classes: list[str],
@@ -105,28 +113,57 @@ def predicted_or_unknown(model: tuple[DataFrame, DataFrame], words: DataFrame, c
     return out.select("id", F.coalesce("predicted", F.lit("unknown")).alias("predicted"))
 
 
+def _per_text(words: DataFrame, met: DataFrame, classes: list[str], learning: bool) -> DataFrame:
+    """id, label, length, new, s0, s1, ...: the sum of n * log(count + alpha) for each class, and how many tokens no earlier text holds.
+
+    The counts are those that ``met`` gives for the chunk; with ``learning`` and those of the earlier texts of the chunk.
+    """
+    names = list(classes)
+
+    def work(t: chunks.Texts) -> pa.Table:
+        code, text, n = t.pairs()
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        many = np.diff(np.append(starts, len(code)))
+        out = {"id": t.ids, "label": t.labels, "length": t.lengths.sum(axis=0)}
+        # the first text of a token, where no earlier chunk and no model holds it
+        out["new"] = np.bincount(text[starts[t.first[code[starts]]]] if len(code) else text, minlength=t.size)
+        of = pc.index_in(t.labels, value_set=pa.array(names, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)[text]
+        for i in range(len(names)):
+            known = t.counts[code, i]
+            if learning:
+                here = np.where(of == i, n, 0)
+                upto = np.cumsum(here) - here
+                known = known + (upto - np.repeat(upto[starts], many))
+            out[f"s{i}"] = t.sums(text, n * np.log(known + ALPHA))
+        return pa.table(out)
+
+    schema = "id long, label string, length long, new long, " + ", ".join(f"s{i} double" for i in range(len(names)))
+    return chunks.by_chunk(words, met, len(names), work, schema)
+
+
+def _as_stored(token_counts: DataFrame) -> DataFrame:
+    """token, cells, ns of token counts."""
+    pairs = F.collect_list(F.struct(F.coalesce("label", F.lit(NO_LABEL)).alias("label"), "n"))
+    return token_counts.groupBy("token").agg(pairs.alias("p")).select("token", F.col("p.label").alias("cells"), F.col("p.n").alias("ns"))
+
+
 def predict_words(model: tuple[DataFrame, DataFrame], docs: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """id, predicted, majority of ``tokenised`` rows.
+    """id, predicted, majority of ``tokenised`` texts.
 
-    One join on the token and one grouping by document. The model
-    side has one row per token; a frequent token makes the document side skewed, which adaptive
-    execution splits.
+    The model meets the different tokens of each chunk, not the tokens of each text.
     """
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
     token_counts, label_counts = model
-    wide = token_counts.groupBy("token").agg(_by_class("n", classes).alias("counts"))
-    vocab = wide.agg(F.count("*"))
+    vocab = token_counts.agg(F.count_distinct("token"))
     sums = label_counts.agg(_by_class("docs", classes).alias("docs"), _by_class("tokens", classes).alias("tokens"))
-    toks = docs.select("id", F.explode("words").alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    logs = [c.alias(f"s{i}") for i, c in enumerate(_log_counts(F.col("counts"), F.col("n"), classes))]
-    per_doc = toks.join(wide, "token", "left").groupBy("id").agg(F.sum("n").alias("length"), *logs)
-    # texts without tokens are scored by class share alone
-    rows = docs.select("id").join(per_doc, "id", "left")
+    # the texts learn nothing from each other
+    asked = docs.withColumns({"cells": F.array().cast("array<string>"), "ns": F.array().cast("array<bigint>")})
+    rows = _per_text(docs, chunks.meet(asked, classes, _as_stored(token_counts)), classes, learning=False)
     rows = rows.withColumn("sums", sums.select(F.struct("docs", "tokens")).scalar())
     rows = rows.select("*", "sums.*").withColumn("vocab", vocab.scalar())
     label = best_class(
-        [F.coalesce(f"s{i}", F.lit(0.0)) for i in k], F.coalesce("length", F.lit(0)),
+        [F.col(f"s{i}") for i in k], F.col("length"),
         F.col("docs"), F.col("tokens"), F.coalesce("vocab", F.lit(0)), classes,
     )
     return rows.select("id", label.alias("predicted"), majority(F.col("docs"), classes).alias("majority"))
@@ -140,10 +177,10 @@ def majority(docs: Column, classes: list[str]) -> Column:
 
 def prequential(
     docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None,
-    start: tuple[DataFrame, DataFrame] | None = None,
+    start: tuple[DataFrame, DataFrame] | None = None, chunk_tokens: int = chunks.CHUNK_TOKENS,
 ) -> DataFrame:
     """As ``prequential_words``, from texts."""
-    return prequential_words(docs.select("id", label.alias("label"), words_and_hyphens(text).alias("words")), classes, start)
+    return prequential_words(tokenised(docs, text, label, ordered=True, chunk_tokens=chunk_tokens), classes, start)
 
 
 def prequential_words(
@@ -151,46 +188,20 @@ def prequential_words(
 ) -> DataFrame:
     """id, label, predicted: each row is predicted from all earlier rows, then learnt; with ``start``, a model, on top of its counts.
 
-    Texts are split into words once. Rows are dealt into ranges of the order by their number. Earlier counts of a token come from
-    two levels: a window inside (token, range) and running totals over the ranges of a token, so a token of every
-    text is spread over as many groups as there are ranges.
+    ``words`` are ``tokenised`` texts in order. Earlier counts of a token come from two levels: the counts of the earlier chunks,
+    and those of the earlier texts of its chunk. A token of every text has one row for each chunk.
     """
     classes = DEFAULT.classes if classes is None else classes
     k = range(len(classes))
-    rows, count = ranges(words, "id")
-    toks = cut(rows.select("id", "label", "_b", F.explode("words").alias("token")).groupBy("id", "label", "_b", "token").agg(
-        F.count("*").alias("n")))
     zero = F.lit(0)
-
-    def split(value: str) -> list[Column]:
-        return [F.when(F.col("label") == c, F.col(value)).otherwise(0) for c in classes]
-
-    here = Window.partitionBy("token", "_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    inside = toks.select("id", "token", "_b", "n", *[F.coalesce(F.sum(c).over(here), zero).alias(f"in{i}") for i, c in enumerate(split("n"))])
-    earlier = Window.partitionBy("token").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = toks.groupBy("token", "_b").agg(F.min("id").alias("id"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(split("n"))])
-    known = [zero] * len(classes)
-    if start is not None:
-        wide = start[0].groupBy("token").agg(_by_class("n", classes).alias("old"))
-        per_range = per_range.join(wide, "token", "left")
-        known = [F.coalesce(F.col("old")[i], zero) for i in k]
-    # small beside the tokens: one row for each token and range
-    before = cut(per_range.select(
-        "token", "_b", "id", (F.row_number().over(Window.partitionBy("token").orderBy("_b")) == 1).alias("first"),
-        F.array(*[F.coalesce(F.sum(f"t{i}").over(earlier), zero) + known[i] for i in k]).alias("be"),
-        (F.col("old").isNotNull() if start is not None else F.lit(False)).alias("stored")))
-    seen = inside.join(before.select("token", "_b", "be"), ["token", "_b"])
-    per_doc = seen.groupBy("id").agg(
-        F.sum("n").alias("length"), *[F.sum(F.col("n") * F.ln(F.col(f"in{i}") + F.col("be")[i] + ALPHA)).alias(f"s{i}") for i in k])
-    # vocabulary size before a row: tokens whose first text came earlier
-    fresh = before.where("first and not stored").groupBy("id").agg(F.count("*").alias("new"))
-    state = rows.select("id", "label").join(per_doc, "id", "left").join(fresh, "id", "left").select(
-        "id", "label", F.coalesce("length", zero).alias("length"), F.coalesce("new", zero).alias("new"),
-        *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in k])
+    met = chunks.meet(words, classes, None if start is None else _as_stored(start[0]))
+    # written, as the rows are read once more to find the ranges of the running sums
+    state = cut(_per_text(words, met, classes, learning=True))
     state = state.select(
         "*", *[F.when(F.col("label") == c, 1).otherwise(0).alias(f"d{i}") for i, c in enumerate(classes)],
-        *[c.alias(f"w{i}") for i, c in enumerate(split("length"))])
-    state = running(state, "id", ["new", *[f"d{i}" for i in k], *[f"w{i}" for i in k]], before=True, count=count)
+        *[F.when(F.col("label") == c, F.col("length")).otherwise(0).alias(f"w{i}") for i, c in enumerate(classes)])
+    # vocabulary size before a row: tokens whose first text came earlier
+    state = running(state, "id", ["new", *[f"d{i}" for i in k], *[f"w{i}" for i in k]], before=True)
     old_docs, old_tokens, old_vocab = ([zero] * len(classes), [zero] * len(classes), zero)
     if start is not None:
         sums = start[1].agg(_by_class("docs", classes).alias("d"), _by_class("tokens", classes).alias("w")).select(F.struct("d", "w")).scalar()
@@ -284,7 +295,7 @@ class StoredModel:
 
     def train(self, docs: DataFrame, text: Column, label: Column, classes: list[str] | None = None) -> DataFrame:
         """Train anew and publish the model in place of the last one; returns the test-then-train predictions."""
-        words = tokenised(docs, text, label)
+        words = tokenised(docs, text, label, ordered=True)
         scored = cut(prequential_words(words, classes))
         new = self._written(counts_of(words), scored)
         self.versions.change(lambda content: {"seen": content.get("seen", {})} | new)
@@ -312,7 +323,7 @@ class StoredModel:
                 return None
             old = self.counts(content)
             if not made:  # once, also where another writer is faster
-                made.append(tokenised(docs, text, label))
+                made.append(tokenised(docs, text, label, ordered=True))
             scored = prequential_words(made[0], classes, old if content else None)
             new = self._written(add_counts(old, counts_of(made[0])), scored)
             new["accuracy"] = [*content.get("accuracy", []), *new["accuracy"]]

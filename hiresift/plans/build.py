@@ -58,8 +58,17 @@ def train_and_log(
 
     The model lies in ``model_path``, by default beside the runs (``nb.StoredModel``).
     """
-    model = nb.StoredModel(jobs.sparkSession, model_path or f"{runs_path}-model")
-    scored = model.train(jobs, training_text(), assign_category(F.col("title"), dims), dims.classes)
+    return log_run(train(jobs, model_path or f"{runs_path}-model", dims), runs_path, run_id, run_date)
+
+
+def train(jobs: DataFrame, model_path: str, dims: Dims = DEFAULT) -> DataFrame:
+    """Publish a model of the postings; returns the test-then-train predictions, as a written table."""
+    model = nb.StoredModel(jobs.sparkSession, model_path)
+    return model.train(jobs, training_text(), assign_category(F.col("title"), dims), dims.classes)
+
+
+def log_run(scored: DataFrame, runs_path: str, run_id: str, run_date: str) -> DataFrame:
+    """Write the row of a training run."""
     return write_table(nb.training_run(scored, run_id, run_date), f"{runs_path}/run={run_id}")
 
 
