@@ -134,25 +134,31 @@ def counts_by_cell(chunks: DataFrame) -> DataFrame:
     return pairs.groupBy("token", F.col("c.cells").alias("cell")).agg(F.sum("c.ns").alias("n"))
 
 
-def _dense(table: pa.Table, at: np.ndarray, rows: int, cells: pa.Array) -> np.ndarray:
-    """(rows, cells): the counts of the table's rows, summed up in the row that ``at`` names."""
+def _dense(
+    table: pa.Table, at: np.ndarray, rows: int, cells: pa.Array, columns: np.ndarray | None = None, width: int | None = None
+) -> np.ndarray:
+    """(rows, width): the counts of the table's rows, summed up in the row that ``at`` names and the column of their cell."""
+    columns, width = (np.arange(len(cells)), len(cells)) if columns is None else (columns, width)
     lists = pa.concat_arrays(table.column("cells").chunks)
     n = pa.concat_arrays(table.column("ns").chunks).flatten().to_numpy(zero_copy_only=False)
     cell = pc.index_in(lists.flatten(), value_set=cells).fill_null(-1).to_numpy(zero_copy_only=False)
-    place = np.repeat(at, pc.list_value_length(lists).to_numpy(zero_copy_only=False)) * len(cells) + cell
-    keep = cell >= 0
+    column = np.append(columns, -1)[cell]  # of an unknown cell, -1, the last
+    place = np.repeat(at, pc.list_value_length(lists).to_numpy(zero_copy_only=False)) * width + column
+    keep = column >= 0
     # sums of counts are whole numbers below 2^53, which float64 holds exactly
-    return np.bincount(place[keep], n[keep], rows * len(cells)).reshape(rows, len(cells))
+    return np.bincount(place[keep], n[keep], rows * width).reshape(rows, width)
 
 
-def meet(chunks: DataFrame, cells: list[str], stored: DataFrame | None = None, spread: np.ndarray | None = None) -> DataFrame:
+def meet(
+    chunks: DataFrame, cells: list[str], stored: DataFrame | None = None, columns: np.ndarray | None = None, width: int = 0
+) -> DataFrame:
     """chunk, code, counts, first: what the counts of a token are by cell.
 
-    Without ``spread``: over all earlier chunks and ``stored`` (token, cells, ns). With it, a matrix (cells, columns): over all
-    chunks, multiplied by the matrix. first marks the first of all chunks that hold a token which is not stored.
+    Without ``columns``: over all earlier chunks and ``stored`` (token, cells, ns). With it, a row for each cell: over all
+    chunks, added up in ``width`` columns; a row names the columns that its cell counts for (-1: none). first marks the first of all chunks that hold a token which is not stored.
     """
     rows = tokens_of(chunks)
-    groups = -(-rows.count() * max(1, len(cells)) // GROUP_NUMBERS) or 1
+    groups = -(-rows.count() * max(1, width or len(cells)) // GROUP_NUMBERS) or 1
     if stored is not None:
         rows = rows.unionByName(stored.select(F.lit(-1).cast("long").alias("chunk"), F.lit(-1).alias("code"), "token", "cells", "ns"))
     names = list(cells)
@@ -165,8 +171,8 @@ def meet(chunks: DataFrame, cells: list[str], stored: DataFrame | None = None, s
         starts = np.flatnonzero(np.diff(token[order], prepend=-1))
         first = np.zeros(len(order), bool)
         first[order[starts]] = True
-        if spread is not None:
-            counts = (_dense(table, token, len(different), values) @ spread)[token]
+        if columns is not None:
+            counts = sum(_dense(table, token, len(different), values, of, width) for of in columns.T)[token]
         else:
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiresift.dims import DEFAULT
-from hiresift.functions.text import words_and_hyphens
-from hiresift.operators import nb
+from hiresift.functions.text import folded
+from hiresift.operators import chunks, nb
 from hiresift.session import cut
 
 SEEDS = (0, 1, 2, 3, 4)
@@ -50,52 +54,74 @@ def stratified_split(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFra
 
 def evaluate(
     docs: DataFrame, parts: dict[str, Column], inputs: dict[str, list[str]], label: Column,
-    classes: list[str] | None = None, seeds: tuple[int, ...] = SEEDS,
+    classes: list[str] | None = None, seeds: tuple[int, ...] = SEEDS, chunk_tokens: int = chunks.CHUNK_TOKENS,
 ) -> DataFrame:
     """input, seed, id, label, predicted, majority: predictions for the test rows of all splits.
 
-    An input is some of the parts, one after the other with a blank between; each part is split into words once. Counts are
-    additive, and a row knows by a mask in which splits it is a test row: all models of an input are one table with one row for each
-    token, whose counts by split and class stand in one array, so a token of the test rows meets all of them in one join.
+    An input is some of the parts, one after the other with a blank between; each part is split into words once, in chunks of texts. Counts are
+    additive, and a row knows by a mask in which splits it is a test row: counts by part, label and mask give the counts of all models, which
+    meet the different tokens of each chunk (``chunks.meet``).
     """
     classes = DEFAULT.classes if classes is None else classes
-    k = len(classes)
-    names = list(parts)
-    base = docs.select("id", label.alias("label"), *[words_and_hyphens(t).alias(f"_w{i}") for i, t in enumerate(parts.values())])
+    k, names, n_splits = len(classes), list(parts), len(seeds)
+    chosen = [[names.index(p) for p in use] for use in inputs.values()]
+    # the masks that are there: 2 to the number of seeds at most
     held = stratified_split(docs.select("id", label.alias("label")), seeds).groupBy("id").agg(
-        F.sum(_bit(F.col("seed"), seeds)).cast("int").alias("mask"))
-    texts = F.array(*[F.struct(F.lit(name).alias("input"), F.concat(*[F.col(f"_w{names.index(p)}") for p in chosen]).alias("words"))
-                      for name, chosen in inputs.items()])
-    rows = cut(base.join(held, "id", "left").select(
-        "id", "label", F.coalesce("mask", F.lit(0)).alias("mask"), F.explode(texts).alias("t")).select("id", "label", "mask", "t.*"))
-
-    def trained(value: Column) -> Column:
-        """Sums over the training rows: an array by split, then class."""
-        return F.array(*[F.coalesce(F.sum(F.when((F.col("label") == c) & (F.col("mask").bitwiseAND(1 << s) == 0), value)), F.lit(0))
-                         for s in range(len(seeds)) for c in classes])
-
-    # few combinations of token, label and mask remain of many occurrences
-    cells = rows.select("input", "label", "mask", F.explode("words").alias("token")).groupBy("input", "token", "label", "mask").agg(F.count("*").alias("n"))
-    tokens = cut(cells.groupBy("input", "token").agg(trained(F.col("n")).alias("counts")))
-    sizes = rows.groupBy("input").agg(trained(F.lit(1)).alias("docs"), trained(F.size("words")).alias("tokens"))
-    seen = [F.count_if(F.exists(F.slice("counts", s * k + 1, k), lambda n: n > 0)).alias(f"v{s}") for s in range(len(seeds))]
-    vocab = tokens.groupBy("input").agg(*seen)
-    models = cut(sizes.join(vocab, "input", "left"))
-
-    tests = rows.where("mask > 0")
-    toks = tests.select("input", "id", "mask", F.explode("words").alias("token")).groupBy("input", "id", "mask", "token").agg(F.count("*").alias("n"))
-    # the splits in which the row is a test row, each with the place of its counts
-    splits = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << s) != 0, F.lit(s)) for s in range(len(seeds))]))
-    met = toks.join(tokens, ["input", "token"], "left").select("input", "id", "n", "counts", F.explode(splits).alias("s"))
-    logs = [F.sum(F.col("n") * F.ln(F.coalesce(F.get("counts", F.col("s") * k + i), F.lit(0)) + nb.ALPHA)).alias(f"s{i}") for i in range(k)]
-    per_doc = met.groupBy("input", "id", "s").agg(F.sum("n").alias("length"), *logs)
-    cases = tests.select("input", "id", "label", F.explode(splits).alias("s"))
-    # one row for each input
-    scored = cases.join(per_doc, ["input", "id", "s"], "left").join(F.broadcast(models), "input")
-    of = [F.slice(c, F.col("s") * k + 1, k) for c in ("docs", "tokens")]
-    size = F.coalesce(F.array(*[F.col(f"v{s}") for s in range(len(seeds))])[F.col("s")], F.lit(0))
-    predicted = nb.best_class([F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)], F.coalesce("length", F.lit(0)), of[0], of[1], size, classes)
-    most = nb.majority(of[0], classes)
+        F.sum(_bit(F.col("seed"), seeds)).cast("int").alias("mark"))
+    texts = docs.select("id", label.alias("label"), *[folded(t).alias(f"t{i}") for i, t in enumerate(parts.values())])
+    rows = texts.join(held, "id", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    cell = F.concat_ws("|", F.col("mark").cast("string"), F.coalesce("label", F.lit(nb.NO_LABEL)))
+    words = chunks.chunked(rows.withColumn("cell", cell), len(names), chunk_tokens)
+
+    sums = chunks.texts_of(words).select("labels", "marks", F.slice("lengths", 1, F.size("labels")).alias("l0"), *[
+        F.slice("lengths", i * F.size("labels") + 1, F.size("labels")).alias(f"l{i}") for i in range(1, len(names))])
+    sums = sums.select(F.explode(F.arrays_zip("labels", "marks", *[f"l{i}" for i in range(len(names))])).alias("t")).groupBy("t.labels", "t.marks").agg(
+        F.count("*").alias("docs"), *[F.sum(F.col(f"t.l{i}").cast("long")).alias(f"l{i}") for i in range(len(names))])
+    # one row for each class and mask
+    sums = sums.where(F.col("labels").isin(classes)).collect()
+    cells = [(p, r["marks"], r["labels"]) for p in range(len(names)) for r in sums]
+    # a cell counts for its class in the inputs that have its part and the splits in which its rows are no test rows
+    width = len(chosen) * n_splits * k
+    columns = np.array([[(i * n_splits + s) * k + classes.index(name) if p in use and not mark >> s & 1 else -1
+                         for i, use in enumerate(chosen) for s in range(n_splits)] for p, mark, name in cells], np.int64).reshape(len(cells), len(chosen) * n_splits)
+
+    def total(of: Callable) -> list[list[list[int]]]:
+        """For each input and split the sum over the training rows of each class."""
+        return [[[sum(of(r, use) for r in sums if r["labels"] == c and not r["marks"] >> s & 1) for c in classes] for s in range(n_splits)] for use in chosen]
+
+    cell_names = [f"{mark}|{name}" if len(names) == 1 else f"{p}|{mark}|{name}" for p, mark, name in cells]
+    met = cut(chunks.meet(words, cell_names, columns=columns, width=width))
+    seen = [F.count_if(F.exists(F.slice("counts", g * k + 1, k), lambda n: n > 0)).alias(f"v{g}") for g in range(len(chosen) * n_splits)]
+    vocab = met.where("first").agg(*seen).first()
+    n_docs, n_tokens = total(lambda r, use: r["docs"]), total(lambda r, use: sum(r[f"l{i}"] for i in use))
+    # one row for each input and split
+    models = docs.sparkSession.createDataFrame(
+        [(name, s, n_docs[i][s], n_tokens[i][s], vocab[i * n_splits + s]) for i, name in enumerate(inputs) for s in range(n_splits)],
+        "input string, s int, docs array<long>, tokens array<long>, vocab long")
+    input_names = list(inputs)
+
+    def work(t: chunks.Texts) -> pa.Table:
+        logs = np.log(t.counts + nb.ALPHA)
+        out = []
+        for i, use in enumerate(chosen):
+            code, text, n = t.pairs(use)
+            length = t.lengths[use].sum(axis=0)
+            for s in range(n_splits):
+                tested = (t.marks >> s & 1).astype(bool)
+                mine = tested[text]
+                at = (i * n_splits + s) * k
+                which = np.flatnonzero(tested)
+                some, times, theirs = text[mine], n[mine], logs[code[mine], at:at + k]
+                held = {f"s{c}": t.sums(some, times * theirs[:, c])[which] for c in range(k)}
+                out.append(pa.table({
+                    "input": [input_names[i]] * len(which), "s": np.full(len(which), s, np.int32), "id": t.ids.take(pa.array(which)),
+                    "label": t.labels.take(pa.array(which)), "length": length[which], **held}))
+        return pa.concat_tables([x.cast(out[0].schema.set(0, pa.field("input", pa.string()))) for x in out])
+
+    schema = "input string, s int, id long, label string, length long, " + ", ".join(f"s{c} double" for c in range(k))
+    scored = chunks.by_chunk(words, met, width, work, schema, len(names)).join(F.broadcast(models), ["input", "s"])
+    predicted = nb.best_class([F.col(f"s{i}") for i in range(k)], F.col("length"), F.col("docs"), F.col("tokens"), F.col("vocab"), classes)
+    most = nb.majority(F.col("docs"), classes)
     return scored.select(
         "input", F.array(*map(F.lit, seeds))[F.col("s")].alias("seed"), "id", "label", F.coalesce(predicted, most).alias("predicted"), most.alias("majority"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hiresift.functions.text import words_and_hyphens
-from hiresift.operators import chunks, nb
+from hiresift.operators import chunks, evaluate, nb
 from tests.test_operators import PlainNB
 
 
@@ -45,3 +45,22 @@ def test_tokens_are_those_of_the_column_function(spark):
     got = {(r.token, r.n) for r in nb.counts_of(words)[0].collect()}
     exploded = df.select(F.explode(words_and_hyphens(F.col("text"))).alias("token")).groupBy("token").count()
     assert got == {tuple(r) for r in exploded.collect()} and got
+
+
+def test_evaluation_in_chunks_of_any_size(spark, texts):
+    df = spark.createDataFrame(texts, "id long, text string, label string").withColumn("title", F.concat(F.lit("w1 new"), F.col("id").cast("string")))
+    parts = {"title": F.col("title"), "text": F.col("text")}
+    inputs = {"both": ["title", "text"], "text": ["text"]}
+    got = [{(r.input, r.seed, r.id): (r.label, r.predicted, r.majority) for r in evaluate.evaluate(
+        df, parts, inputs, F.col("label"), ["x", "y", "z"], chunk_tokens=size).collect()} for size in (40, 10 ** 6)]
+    assert got[0] == got[1]
+    test = {(r.seed, r.id) for r in evaluate.stratified_split(df.select("id", "label")).collect()}
+    assert {k[1:] for k in got[0]} == test and len(got[0]) == 2 * len(test)
+    for seed in range(5):
+        for name in inputs:
+            plain = PlainNB()
+            words = {i: [*(["w1", f"new{i}"] if name == "both" else []), *(t or "").split()] for i, t, _ in texts}
+            for i, _, c in texts:
+                if (seed, i) not in test:
+                    plain.learn(words[i], c)
+            assert all(got[0][name, seed, i][1] == plain.predict(words[i]) for s, i in test if s == seed)
