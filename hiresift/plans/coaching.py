@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hiresift.dims import DEFAULT, Dims
 from hiresift.functions.resume import resume_record
 from hiresift.operators.match import report_by_set, set_records
+from hiresift.session import cut
 
 
 def match_report(jobs: DataFrame, profiles: DataFrame, limit: int = 10, dims: Dims = DEFAULT) -> DataFrame:
@@ -24,7 +25,8 @@ def parse_resumes(resumes: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
 
 def resume_match(jobs: DataFrame, resumes: DataFrame, limit: int = 10, dims: Dims = DEFAULT) -> DataFrame:
     """Resume record fields with the match report of the skills found in the text."""
-    parsed = parse_resumes(resumes, dims)
+    # written: the texts are parsed once, not for the skills, their sets and the result
+    parsed = cut(parse_resumes(resumes, dims).select("resume_id", "name", "email", "skills", "skills_str", "experience_years", "education"))
     profiles = parsed.select(F.col("resume_id").alias("profile_id"), F.col("skills_str").alias("skills"))
     report = match_report(jobs, profiles, limit, dims)
     return parsed.join(report.withColumnRenamed("profile_id", "resume_id"), "resume_id").select(
