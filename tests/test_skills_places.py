@@ -161,3 +161,19 @@ def test_keyword_context(spark):
     pattern = next(p for p in DEFAULT.ambiguous["go"] if re.search(p, text, re.MULTILINE))
     m = re.search(pattern, text, re.MULTILINE)
     assert got == [text[max(0, m.start() - 40):m.end() + 40].replace("\n", " "), None]
+
+
+def test_few_skills_are_found_as_the_scan_finds_them(spark):
+    """``present`` against ``extract_skills``, and the split against both scans, on texts made of vocabulary items and what stands around them."""
+    rng = random.Random(3)
+    items = [*DEFAULT.skills, "Go language", "node.js", "R, ", "Kafka\u017f", "C++", "javascripts", "Golang", "(R)", "ray tune"]
+    glue = [" ", ", ", "", "x", ". ", "! ", "+", "-", " would be great. ", " Nice to have: ", "desirable", "\n", "\u0130"]
+    rows = [("".join(rng.choice(items).upper() if rng.random() < .2 else rng.choice(items) if rng.random() < .6 else rng.choice(glue) for _ in range(25)),
+             rng.sample(list(DEFAULT.skills), 12) + list(DEFAULT.ambiguous)) for _ in range(300)]
+    rows = [(t, list(dict.fromkeys(have))) for t, have in rows]
+    df = spark.createDataFrame(rows, "d string, s array<string>")
+    out = df.select(skills.present(F.col("s"), F.col("d")).alias("a"), F.array_intersect("s", skills.extract_skills(F.col("d"))).alias("b"),
+                    skills.may_hold(F.col("s"), F.col("d")).alias("may")).collect()
+    assert all(r.a == r.b for r in out) and sum(len(r.a) for r in out) > 30
+    assert all(r.may for r in out if r.a)
+    assert not spark.createDataFrame([("the river runs", ["python", "sql"])], "d string, s array<string>").select(skills.may_hold(F.col("s"), F.col("d"))).first()[0]
