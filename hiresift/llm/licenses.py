@@ -1,8 +1,8 @@
 """Licence scan: a trained paragraph classifier with an unknown class and a comparison with templates.
 
 Paragraphs are lines, and runs of lines that stand together: a notice that is wrapped over lines is read as one, without
-the comment signs at their edges. A paragraph takes part where it holds a key word (``key_words``): a word of the notices that plain prose
-seldom has. Without one, common words alone would have to make up half of a notice.
+the comment signs at their edges. A line takes part where it holds a key word (``key_words``: a word of the notices that plain prose
+seldom has) or enough of a notice's word pairs, a run, wherever it begins and ends, where it holds enough of them.
 
 Paragraphs are scored by a multinomial logistic regression on word n-grams, which is trained
 on the notices below and on lines that are none. Only n-grams of its vocabulary have a weight, so
@@ -20,11 +20,11 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hiresift.dims import STOP_WORDS
-from hiresift.functions.text import let
+from hiresift.functions.text import let, str_array
 from hiresift.session import cut
 
 UNKNOWN = "unknown"
@@ -162,7 +162,7 @@ def key_words(confirm: float) -> list[str]:
 
     Words of the most notices come first.
     """
-    pairs = [set(zip(w, w[1:])) for notices in NOTICES.values() for w in map(plain_words, notices)]
+    pairs = _pairs_of_notices()
     keys: set[str] = set()
     while True:
         left = [(p, [x for x in p if not keys & set(x)]) for p in pairs]
@@ -172,56 +172,127 @@ def key_words(confirm: float) -> list[str]:
         keys.add(min(uses, key=lambda w: (-uses[w], w)))
 
 
+def common_pairs(confirm: float) -> set[tuple[str, str]]:
+    """The word pairs of common words by which a paragraph without a key word could hold the share ``confirm`` of a notice."""
+    keys = set(key_words(confirm))
+    left = [(p, {x for x in p if not keys & set(x)}) for p in _pairs_of_notices()]
+    return {x for p, without in left if len(without) >= confirm * len(p) for x in without}
+
+
+def _pairs_of_notices() -> list[set[tuple[str, str]]]:
+    return [set(zip(w, w[1:])) for notices in NOTICES.values() for w in map(plain_words, notices)]
+
+
 _EDGES = r"^[\s*#/;%!>|<-]+|[\s*#/|<>-]+$"
 
 
-def paragraphs_of(text: Column, keys: list[str]) -> Column:
-    """An array of (line number, paragraph): every line with a key word, and every run of two or more lines, none blank, that
-    begins and ends with such a line and in which no two lines in a row lack one. Row by row, without a shuffle."""
-    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, sorted(keys, key=len, reverse=True)))})(?![\p{{L}}\p{{N}}])"
-    clean = F.transform(F.split(F.translate(text, "\x1c\x1d\x1e", "   "), "\n"), lambda x: F.regexp_replace(x, _EDGES, ""))
-    marked = F.transform(clean, lambda x: F.struct(x.alias("x"), F.regexp_like(F.lower(x), F.lit(word)).alias("hot")))
+def _texts_of(pairs: set[tuple[str, str]]) -> Column:
+    return str_array(sorted(" ".join(x) for x in pairs))
+
+
+def holds_enough(pairs: Column, confirm: float) -> Column:
+    """Whether the word pairs are the share ``confirm`` of some notice's."""
+    notices = _pairs_of_notices()
+
+    def of_some(held: Column) -> Column:
+        return reduce(lambda x, y: x | y, [F.size(F.array_intersect(held, _texts_of(p))) >= confirm * len(p) for p in notices])
 
-    def with_neighbours(lines: Column) -> Column:
-        def inside(i: Column) -> Column:
-            hot = lambda k: F.coalesce(F.get(lines, k)["hot"], F.lit(False))
-            return hot(i) | ((F.get(lines, i)["x"] != "") & hot(i - 1) & hot(i + 1))
+    held = F.array_intersect(pairs, _texts_of(set().union(*notices)))
+    return F.when(F.size(held) > 0, let(held, of_some)).otherwise(F.lit(False))
 
-        # lines of a run follow each other, everything else is a break; then the text is split at the breaks
-        joined = F.array_join(F.transform(lines, lambda x, i: F.when(
-            inside(i), F.concat(F.lit("\x1d"), i.cast("string"), F.lit("\x1d"), x["x"], F.lit("\x1c"))).otherwise(F.lit("\x1e"))), "")
-        runs = F.filter(F.split(joined, "\x1e"), lambda r: (F.length(F.regexp_replace(r, "[^\x1c]", "")) > 1))
-        whole = F.transform(runs, lambda r: F.struct(
-            F.regexp_extract(r, "^\x1d(\\d+)", 1).cast("long").alias("paragraph"),
-            F.trim(F.regexp_replace(r, "\x1d\\d+\x1d|\x1c", " ")).alias("line"), F.lit(True).alias("wrapped")))
-        single = F.filter(F.transform(lines, lambda x, i: F.struct(
-            F.when(x["hot"], i).cast("long").alias("paragraph"), x["x"].alias("line"), F.lit(False).alias("wrapped"))), lambda r: r["paragraph"].isNotNull())
-        return F.concat(single, whole)
 
-    return F.when(F.regexp_like(F.lower(text), F.lit(word)), let(marked, with_neighbours))
+def may_hold_notice(text: Column, confirm: float) -> Column:
+    """Whether a text has a key word or a pair of ``common_pairs``, also across a line break; others hold no paragraph."""
+    return F.regexp_like(F.lower(text), F.lit("|".join([_key_pattern(confirm), *(
+        rf"(?<![\p{{L}}\p{{N}}]){re.escape(a)}[^\p{{L}}\p{{N}}]+{re.escape(b)}(?![\p{{L}}\p{{N}}])" for a, b in sorted(common_pairs(confirm)))])))
+
+
+def _key_pattern(confirm: float) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, sorted(key_words(confirm), key=len, reverse=True)))})(?![\p{{L}}\p{{N}}])"
+
+
+def paragraphs_of(text: Column, confirm: float) -> Column:
+    """An array of (paragraph, last, hot, line): the numbers of the first and last line, whether a line has a key word, and the text.
+
+    They are all lines, and all runs of two or more lines, none blank, that can hold a notice: a run begins and ends at any line that has a
+    word pair of a notice in it, or one across the break that it adds. All but the last line of a run have fewer words (one at least for a line)
+    than two of the longest notices; a stretch without a blank line is a run as a whole as well. Row by row, without a shuffle.
+    """
+    notices = _pairs_of_notices()
+    span, known = 2 * max(map(len, notices)), _texts_of(set().union(*notices))
+    clean = F.transform(F.split(F.translate(text, "\x1c\x1d\x1e", "   "), "\n"), lambda x: F.regexp_replace(x, _EDGES, ""))
+    split = F.transform(clean, lambda x: F.struct(x.alias("x"), words_of(x).alias("w")))
+
+    def marked(lines: Column) -> Column:
+        def mark(line: Column, i: Column) -> Column:
+            after = F.get(lines, i + 1)["w"]
+            # a line without words carries the pair across on to the next one
+            open_ = (F.size(line["w"]) == 0) | (F.size(after) == 0) | F.array_contains(
+                known, F.concat_ws(" ", F.element_at(line["w"], -1), F.get(after, F.lit(0))))
+            return F.struct(line["x"].alias("x"), F.greatest(F.size(line["w"]), F.lit(1)).alias("n"),
+                            F.arrays_overlap(_grams(line["w"], 2), known).alias("inside"), F.coalesce(open_, F.lit(False)).alias("open"))
+        return F.transform(lines, mark)
+
+    def at(lines: Column) -> Column:
+        hot = lambda x: F.regexp_like(F.lower(x), F.lit(_key_pattern(confirm)))
+        single = F.transform(lines, lambda m, i: F.struct(
+            i.cast("long").alias("paragraph"), i.cast("long").alias("last"), hot(m["x"]).alias("hot"), m["x"].alias("line")))
+        begins = F.filter(F.transform(lines, lambda m, i: F.when((m["x"] != "") & (m["inside"] | m["open"]), i)), lambda i: i.isNotNull())
+
+        def from_(i: Column) -> Column:
+            def ends(near: Column) -> Column:
+                def fits(k: Column) -> Column:
+                    upto = F.slice(near, 1, k)
+                    return ((F.get(near, k)["inside"] | F.get(near, k - 1)["open"]) & (F.get(near, k)["x"] != "") & ~F.exists(upto, lambda m: m["x"] == "")
+                            & (F.aggregate(upto, F.lit(0), lambda n, m: n + m["n"]) < span))
+                places = F.filter(F.when(F.size(near) > 1, F.sequence(F.lit(1), F.size(near) - 1)).otherwise(F.array().cast("array<int>")), fits)
+                return F.transform(places, lambda k: F.struct(
+                    i.cast("long").alias("paragraph"), (i + k).cast("long").alias("last"), F.lit(False).alias("hot"),
+                    F.array_join(F.transform(F.slice(near, 1, k + 1), lambda m: m["x"]), " ").alias("line")))
+            return let(F.slice(lines, i + 1, span + 1), ends)
+
+        # whole stretches: the text is split at its blank lines
+        joined = F.array_join(F.transform(lines, lambda m, i: F.when(
+            m["x"] != "", F.concat(F.lit("\x1d"), i.cast("string"), F.lit("\x1d"), m["x"], F.lit("\x1c"))).otherwise(F.lit("\x1e"))), "")
+        count = lambda r: F.length(F.regexp_replace(r, "[^\x1c]", "")).cast("long")
+        first = lambda r: F.regexp_extract(r, "^\x1d(\\d+)", 1).cast("long")
+        whole = F.transform(F.filter(F.split(joined, "\x1e"), lambda r: count(r) > 1), lambda r: F.struct(
+            first(r).alias("paragraph"), (first(r) + count(r) - 1).alias("last"), F.lit(False).alias("hot"),
+            F.trim(F.regexp_replace(r, "\x1d\\d+\x1d|\x1c", " ")).alias("line")))
+        return F.concat(F.filter(single, lambda r: r["line"] != ""), F.flatten(F.transform(begins, from_)), whole)
+
+    return let(let(split, marked), at)
+
+
+def _paragraphs(docs: DataFrame, confirm: float) -> DataFrame:
+    """doc_id, row, paragraph, last, wrapped, line: the lines with a key word, and the lines and runs that hold enough of a notice."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    found = chosen.filter(may_hold_notice(F.col("text"), confirm)).select("doc_id", "row", F.explode(paragraphs_of(F.col("text"), confirm)).alias("p"))
+    rows = found.select("doc_id", "row", "p.*")
+    # the words are bound: split once, not for each pair
+    kept = rows.filter(F.col("hot") | let(words_of(F.col("line")), lambda w: holds_enough(_grams(w, 2), confirm)))
+    return kept.select("doc_id", "row", "paragraph", "last", (F.col("paragraph") < F.col("last")).alias("wrapped"), "line")
 
 
 def scan(docs: DataFrame, model: Model, confirm: float = 0.5) -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph (number of its first line, from 0), wrapped, family, probability, similarity, confirmed, line.
 
     A paragraph is a line of the text, or a run of lines (``paragraphs_of``; wrapped); a run gives no row where one of its own lines is confirmed in
-    the run's family. family is the licence class of highest score if the calibrated probability of a licence is one half or more,
+    the run's family, and of overlapping runs of a family the most similar one does. family is the licence class of highest score if the calibrated probability of a licence is one half or more,
     else 'unknown' (equal scores: the class that is listed first); paragraphs whose best class is no licence give no row. similarity is the largest share of a notice's
     word pairs that the paragraph holds, and confirmed says that it reaches confirm. Null and empty texts have no
     paragraphs; of a very long text each paragraph is scored on its own. Repeated rows give repeated result rows, null ids stay null, and extra columns are not read. The weights
     are broadcast: at most vocabulary times classes numbers.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = chosen.select("doc_id", F.monotonically_increasing_id().alias("row"), paragraphs_of(F.col("text"), key_words(confirm)).alias("p"))
-    # few rows are left here; they are written, so that their numbers stay what they are
-    lines = cut(found.select("doc_id", "row", F.explode("p").alias("p")).select("doc_id", "row", "p.*"))
+    # few rows are left here; they are written, so that their numbers stay what they are (a stretch as a whole may be one of the runs as well)
+    lines = cut(_paragraphs(docs, confirm).dropDuplicates(["row", "paragraph", "last"]))
     scored = lines.withColumn("words", words_of(F.col("line")))
     classes = len(model.classes)
     # One row for each gram with its weights as an array; a line's grams that have no weight drop out in the join.
     weights = spark.createDataFrame(
         [(g, [float(x) for x in model.matrix[:, i]]) for i, g in enumerate(model.grams)], "gram string, w array<double>")
-    key = ["row", "paragraph", "wrapped"]
+    key = ["row", "paragraph", "last"]
     grams = scored.select(*key, F.explode(F.array_distinct(grams_of(F.col("words")))).alias("gram"))
     sums = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*[
         (F.sum(F.get("w", F.lit(c))) + model.intercepts[c]).alias(f"z{c}") for c in range(classes)])
@@ -240,9 +311,17 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.5) -> DataFrame:
             each.append(F.size(F.array_intersect("pairs", template)) / F.greatest(F.size(template), F.lit(1)))
         similarity = F.when(F.col("best") == family, F.greatest(*each)).otherwise(similarity)
     judged = judged.withColumn("similarity", similarity).withColumn("confirmed", F.col("similarity") >= confirm)
-    # a run says nothing new where a line of the same text and family is confirmed by itself
-    own = judged.filter("confirmed and not wrapped").groupBy("row", "best").agg(F.lit(True).alias("alone"))
-    judged = judged.join(own, ["row", "best"], "left").filter(~F.col("wrapped") | (F.col("confirmed") & F.col("alone").isNull()))
+    lines, runs = judged.filter("not wrapped"), judged.filter("wrapped and confirmed")
+    # a run says nothing new where a line of its own is confirmed in its family
+    own = lines.filter("confirmed").select("row", "best", F.col("paragraph").alias("alone"))
+    runs = runs.join(own, (runs["row"] == own["row"]) & (runs["best"] == own["best"]) & own["alone"].between(runs["paragraph"], runs["last"]), "left_anti")
+    # of runs that overlap the most similar one stays, then the shortest, then the first
+    order = Window.partitionBy("row", "best").orderBy("paragraph", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(reach >= F.col("paragraph"), 0).otherwise(1)).withColumn("group", F.sum("new").over(order))
+    first = Window.partitionBy("row", "best", "group").orderBy(F.desc("similarity"), F.col("last") - F.col("paragraph"), "paragraph")
+    runs = runs.withColumn("place", F.row_number().over(first)).filter("place = 1")
+    judged = lines.unionByName(runs.select(*lines.columns))
     return judged.select(
         "doc_id", "paragraph", "wrapped", F.when(F.col("probability") >= 0.5, F.col("best")).otherwise(UNKNOWN).alias("family"),
         "probability", "similarity", "confirmed", "line")

@@ -123,3 +123,49 @@ def test_held_out_framings_are_told_apart(docs, model):
     found = {r.doc_id: r.family for r in rows if r.confirmed and r.family != "unknown"}
     assert sum(found.get(i) == f for i, (f, _) in enumerate(notices)) >= 0.95 * len(notices)
     assert not any(i >= 1000 for i in found)
+
+
+def test_notices_anywhere_in_a_run_of_lines(docs, model):
+    """Runs that begin, end or go on with lines without a key word, notices amid prose lines, and two families in one stretch."""
+    narrow = "\n".join(["# You should", "# have received", "# a copy", "# of the", "# GNU", "# General", "# Public", "# License", "# along with this", "# program."])
+    prose = "the river runs by the old tree\nand we talked about the weather"
+    amid = f"{prose}\nRedistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met\n{prose}"
+    both = ("This program is free software: you can redistribute it\nand/or modify it under the terms of the\nGNU General Public License as published by the\nFree Software Foundation\n"
+            "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met")
+    far = f"Licensed under the BSD 3-Clause License.\n\n{prose}\n\n{BSD}"
+    found = licenses.scan(docs([(1, narrow), (2, amid), (3, both), (4, far), (5, prose * 50)]), model).collect()
+    assert confirmed(found) == {(1, "GPL"), (2, "BSD"), (3, "GPL"), (3, "BSD"), (4, "BSD")}
+    (run,) = [r for r in found if r.doc_id == 2 and r.wrapped]
+    assert run.paragraph == 2 and run.similarity == 1 and run.line.endswith("conditions are met")
+    # a line that is confirmed does not hide a notice at another place of the text
+    assert sorted((r.paragraph, r.wrapped) for r in found if r.doc_id == 4 and r.confirmed) == [(0, False), (5, True)]
+
+
+def test_every_run_that_holds_enough_is_a_paragraph(docs):
+    """Against all runs of short texts."""
+    notices = licenses._pairs_of_notices()
+    every = set().union(*notices)
+    rng = random.Random(7)
+    words = [w for x in sorted(every)[::9] for w in x] + ["river", "tree", ".", "+"]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(2, 9)):
+            notice = rng.choice([n for ns in licenses.NOTICES.values() for n in ns]).split()
+            a = rng.randrange(len(notice))
+            lines.append(rng.choice([" ".join(notice[a:a + 6]), " ".join(rng.choices(words, k=3)), rng.choice(["", "."])]))
+        texts.append(lines)
+    got = {(r.doc_id, r.paragraph, r.last) for r in licenses._paragraphs(docs(list(enumerate(map("\n".join, texts)))), 0.5).collect()}
+    for t, lines in enumerate(texts):
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                w = licenses.plain_words(" ".join(lines[i:j + 1]))
+                held = set(zip(w, w[1:])) & every
+                if "" in lines[i:j + 1]:
+                    assert (t, i, j) not in got
+                elif any(len(held & p) >= 0.5 * len(p) for p in notices):
+                    # itself, or a run within it that holds the same pairs
+                    inner = [licenses.plain_words(" ".join(lines[a:b + 1])) for d, a, b in got if d == t and i <= a and b <= j]
+                    assert any(held <= set(zip(x, x[1:])) for x in inner), (lines, i, j)
+                elif i < j:
+                    assert (t, i, j) not in got
