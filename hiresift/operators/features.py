@@ -12,14 +12,25 @@ from hiresift.session import cut
 from hiresift.sources.versions import Versions
 
 
-def document_terms(docs: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
-    """(id, term): one row per word and per pair of neighbours, after stop words are dropped."""
-    words = F.filter(long_words(text), lambda w: ~w.isin(stop_words))
-    rest = F.slice("words", 2, F.greatest(F.size("words"), F.lit(1)))
-    pairs = F.zip_with("words", rest, lambda a, b: F.concat(a, F.lit(" "), b))
-    # the last word has no right neighbour, which makes its pair null
-    terms = F.explode(F.concat("words", F.array_compact(pairs)))
-    return docs.select("id", words.alias("words")).select("id", terms.alias("term"))
+# So many terms may stand as literals in a plan.
+LITERALS = 5000
+
+
+def document_words(docs: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
+    """id and words: the words of each text in their order, without stop words."""
+    return docs.select("id", F.filter(long_words(text), lambda w: ~w.isin(stop_words)).alias("words"))
+
+
+def _pairs(words: str, among: list[str] | None = None) -> Column:
+    """Pairs of neighbours, of the given words only."""
+    rest = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+    def pair(a: Column, b: Column) -> Column:
+        # the last word has no right neighbour, which makes its pair null
+        both = F.concat(a, F.lit(" "), b)
+        return both if among is None else F.when(a.isin(among) & b.isin(among), both)
+
+    return F.array_compact(F.zip_with(words, rest, pair))
 
 
 def tfidf_vocabulary(
@@ -27,8 +38,8 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """term, n, df, idf of the most frequent terms, ties by name.
 
-    Occurrences are counted per task first, so only (term, count) pairs are shuffled. Document
-    frequencies are counted for the chosen terms alone.
+    Occurrences are counted per task first, so only (term, count) pairs are shuffled, and pairs of frequent words alone (``_fit``).
+    Document frequencies are counted for the chosen terms alone.
     """
     return _fit(jobs, max_features, stop_words)[0]
 
@@ -49,11 +60,17 @@ def weights_of(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _fit(jobs: DataFrame, max_features: int, stop_words: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """The vocabulary, and (id, term, n) of its terms. Texts are read twice: for the terms, and for the counts of the chosen ones."""
-    occurrences = _occurrences(jobs, stop_words)
-    total = occurrences.groupBy("term").agg(F.count("*").alias("total"))
+    """The vocabulary, and (id, term, n) of its terms. Texts are split once, and their words are written.
+
+    A pair is no more frequent than its words, so where enough words are more frequent than a word, none of its pairs is
+    among the most frequent terms: only pairs of frequent words are counted.
+    """
+    words = cut(_words(jobs, stop_words))
+    singles = cut(words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("total")))
+    pairs = words.select(F.explode(_pairs("words", _frequent(singles, max_features))).alias("term"))
+    total = singles.unionByName(pairs.groupBy("term").agg(F.count("*").alias("total")))
     top = cut(total.orderBy(F.desc("total"), "term").limit(max_features))
-    counts = cut(_term_counts(occurrences, top))
+    counts = cut(_term_counts(words, top))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((1 + F.col("size")) / (1 + F.col("df"))) + 1
     size = jobs.agg(F.count("*")).scalar()
@@ -61,15 +78,34 @@ def _fit(jobs: DataFrame, max_features: int, stop_words: list[str] | None) -> tu
     return vocabulary, counts
 
 
-def _occurrences(jobs: DataFrame, stop_words: list[str] | None) -> DataFrame:
+def _frequent(singles: DataFrame, max_features: int) -> list[str] | None:
+    """The words that may stand in one of the most frequent terms; None if all may, or if they are more than LITERALS."""
+    first = singles.orderBy(F.desc("total")).limit(max_features).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+    if first.n < max_features:
+        return None
+    found = singles.where(F.col("total") >= first.least).select("term").limit(LITERALS + 1).collect()
+    return [r.term for r in found] if len(found) <= LITERALS else None
+
+
+def _words(jobs: DataFrame, stop_words: list[str] | None) -> DataFrame:
     text = combined_text(F.col("title"), F.col("description"), F.col("tags"))
-    stop_words = STOP_WORDS if stop_words is None else stop_words
-    return document_terms(jobs, text, stop_words)
+    return document_words(jobs, text, STOP_WORDS if stop_words is None else stop_words)
 
 
-def _term_counts(occurrences: DataFrame, top: DataFrame) -> DataFrame:
-    chosen = occurrences.join(F.broadcast(top.select("term")), "term", "left_semi")
-    return chosen.groupBy("id", "term").agg(F.count("*").alias("n"))
+def _term_counts(words: DataFrame, top: DataFrame) -> DataFrame:
+    """(id, term, n) of the terms of a vocabulary. A small one is looked up before there is a row for each term."""
+    chosen = [r.term for r in top.select("term").limit(LITERALS + 1).collect()]
+    if len(chosen) > LITERALS:
+        terms = words.select("id", F.explode(F.concat("words", _pairs("words"))).alias("term")).join(top.select("term"), "term", "left_semi")
+    else:
+        plain = [t for t in chosen if " " not in t]
+        pairs = [t for t in chosen if " " in t]
+        among = sorted({w for t in pairs for w in t.split(" ")})
+        of = F.filter("words", lambda t: t.isin(plain))
+        if pairs:
+            of = F.concat(of, F.filter(_pairs("words", among), lambda t: t.isin(pairs)))
+        terms = words.select("id", F.explode(of).alias("term"))
+    return terms.groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 def skill_onehot(jobs: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
@@ -150,7 +186,7 @@ class FeatureModel:
         content = self.versions.last()[1]
         terms = self.vocabulary()
         if counts is None:
-            counts = _term_counts(_occurrences(jobs, content["stop_words"]), terms)
+            counts = _term_counts(_words(jobs, content["stop_words"]), terms)
         weights = weights_of(counts, terms).join(F.broadcast(terms.select("term", "pos")), "term")
         rows = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("w"))
         out = salary_scaled(jobs.select("id", *SALARIES), self.bounds()).select("id", *[f"{c}_scaled" for c in SALARIES])

@@ -215,6 +215,20 @@ def test_job_type_columns(spark):
     assert features.jobtype_dummies(jobs.select("id", "job_type"), ["x"]).columns == ["id", "type_x"]
 
 
+def test_only_pairs_of_frequent_words_are_counted(spark):
+    """The vocabulary against a count of all terms; rare words are no part of a pair that is looked at."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["red tree", "blue", "stone", "wall", f"rare{rng.randrange(400)}"]) for _ in range(12)) for _ in range(80)]
+    jobs = spark.createDataFrame([(i, "", t, "") for i, t in enumerate(texts)], "id long, title string, description string, tags string")
+    every = Counter(t for x in texts for w in [x.split()] for t in [*w, *map(" ".join, zip(w, w[1:]))])
+    best = sorted(every.items(), key=lambda e: (-e[1], e[0]))
+    for size in (1, 4, 8, 20, 10_000):
+        assert {(r.term, r.n) for r in features.tfidf_vocabulary(jobs, size).collect()} == set(best[:size])
+    singles = spark.createDataFrame([(w, n) for w, n in every.items() if " " not in w], "term string, total long")
+    assert sorted(features._frequent(singles, 4)) == sorted(w for w, n in every.items() if " " not in w and n >= sorted((m for x, m in every.items() if " " not in x))[-4])
+    assert features._frequent(singles, 10_000) is None
+
+
 def test_later_postings_are_transformed_by_the_stored_fit(spark):
     first = jobs_frame(spark, [{"id": 1, "description": "spark the spark", "salary_min": 10.0, "salary_max": 10.0},
                                {"id": 2, "description": "spark sql", "salary_min": 20.0, "salary_max": 10.0}])
