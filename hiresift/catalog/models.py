@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hiresift import schema as S
 from hiresift.catalog.base import JOBS, KEYED, category, city, company, ctes, jobs_fx, query, quote, table, tag_list, tech, title
 from hiresift.catalog.aggregates import TOP_SKILL
-from hiresift.catalog.scans import BOW, DOCS, FLAT, NEW_ROWS, NO_TITLE, PAYLOADS, SPLIT_DAY, TOKS, as_jobs
+from hiresift.catalog.scans import BOW, DOCS, FLAT, NEW_ROWS, NO_TITLE, SPLIT_DAY, TOKS, all_payloads, as_jobs
 from hiresift.dims import DEFAULT, STOP_WORDS
 from hiresift.functions.skills import onehot_name
 from hiresift.functions.text import assign_category, model_text, model_text_no_title
@@ -469,10 +469,9 @@ astored AS (SELECT * FROM afirsts WHERE c = '' OR t = ''
 
 
 def _land_payloads(spark, jobs, folder):
-    """One file for each page of each feed, as a fetcher would land them."""
-    for feed, payload in PAYLOADS.items():
-        pages = payload(jobs, 1000).select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
-        pages.repartition("page").write.partitionBy("page").text(f"{folder}/feed={feed}")
+    """One compressed file for each page of each feed, as a fetcher would land them."""
+    pages = all_payloads(jobs, 1000).select("feed", F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
+    pages.write.partitionBy("feed", "page").option("compression", "snappy").text(folder)
 
 
 @query("stream_ingest", ctes(JOBS, _ARRIVED) + f"""

@@ -20,70 +20,100 @@ def as_jobs(spark, sf_dir):
     return jobs_fx(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
-def _pages(jobs, item, wrap, size):
+def _page(id_, size):
+    return F.floor(id_ / size).alias("page")
+
+
+def _pages(jobs, feed, size):
     """Payload texts of up to ``size`` postings each, as a feed would land them."""
-    rows = jobs.select("id", F.floor(F.col("id") / size).alias("page"), item.alias("item"))
+    item, wrap = PAGES[feed]
+    rows = jobs.select("id", _page(F.col("id"), size), item(jobs).alias("item"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda r: r["item"])
     return rows.groupBy("page").agg(F.to_json(wrap(items)).alias("payload"))
 
 
+def all_payloads(jobs, size=PAGE):
+    """page, feed, payload of all feeds: postings meet on their page once, and every feed's payload is made of them there."""
+    row = F.struct("id", *[c for c in jobs.columns if c in _USED])
+    pages = jobs.select(_page(F.col("id"), size), row.alias("row")).groupBy("page").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    payloads = [F.struct(F.lit(feed).alias("feed"), F.to_json(wrap(F.transform("rows", item))).alias("payload"))
+                for feed, (item, wrap) in PAGES.items()]
+    return pages.select("page", F.inline(F.array(*payloads)))
+
+
 def _names(texts):
     return F.transform(texts, lambda t: F.struct(t.alias("name")))
 
 
-def payload_a(jobs, size=PAGE):
-    item = F.struct(
-        F.col("id").cast("string").alias("id"), F.col("title").alias("position"), "company", "description",
-        F.when(F.col("location") != "", F.col("location")).alias("location"), "apply_url",
-        F.col("date_posted").alias("date"),
-        F.when(F.col("tags") != "", F.split("tags", ", ")).alias("tags"), "salary_min", "salary_max",
+# The items of a page; r is a posting, as a row of a table or as a struct.
+
+
+def _fields(r, **named):
+    return F.struct(*[(r[c] if isinstance(c, str) else c).alias(name) for name, c in named.items()])
+
+
+def _filled(r, name, then=None):
+    return F.when(r[name] != "", r[name] if then is None else then)
+
+
+def _item_a(r):
+    return _fields(
+        r, id=r["id"].cast("string"), position="title", company="company", description="description",
+        location=_filled(r, "location"), apply_url="apply_url", date="date_posted",
+        tags=_filled(r, "tags", F.split(r["tags"], ", ")), salary_min="salary_min", salary_max="salary_max",
     )
+
+
+def _wrap_a(items):
     notice = F.struct(F.lit("notice").alias("id"), *[
         F.lit(None).cast(t).alias(n) for n, t in (
             ("position", "string"), ("company", "string"), ("description", "string"), ("location", "string"),
             ("apply_url", "string"), ("date", "string"), ("tags", "array<string>"),
             ("salary_min", "double"), ("salary_max", "double"))
     ])
-    return _pages(jobs, item, lambda items: F.concat(F.array(notice), items), size)
+    return F.concat(F.array(notice), items)
 
 
-def payload_b(jobs, size=PAGE):
-    item = F.struct(
-        F.col("id").cast("string").alias("slug"), "title", F.col("company").alias("company_name"),
-        "description", "location", F.col("apply_url").alias("url"),
-        (F.col("job_type") == "remote").alias("remote"),
-        F.when(F.col("tags") != "", F.split("tags", ", ")).alias("tags"),
-        (F.col("id") + 1_700_000_000).alias("created_at"),
+def _item_b(r):
+    return _fields(
+        r, slug=r["id"].cast("string"), title="title", company_name="company", description="description",
+        location="location", url="apply_url", remote=r["job_type"] == "remote",
+        tags=_filled(r, "tags", F.split(r["tags"], ", ")), created_at=r["id"] + 1_700_000_000,
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("data")), size)
 
 
-def payload_c(jobs, size=PAGE):
-    item = F.struct(
-        "id", F.col("title").alias("name"), F.col("description").alias("contents"),
-        F.col("job_type").alias("type"), F.col("date_posted").alias("publication_date"),
-        F.when(F.col("tags") != "", _names(F.split("tags", ", "))).alias("categories"),
-        F.when(F.col("location") != "", _names(F.array("location", F.lit("Elsewhere")))).alias("locations"),
-        F.struct(F.col("company").alias("name")).alias("company"),
-        F.struct(F.col("apply_url").alias("landing_page")).alias("refs"),
+def _item_c(r):
+    return _fields(
+        r, id="id", name="title", contents="description", type="job_type", publication_date="date_posted",
+        categories=_filled(r, "tags", _names(F.split(r["tags"], ", "))),
+        locations=_filled(r, "location", _names(F.array(r["location"], F.lit("Elsewhere")))),
+        company=_fields(r, name="company"), refs=_fields(r, landing_page="apply_url"),
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("results")), size)
-
-
-def payload_d(jobs, size=PAGE):
-    item = F.struct(
-        F.col("id").cast("string").alias("id"), "title", "description",
-        F.col("job_type").alias("contract_time"), F.col("apply_url").alias("redirect_url"),
-        F.col("date_posted").alias("created"), F.nullif("salary_min", F.lit(0.0)).alias("salary_min"),
-        F.nullif("salary_max", F.lit(0.0)).alias("salary_max"),
-        F.struct(F.col("tags").alias("label")).alias("category"),
-        F.struct(F.col("company").alias("display_name")).alias("company"),
-        F.struct(F.col("location").alias("display_name")).alias("location"),
+
+
+def _item_d(r):
+    return _fields(
+        r, id=r["id"].cast("string"), title="title", description="description", contract_time="job_type",
+        redirect_url="apply_url", created="date_posted", salary_min=F.nullif(r["salary_min"], F.lit(0.0)),
+        salary_max=F.nullif(r["salary_max"], F.lit(0.0)), category=_fields(r, label="tags"),
+        company=_fields(r, display_name="company"), location=_fields(r, display_name="location"),
     )
-    return _pages(jobs, item, lambda items: F.struct(items.alias("results")), size)
 
 
-PAYLOADS = {"a": payload_a, "b": payload_b, "c": payload_c, "d": payload_d}
+def _results(items):
+    return F.struct(items.alias("results"))
+
+
+# Feed name -> (item of a posting, payload of the items).
+PAGES = {"a": (_item_a, _wrap_a), "b": (_item_b, lambda items: F.struct(items.alias("data"))), "c": (_item_c, _results), "d": (_item_d, _results)}
+_USED = ("title", "company", "description", "location", "job_type", "salary_min", "salary_max", "tags", "apply_url", "date_posted")
+
+
+def _payload(feed):
+    return lambda jobs, size=PAGE: _pages(jobs, feed, size)
+
+
+PAYLOADS = {feed: _payload(feed) for feed in PAGES}
 
 _ALL = "lower(concat(coalesce(title, ''), ' ', tg, ' ', coalesce(description, '')))"
 _SRC = "(SELECT *, coalesce(tags, '') AS tg FROM jobs_fx) j"

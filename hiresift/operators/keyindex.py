@@ -27,10 +27,13 @@ def _dealt(key: Column, buckets: int) -> list[Column]:
     return [hash_.alias("_hash"), key.alias("_key"), F.pmod(hash_, F.lit(buckets)).cast("int").alias("_bucket")]
 
 
+def size_of(description: Column) -> Column:
+    return F.length(F.coalesce(description, F.lit(""))).cast("long")
+
+
 def index_rows(keyed: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Entries for postings with id, job_id, dkey and description; rows without the key have none."""
-    size = F.length(F.coalesce("description", F.lit(""))).cast("long")
-    rows = keyed.select(*_dealt(key_of(kind), buckets), "id", size.alias("size")).where("_key is not null")
+    """Entries for postings with id, job_id, dkey and size; rows without the key have none."""
+    rows = keyed.select(*_dealt(key_of(kind), buckets), "id", "size").where("_key is not null")
     return laid_out(rows.select(F.col("_hash").alias("hash"), F.col("_key").alias("key"), "id", "size", F.col("_bucket").alias("bucket")))
 
 

@@ -120,14 +120,18 @@ def feed_rejects(payloads: DataFrame, feed: str) -> DataFrame:
     "not json": the text is null or broken; "no list": it is JSON but its list of postings is missing or of
     another kind. An empty list is a page without postings, and no reject.
     """
+    return payloads.where(_listed(feed).isNull()).withColumn("reason", _reason())
+
+
+def _listed(feed: str) -> Column:
+    """The list of postings of a payload, null without one."""
     page = F.from_json("payload", FEEDS[feed][0])
-    if feed == "a":
-        # a lone object would pass as a list of one
-        listed = F.when(F.col("payload").rlike(r"^\s*\["), page)
-    else:
-        listed = page[FEEDS[feed][0].names[0]]
-    reason = F.when(F.get_json_object("payload", "$").isNull(), F.lit("not json")).otherwise(F.lit("no list"))
-    return payloads.where(listed.isNull()).withColumn("reason", reason)
+    # a lone object would pass as a list of one
+    return F.when(F.col("payload").rlike(r"^\s*\["), page) if feed == "a" else page[FEEDS[feed][0].names[0]]
+
+
+def _reason() -> Column:
+    return F.when(F.get_json_object("payload", "$").isNull(), F.lit("not json")).otherwise(F.lit("no list"))
 
 
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -156,12 +160,13 @@ def arrivals(payloads: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
 
 def all_rejects(payloads: DataFrame) -> DataFrame:
     """Rejected payloads of all feeds: feed, file, payload, reason; those of a feed that is not known as well."""
-    strange = payloads.where(~F.col("feed").isin(list(FEEDS))).withColumn("reason", F.lit("no such feed"))
-    out = strange.select("feed", "file", "payload", "reason")
+    # in one pass: a payload is parsed as one of its own feed
+    broken = F.lit(False)
     for feed in FEEDS:
-        part = feed_rejects(payloads.where(F.col("feed") == feed), feed)
-        out = out.unionByName(part.select("feed", "file", "payload", "reason"))
-    return out
+        broken = F.when(F.col("feed") == feed, _listed(feed).isNull()).otherwise(broken)
+    known = F.col("feed").isin(list(FEEDS))
+    reason = F.when(~known, F.lit("no such feed")).otherwise(_reason())
+    return payloads.where(~known | broken).select("feed", "file", "payload", reason.alias("reason"))
 
 
 def union_feeds(postings: dict[str, DataFrame]) -> DataFrame:

@@ -23,6 +23,29 @@ KINDS = ("job", "dup")
 COLUMNS = [f.name for f in S.JOBS.fields]
 
 
+# So many numbers of new postings may be broadcast, in words of 64 rows: 8 bytes each, and 32 for a word.
+MOST_MARKS = 1 << 22
+
+
+def marked(rows: DataFrame, chosen: DataFrame, most: int = MOST_MARKS) -> DataFrame:
+    """The rows whose number ``_row`` is among the chosen ones, with their id; chosen (_row, id) is a written table.
+
+    One bit tells of each row whether it stays, and the ids of those that stay lie beside the bits, so no text travels here.
+    More than ``most`` chosen numbers meet the rows in a join.
+    """
+    if chosen.count() > most:
+        return rows.join(chosen.select("_row", "id"), "_row")
+    one, place = F.lit(1).cast("long"), (F.col("_row") % 64).cast("int")
+    bit = F.call_function("shiftleft", one, place)
+    word = F.floor(F.col("_row") / 64).alias("_word")
+    words = chosen.groupBy(word).agg(
+        F.bit_or(bit).alias("_bits"), F.transform(F.array_sort(F.collect_list(F.struct("_row", "id"))), lambda r: r["id"]).alias("_ids"))
+    met = rows.select("*", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    below = F.bitwise_not(F.call_function("shiftleft", -one, place))
+    earlier = F.bit_count(F.col("_bits").bitwiseAND(below))
+    return met.select(*rows.columns, F.get("_ids", earlier).alias("id"))
+
+
 class PostingTable:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = keyindex.BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder, buckets
@@ -63,17 +86,18 @@ class PostingTable:
         def work(content: dict) -> dict:
             if content:
                 raise ValueError(f"{self.folder} holds postings already; append to it")
-            return self._added({"buckets": self.buckets, "next": 1, "seen": {}}, cut(with_key(rows)))
+            keyed = cut(with_key(rows).withColumn("size", keyindex.size_of(F.col("description"))))
+            return self._added({"buckets": self.buckets, "next": 1, "seen": {}}, keyed, keyed)
         return self.versions.change(work)[0]
 
-    def _added(self, content: dict, keyed: DataFrame) -> dict:
-        """The content with these rows, which have id and dkey, and their entries."""
-        top = keyed.agg(F.max("id")).first()[0]
+    def _added(self, content: dict, rows: DataFrame, keys: DataFrame) -> dict:
+        """The content with these rows and their entries; keys, a written table, has id, job_id, dkey and size of the same rows."""
+        top = keys.agg(F.max("id")).first()[0]
         if top is None:
             return content
-        more = {"rows": self._write_rows(keyed)}
+        more = {"rows": self._write_rows(rows)}
         for kind in KINDS:
-            more[kind] = [self.versions.write(kind, keyindex.index_rows(keyed, kind, content["buckets"]), "bucket")]
+            more[kind] = [self.versions.write(kind, keyindex.index_rows(keys, kind, content["buckets"]), "bucket")]
         return content | {k: [*content.get(k, []), *paths] for k, paths in more.items()} | {"next": max(content["next"], top + 1)}
 
     def append(
@@ -94,18 +118,22 @@ class PostingTable:
             if content["seen"].get(stream, -1) >= number:
                 return None
             if not made:  # once, also where another writer is faster
-                made.append(cut(with_key(batch.withColumn("_at", F.struct(*order)))))
-                arrived = made[0].select("_at", "job_id", "dkey")
+                keyed = with_key(batch).select(
+                    F.struct(*order).alias("_at"), "dkey", keyindex.size_of(F.col("description")).alias("size"),
+                    *[f.name for f in S.POSTING.fields], loaded_at.alias("created_at"))
+                made.append(cut(keyed.withColumn("_row", F.monotonically_increasing_id()), codec="zstd"))  # the whole texts
+                arrived = made[0].select("_row", "_at", "job_id", "dkey", "size")
                 # numbers that the rows carry need no counting
-                made.append(arrived.withColumn("_seq", F.col(f"_at.{ids}")) if ids else cut(numbered(arrived, "_seq", 1, "_at")))
+                arrived = arrived.withColumn("_seq", F.col(f"_at.{ids}")) if ids else cut(numbered(arrived, "_seq", 1, "_at"))
+                made.append(arrived.drop("_at"))
             rows, keys = made
             fresh = keys
             for kind in KINDS if content.get("rows") else ():
                 fresh = keyindex.unknown(fresh, kind, self.index(kind, content), content["buckets"])
-            first = keys.join(first_of_two_keys(fresh, "_seq"), "_seq", "left_semi").select("_seq", "_at")
-            chosen = first.withColumn("id", F.col(f"_at.{ids}")) if ids else numbered(first, "id", content["next"], "_seq")
-            new = rows.select("_at", "dkey", *[f.name for f in S.POSTING.fields], loaded_at.alias("created_at"))
-            content = self._added(content, cut(new.join(chosen.select("_at", "id"), "_at").drop("_at")))
+            first = keys.join(first_of_two_keys(fresh, "_seq"), "_seq", "left_semi")
+            # from here on the keys of the new postings are enough, but for the rows that are stored
+            chosen = cut(first.withColumn("id", F.col("_seq")) if ids else numbered(first, "id", content["next"], "_seq"))
+            content = self._added(content, marked(rows, chosen), chosen)
             if rejects is not None:
                 content = content | {"rejects": [*content.get("rejects", []), self.versions.write("rejects", rejects)]}
             return content | {"seen": content["seen"] | {stream: number}}

@@ -8,12 +8,13 @@ import random
 from pyspark.sql import functions as F
 
 from hiresift import schema as S
+from hiresift.catalog import scans
 from hiresift.operators import dedup, drift, keyindex, nb, order
 from hiresift.session import work_path
 from hiresift.sources import feeds
 from hiresift.sources.versions import Versions
 from hiresift.streaming import incremental
-from hiresift.streaming.postings import PostingTable
+from hiresift.streaming.postings import PostingTable, marked
 
 
 def plan_of(df):
@@ -106,6 +107,46 @@ def test_replayed_batch_changes_nothing(spark):
     assert [r.id for r in table.rows().orderBy("id").collect()] == list(range(1, 11))
 
 
+def test_marks_choose_rows_and_carry_ids(spark):
+    rng = random.Random(7)
+    rows = spark.range(0, 3000, 1, 5).select(F.monotonically_increasing_id().alias("_row"), F.concat(F.lit("text "), "id").alias("x")).localCheckpoint()
+    for share in (0.0, 0.01, 0.5, 1.0):
+        picked = [(r._row, r.x) for r in rows.collect() if rng.random() < share]
+        ids = rng.sample(range(10**6), len(picked))
+        chosen = spark.createDataFrame([(r, i) for (r, _), i in zip(picked, ids)], "_row long, id long")
+        few, many = marked(rows, chosen), marked(rows, chosen, most=-1)
+        want = sorted((r, x, i) for (r, x), i in zip(picked, ids))
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+
+
+def test_texts_of_known_postings_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("pos"), *[
+        {"job_id": F.concat(F.lit("j"), F.col("id")), "title": F.lit("Cook"), "company": F.lit("Firm"), "location": F.lit("Here"),
+         "source": F.lit("s"), "description": F.col("id").cast("string")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.POSTING.fields])
+    table, plans = PostingTable(spark, work_path(spark, "few"), buckets=4), []
+    write = table._write_rows
+    monkeypatch.setattr(table, "_write_rows", lambda new: plans.append(plan_of(new)) or write(new))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table.append(rows, ["pos"], "s", 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.id, r.job_id, r.description) for r in table.rows().collect()] == [(1, "j0", "0")]
+    assert [(r.key, r.id, r.size) for r in table.index("job").collect()] == [("j0", 1, 1)]
+    assert "SortMergeJoin" not in plans[0] and "description" not in "".join(x for x in plans[0].splitlines() if "Exchange" in x)
+
+
+def test_feeds_are_landed_from_one_shuffle(spark):
+    rows = [{"id": i, "title": f"t{i}", "company": None if i % 3 else "c", "description": "d" * i, "location": "" if i % 2 else "Here", "job_type": "remote",
+             "salary_min": float(i % 4), "salary_max": 5.0, "tags": ["a, b", "", None][i % 3], "apply_url": "u", "date_posted": "2026"} for i in range(25)]
+    base = dict.fromkeys([f.name for f in S.JOBS.fields])
+    jobs = spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], S.JOBS)
+    landed = scans.all_payloads(jobs, 10)
+    assert plan_of(landed).count("Exchange") == 1
+    want = {(f, r.page, r.payload) for f, payload in scans.PAYLOADS.items() for r in payload(jobs, 10).collect()}
+    assert {(r.feed, r.page, r.payload) for r in landed.collect()} == want and len(want) == 12
+
+
 def test_batches_equal_the_plain_loop(spark):
     rng = random.Random(4)
     table = PostingTable(spark, work_path(spark, "loop"), buckets=8)
