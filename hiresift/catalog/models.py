@@ -471,7 +471,7 @@ astored AS (SELECT * FROM afirsts WHERE c = '' OR t = ''
 def _land_payloads(spark, jobs, folder):
     """One compressed file for each page of each feed, as a fetcher would land them."""
     pages = all_payloads(jobs, 1000).select("feed", F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), "payload")
-    pages.write.partitionBy("feed", "page").option("compression", "snappy").text(folder)
+    pages.write.partitionBy("feed", "page").options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(folder)
 
 
 @query("stream_ingest", ctes(JOBS, _ARRIVED) + f"""
