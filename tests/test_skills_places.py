@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hiresift.dims import DEFAULT, PHONE, Dims
+from hiresift.dims import AMBIGUOUS, DEFAULT, HINTS, PHONE, Dims
 from hiresift.functions import places, resume, skills
 from tests.helpers import column
 
@@ -40,6 +40,18 @@ def test_no_text_no_skills(found):
     assert found[""] == [] and found[None] == []
 
 
+def test_hints_lose_no_context(spark):
+    rng = random.Random(13)
+    some = ["Go", "go", "GO", "golang", "GoLang", "R", "r", "R2", "Ray", "ray", "serve", "LLM", "agents", "AGENTIC", "agent", "framework", "Node", "node", "node.js", "NodeJS", "js",
+            "developer", "in", "with", "and", "language", "to", ",", ", ", ";", "/", "(", ")", ".", " ", " ", "\u00a0", "\n", "\t", "é", "x"]
+    texts = [("".join(rng.choice(some) for _ in range(rng.randint(1, 9))),) for _ in range(3000)]
+    never = Dims(ambiguous={s: [*ps, "(?!)"] for s, ps in AMBIGUOUS.items()})  # other patterns, so no hints
+    for skill in AMBIGUOUS:
+        fast, plain = (column(spark, texts, "x string", lambda d=d: skills.hits_context(F.col("x"), skill, d)) for d in (DEFAULT, never))
+        assert fast == plain and any(fast)
+    assert set(HINTS) == set(AMBIGUOUS)
+
+
 def test_one_scan_equals_one_regex_per_skill(spark):
     rng = random.Random(7)
     words = ["aws", "AWS", "lambda", "s3", "azure", "ml", "github", "actions", "ci/cd", "a/b", "testing", "c++", "c", "git",

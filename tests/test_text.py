@@ -21,6 +21,18 @@ def test_strip_html(spark, raw, expected):
     assert one(spark, raw, T.strip_html) == expected
 
 
+def test_fast_patterns_equal_plain_ones(spark):
+    rng = random.Random(11)
+    some = [" ", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "\x00", "a", "Z", "é", "ß", "9", "٣", "_", ".", ",", "!", "?", "-", "~", "#", "€", "\U0001f600", "字"]
+    texts = [("".join(rng.choice(some) for _ in range(rng.randint(0, 25))),) for _ in range(600)]
+    plain_runs, plain_rest = f"[{T.SPACE}]+", f"[^{T.WORD}{T.SPACE}.,!?-]"
+    for fast, plain in ((T.RUNS, plain_runs), (T.UNKEPT, plain_rest)):
+        got, want = (column(spark, texts, "x string", lambda r=r: F.regexp_replace("x", r, " ")) for r in (fast, plain))
+        assert got == want
+    # single spaces, which are most, are not replaced by themselves
+    assert one(spark, "a b, c d", lambda x: F.regexp_count(x, F.lit(T.RUNS))) == 0
+
+
 def test_clean_text_drops_symbols_and_is_idempotent(spark):
     once = one(spark, "<b>C++</b> & C#: ci/cd, Zürich (now)!", T.clean_text)
     assert once == "C C ci cd, Zürich now !"
