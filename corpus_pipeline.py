@@ -7,16 +7,29 @@ the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm import decontam, jaccard, language, quality
 from hiresift.llm.queries import packed_pieces, quality_model, shipped
-from hiresift.session import cut, forget, scope
+from hiresift.session import cut, forget, scope, small_batches
 
 SURE = 0.2
 
 
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage with its texts in small Arrow batches, as executors keep the workers and buffers of all stages."""
+    @wraps(stage)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, *args)
+    return run
+
+
+@lean
 @shipped
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts."""
@@ -24,6 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, carry=True).filter("predicted = 1").select("row.*")
 
 
+@lean
 @shipped
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not 'und', and a score of SURE or more."""
@@ -32,12 +46,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select("row.*")
 
 
+@lean
 @shipped
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (``jaccard.without_repeats``)."""
     return jaccard.without_repeats(docs)
 
 
+@lean
 @shipped
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
@@ -45,6 +61,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.filter("not contaminated").select("row.*")
 
 
+@lean
 @shipped
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences."""

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import bind, slices
+from hiresift.llm.common import SLICE_CHARS, bind
 from hiresift.llm.tokens import encoder
 from hiresift.session import cut
 
 # About so many characters are packed together, which bounds a task's memory.
 GROUP_CHARS = 32_000_000
+# So many ids leave a task in one Arrow batch, or one sequence.
+BATCH_TOKENS = 1 << 18
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, padded_tokens long")
 
@@ -86,56 +88,75 @@ def plan(sizes: list[int], room: int, min_cut: int) -> list[list[tuple[int, int,
     return full + [b for b in bins if b]
 
 
-def _padded(size: int, room: int) -> int:
-    return size if size & (size - 1) == 0 else room
-
-
-def _pack_run(run: list[tuple[int | None, str | None]], base: int, path: str, room: int, end_id: int,
-              min_cut: int) -> pa.RecordBatch:
-    """Sequences numbered from base of the documents of a run."""
-    docs = [d for d, _ in run]
-    ids = []
-    for _, texts in slices(t for _, t in run):
-        flat, counts = encoder(path).encode(texts)
-        at = 0
-        for n in counts.tolist():
-            ids.append(np.append(flat[at:at + n], np.uint32(end_id)).astype("<u4"))
-            at += n
-    rows = []
-    for number, pieces in enumerate(plan([len(x) for x in ids], room, min_cut)):
-        offset, total = 0, sum(p[2] for p in pieces)
-        for d, start, size in pieces:
-            rows.append((docs[d], start, size, ids[d][start:start + size].tobytes(), len(ids[d]), base + number,
-                         offset, total, _padded(total, room)))
+def _rows(pieces: list[tuple[int, ...]], docs: list[int | None], lengths: np.ndarray, ids: np.ndarray, room: int) -> pa.RecordBatch:
+    """Rows of pieces (document, start, length, sequence, offset, tokens of the sequence); ids are those of all documents in turn."""
+    at, start, size, number, offset, total = np.array(pieces, np.int64).T
+    first = (np.cumsum(lengths) - lengths)[at] + start
+    flat = np.concatenate([ids[a:a + n] for a, n in zip(first.tolist(), size.tolist())])
+    ends = np.append(0, np.cumsum(size * 4)).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    padded = np.where(total & (total - 1) == 0, total, room)
+    columns = [pa.array([docs[d] for d in at.tolist()], pa.int64()), pa.array(start), pa.array(size), packed, pa.array(lengths[at]),
+               pa.array(number), pa.array(offset), pa.array(total), pa.array(padded)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _pack_run(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray, sequences: list[list[tuple[int, int, int]]], base: int, room: int):
+    """Sequences numbered from base, in batches of about BATCH_TOKENS ids."""
+    pieces, held = [], 0
+    for number, sequence in enumerate(sequences, base):
+        offset, total = 0, sum(p[2] for p in sequence)
+        if pieces and held + total > BATCH_TOKENS:
+            yield _rows(pieces, docs, lengths, ids, room)
+            pieces, held = [], 0
+        for d, start, size in sequence:
+            pieces.append((d, start, size, number, offset, total))
             offset += size
-    kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 5
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        held += total
+    if pieces:
+        yield _rows(pieces, docs, lengths, ids, room)
 
 
-def _pack_groups(batches, most_docs: int, **fixed):
-    """Packs sorted rows group by group; a group is closed at most_docs documents or GROUP_CHARS characters and begun anew."""
-    run, size, group, base = [], 0, None, 0
+def _pack_groups(batches, most_docs: int, path: str | None, room: int, end_id: int, min_cut: int):
+    """Packs sorted rows group by group; a group is closed at most_docs documents or GROUP_CHARS characters and begun anew.
+
+    Texts are encoded about SLICE_CHARS at a time and let go, so a group is held as ids alone.
+    """
+    docs, counts, parts, size, group, base = [], [], [], 0, None, 0
+    waiting, chars = [], 0
+
+    def encoded():
+        nonlocal waiting, chars
+        flat, sizes = encoder(path).encode(waiting)
+        parts.append(np.insert(flat.astype("<u4", copy=False), np.cumsum(sizes), end_id))
+        counts.append(sizes + 1)
+        waiting, chars = [], 0
 
     def closed():
-        nonlocal run, size, base
-        if run:
-            out = _pack_run(run, base, **fixed)
-            base = out.column("sequence_id")[-1].as_py() + 1
-            run, size = [], 0
-            yield out
+        nonlocal docs, counts, parts, size, base
+        if docs:
+            if waiting:
+                encoded()
+            lengths, ids = np.concatenate(counts), np.concatenate(parts)
+            run, docs, counts, parts, size = docs, [], [], [], 0
+            sequences = plan(lengths.tolist(), room, min_cut)
+            yield from _pack_run(run, lengths, ids, sequences, base, room)
+            base += len(sequences)
 
     for batch in batches:
         for number, doc, text in zip(*(batch.column(c) for c in ("_g", "doc_id", "text"))):
-            number, text = number.as_py(), text.as_py()
+            number, text = number.as_py(), text.as_py() or ""
             if number != group:
                 yield from closed()
                 group, base = number, number << 32
-            if run and (len(run) >= most_docs or size + len(text or "") > GROUP_CHARS):
+            if docs and (len(docs) >= most_docs or size + len(text) > GROUP_CHARS):
                 yield from closed()
-            run.append((doc.as_py(), text))
-            size += len(text or "")
+            if waiting and chars + len(text) > SLICE_CHARS:
+                encoded()
+            docs.append(doc.as_py())
+            waiting.append(text)
+            size += len(text)
+            chars += len(text)
     yield from closed()
 
 

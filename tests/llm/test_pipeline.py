@@ -70,3 +70,15 @@ def test_columns_of_any_name_and_type_survive_the_duplicates(spark):
     kept = corpus_pipeline.duplicate_stage(spark, docs, SF_DIR)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, own = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.newSession()
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), SF_DIR)
+        assert spark.conf.get(key) == "4m"
+    own.conf.set(key, "9m")
+    corpus_pipeline.packing_stage(own, own.read.parquet(f"{SF_DIR}/documents.parquet").limit(0), SF_DIR)
+    assert own.conf.get(key) == "9m"

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -158,3 +159,38 @@ def test_repeated_rows_do_not_meet_in_one_group(docs, monkeypatch):
     out = list(packing._pack_groups([batch.slice(0, 4), batch.slice(4)], 50, path=tokens.default_path(), room=1024, end_id=0, min_cut=8))
     assert [b.num_rows for b in out] == [2, 2, 2, 2, 1]
     assert sorted({i for b in out for i in b.column("sequence_id").to_pylist()}) == [(5 << 32) + k for k in range(5)]
+
+
+def test_a_group_is_held_as_ids_and_leaves_in_small_batches(monkeypatch):
+    texts = [f"the words {'of a text ' * (20 + i % 700)}{i}" for i in range(3000)]
+    chars = sum(map(len, texts))
+    fixed = {"path": tokens.default_path(), "room": 1024, "end_id": 0, "min_cut": 8}
+
+    def batches():
+        for at in range(0, 3000, 250):
+            yield pa.RecordBatch.from_pylist([{"_g": 5, "doc_id": i, "text": texts[i]} for i in range(at, at + 250)])
+
+    whole = {i: b"" for i in range(3000)}
+    lib = tokens.encoder(tokens.default_path())
+    for i, text in enumerate(texts):
+        flat, _ = lib.encode([text])
+        whole[i] = np.append(flat, 0).astype("<u4").tobytes()
+    held = []
+    monkeypatch.setattr(packing, "plan", lambda *a, f=packing.plan: held.append(tracemalloc.get_traced_memory()[0]) or f(*a))
+    tracemalloc.start()
+    out = []
+    for batch in packing._pack_groups(batches(), 5000, **fixed):
+        out.append(batch)
+    tracemalloc.stop()
+    # texts held whole would be as many bytes as characters, beside the ids
+    assert len(held) == 1 and held[0] - sum(map(len, whole.values())) < chars / 2
+    sizes = [sum(b.column("length").to_pylist()) for b in out]
+    assert len(out) > 2 and max(sizes) <= packing.BATCH_TOKENS
+    got = sorted((r["doc_id"], r["start"], r["ids"], r["length"]) for b in out for r in b.to_pylist())
+    found = {i: b"" for i in range(3000)}
+    for i, start, ids, length in got:
+        assert start * 4 == len(found[i]) and len(ids) == 4 * length
+        found[i] += ids
+    assert found == whole
+    numbers = [n for b in out for n in b.column("sequence_id").to_pylist()]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(5 << 32, (5 << 32) + len(set(numbers))))
